@@ -115,10 +115,16 @@ def lenient_number(c: Column) -> Column:
 
 def impute_lenient(df: DataFrame, features: list[str]) -> DataFrame:
     """Every feature to a finite number, absent columns included."""
-    have = set(df.columns)
-    return df.withColumns({
-        c: lenient_number(quoted(c)) if c in have else F.lit(0.0) for c in features
-    })
+    types = {f.name: f.dataType for f in df.schema}
+
+    def number(c: str) -> Column:
+        if c not in types:
+            return F.lit(0.0)
+        if isinstance(types[c], T.NumericType):
+            return F.coalesce(finite_or_null(quoted(c)).cast("double"), F.lit(0.0))
+        return lenient_number(quoted(c))
+
+    return df.withColumns({c: number(c) for c in features})
 
 
 def to_float32(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -224,7 +224,8 @@ def _flow_columns() -> str:
         elif c in _SECONDS:
             out.append(f'round(CAST(coalesce({_SECONDS[c]}, 0) AS DOUBLE) / 1e6, 3) AS "{c}"')
         else:
-            out.append(f'round(CAST(coalesce({_DOUBLE[c]}, 0) AS DOUBLE), 3) AS "{c}"')
+            digits = 6 if c == "pkt_len_var" else 3
+            out.append(f'round(CAST(coalesce({_DOUBLE[c]}, 0) AS DOUBLE), {digits}) AS "{c}"')
     return ", ".join(out)
 
 

@@ -162,7 +162,7 @@ def flow_features(spark, d):
         elif f.schema[c].dataType.simpleString() == "bigint":
             cols.append(F.col(c))
         else:
-            cols.append(F.round(c, 3).alias(c))
+            cols.append(F.round(c, 6 if c == "pkt_len_var" else 3).alias(c))
     return f.select("first_pkt_no", "src_ip", "dst_ip", *[c for c in cols])
 
 
