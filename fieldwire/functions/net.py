@@ -10,15 +10,15 @@ _H16 = r"[0-9A-Fa-f]{1,4}"
 # Address with eight groups, or one '::' gap and at most seven groups around it.
 _IPV6 = rf"^(?:{_H16}:){{7}}{_H16}$"
 _IPV6_GAP = (
-    rf"^(?=(?:[^:]*:){{2,8}}[^:]*$)(?!.*::.*::)(?!:[^:])(?!.*[^:]:$)(?!.*:::)"
-    rf"(?:{_H16}|:)*$"
+    rf"^(?!(?:(?:^|:+){_H16}(?=:|$)){{8}})"
+    rf"(?:{_H16}(?::{_H16})*)?::(?:{_H16}(?::{_H16})*)?$"
 )
 
 
 def routable(ip: Column) -> Column:
     """False for loopback addresses and for text that is no address."""
     v4 = ip.rlike(_IPV4) & ~ip.startswith("127.")
-    v6 = (ip.rlike(_IPV6) | (ip.contains("::") & ip.rlike(_IPV6_GAP))) & ~ip.rlike(
+    v6 = (ip.rlike(_IPV6) | ip.rlike(_IPV6_GAP)) & ~ip.rlike(
         r"^(?:0{1,4}:){7}0{0,3}1$|^[0:]*::[0:]*0{0,3}1$"
     )
     return F.coalesce(v4 | v6, F.lit(False))

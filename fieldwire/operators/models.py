@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..constants import BENIGN
+from ..session import cut_lineage
 from . import evaluate
 from .clean import (
     align_columns, encode_labels, decode_labels, impute_lenient, impute_own_median, label_codes,
@@ -192,6 +193,8 @@ def fit_model(
     rows = encode_labels(train, codes, label).where("label_code IS NOT NULL").select(
         "label_code", *[quoted(f).cast("double").alias(s) for f, s in zip(features, safe)]
     )
+    # the fit passes over the matrix many times: write it once to the shared folder
+    rows = cut_lineage(rows)
     stats = scaler_stats(rows, safe).orderBy("position").collect()
     vec = Pipeline(stages=_scaling_stage(safe, stats, "features")).fit(rows)
     ready = vec.transform(rows)
