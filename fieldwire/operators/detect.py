@@ -238,6 +238,6 @@ def connection_flood(
     return (
         rows.groupBy("src_ip", "dst_port", _tumbling(window_us).alias("window_us"))
         .agg(F.count_if(syn).alias("connects"),
-             F.count_if(~syn & (F.length("payload") > 0)).alias("requests"))
+             F.count_if(~syn & (F.col("payload_len") > 0)).alias("requests"))
         .where(F.col("connects") + F.col("requests") >= min_requests)
     )

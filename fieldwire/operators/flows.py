@@ -135,21 +135,20 @@ def inter_arrival(packets: DataFrame, chunk_us: int = MINUTE_US) -> DataFrame:
 def flow_features(
     packets: DataFrame, idle_us: int = 15 * SECOND_US, active_us: int = 5 * SECOND_US,
     subflow_us: int = SECOND_US, bulk_gap_us: int = SECOND_US, bulk_min: int = 4,
-    chunk_us: int = MINUTE_US, payload_len: Column | None = None,
+    chunk_us: int = MINUTE_US,
 ) -> DataFrame:
     """Flow statistics under the extractor's column names, one row per session.
 
-    Two carried passes give each packet its predecessors and the start of its session,
+    Payload bytes are never read, only ``payload_len``. Two carried passes give each packet its predecessors and the start of its session,
     active span and bulk run. Everything else is one partial+final aggregation.
     Times in microseconds, deviations of the population, undefined values 0.
     """
     if bulk_gap_us > idle_us:
         raise ValueError("a bulk gap cannot be longer than the idle time that ends a session")
-    size = payload_len if payload_len is not None else F.length("payload")
     slim = with_flow_key(packets).select(
         *FLOW_KEY, "is_ab", "ts_us", "pkt_no", "src_ip", "src_port", "dst_ip", "dst_port",
         "proto", F.col("ip_len").cast("long").alias("len"), F.col("hdr_len").cast("long").alias("hdr"),
-        "tcp_flags", F.col("win").cast("long").alias("win"), size.cast("long").alias("pay"),
+        "tcp_flags", F.col("win").cast("long").alias("win"), F.col("payload_len").cast("long").alias("pay"),
     )
     order, chunk = ["ts_us", "pkt_no"], cell("ts_us", chunk_us)
     ts, ab, data = F.col("ts_us"), F.col("is_ab"), F.col("pay") > 0
@@ -336,7 +335,7 @@ def dataset_health(df: DataFrame, label: str = "Label") -> DataFrame:
 
 def forward_payloads(packets: DataFrame, port: int, chunk_us: int = MINUTE_US) -> DataFrame:
     """Payload chunks sent to ``port``, numbered in order per flow; one row per chunk."""
-    rows = packets.where((F.col("dst_port") == port) & (F.length("payload") > 0))
+    rows = packets.where((F.col("dst_port") == port) & (F.col("payload_len") > 0))
     return running(
         rows, ["src_ip", "src_port", "dst_ip", "dst_port"], ["ts_us", "pkt_no"],
         cell("ts_us", chunk_us), sums={"chunk_no": F.lit(1)},
@@ -345,9 +344,9 @@ def forward_payloads(packets: DataFrame, port: int, chunk_us: int = MINUTE_US) -
 
 def replay_totals(packets: DataFrame, port: int) -> DataFrame:
     """Flows, segments and bytes sent to ``port``."""
-    rows = packets.where((F.col("dst_port") == port) & (F.length("payload") > 0))
+    rows = packets.where((F.col("dst_port") == port) & (F.col("payload_len") > 0))
     per = rows.groupBy("src_ip", "src_port", "dst_ip", "dst_port").agg(
-        F.count(F.lit(1)).alias("segments"), F.sum(F.length("payload")).alias("bytes")
+        F.count(F.lit(1)).alias("segments"), F.sum(F.col("payload_len").cast("long")).alias("bytes")
     )
     return per.agg(
         F.count(F.lit(1)).alias("flows"), F.coalesce(F.sum("segments"), F.lit(0)).alias("segments"),
@@ -357,7 +356,7 @@ def replay_totals(packets: DataFrame, port: int) -> DataFrame:
 
 def detect_service_port(packets: DataFrame, default: int = DNP3_PORT) -> DataFrame:
     """Most common destination port among packets with payload; the default without any."""
-    n = packets.where(F.length("payload") > 0).groupBy("dst_port").agg(
+    n = packets.where(F.col("payload_len") > 0).groupBy("dst_port").agg(
         F.count(F.lit(1)).alias("n"), F.min("pkt_no").alias("first")
     )
     best = F.min_by("dst_port", F.struct(-F.col("n"), F.col("first")))
@@ -383,7 +382,7 @@ def observe_packets(packets: DataFrame, port: int, first_n: int | None = None) -
     """Endpoints and payload length of packets that touch ``port``; optionally the first n."""
     seen = packets.where(touches_port(F.col("src_port"), F.col("dst_port"), port)).select(
         "pkt_no", "src_ip", "src_port", "dst_ip", "dst_port",
-        F.length("payload").alias("payload_len"),
+        "payload_len",
     )
     return seen.orderBy("pkt_no").limit(first_n) if first_n else seen
 

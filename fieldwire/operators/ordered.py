@@ -199,7 +199,9 @@ def cooldown(
             .select(*keys, F.explode("ps").alias("p"))
         )
 
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # written once: the size check and the fold both read it
+    instants = cut_lineage(instants)
+    sizes = instants.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if (sizes.agg(F.max("n")).first()[0] or 0) <= max_fold:
         return folded(instants, keys)
 
@@ -282,8 +284,10 @@ def windows_opened(
 ) -> DataFrame:
     """Assign rows to windows that the first row after the last window opens.
 
-    Adds ``window_open`` and ``window_pos`` (1-based position inside the window).
+    Adds ``window_open`` and ``window_pos`` (1-based position inside the window). The rows
+    should be narrow: they are written once, as every step reads them again.
     """
+    df = cut_lineage(df)
     opens = cooldown(
         df.select(*keys, ts, *order), keys, ts, order, window_us, chunk_us, max_fold
     )
@@ -299,7 +303,7 @@ def exact_quantiles(
 
     Up to ``max_exact`` values one ``percentile`` answers. Beyond that every order
     statistic is bracketed by a mergeable sketch (fixed memory) and the bracket narrows
-    about 60-fold per scan until at most ``max_exact`` values lie strictly inside.
+    until at most ``max_exact`` values lie strictly inside.
     """
     xs = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
     if not columns:
@@ -316,7 +320,7 @@ def exact_quantiles(
         for c in columns for p in probs if n_of[c]
         for k in (int(p * (n_of[c] - 1)), min(int(p * (n_of[c] - 1)) + 1, n_of[c] - 1))
     }
-    answer = _order_statistics(df, xs, ranks, max_exact)
+    answer = _order_statistics(df, xs, n_of, ranks, max_exact)
     out = {}
     for c in columns:
         n = n_of[c]
@@ -328,41 +332,62 @@ def exact_quantiles(
     return out
 
 
-def _order_statistics(df, xs, ranks, max_exact, grid=256) -> dict:
-    """0-based order statistics {(column, rank): value}; each scan serves all open ranks."""
-    bracket = {key: (float("-inf"), float("inf")) for key in ranks}
+def _order_statistics(df, xs, n_of, ranks, max_exact, accuracy=10_000) -> dict:
+    """0-based order statistics {(column, rank): value}; each scan serves all open ranks.
+
+    A rank lives in a closed bracket of values. The sketch is asked two error widths to
+    either side, so the next bracket holds the rank for certain and is about
+    ``accuracy / 4`` times smaller.
+    """
+    inf = float("inf")
+    spans = {(c, -inf, inf): (0, 0, n_of[c]) for c, _ in ranks}
+    where = {(c, k): (c, -inf, inf) for c, k in ranks}
     answer: dict = {}
-    fractions = F.array(*[F.lit(a / grid) for a in range(grid + 1)])
-    while bracket:
-        keys = list(bracket)
-        aggs = []
-        for j, key in enumerate(keys):
-            x, (lo, hi) = xs[key[0]], bracket[key]
-            inside = F.when((x > F.lit(lo)) & (x < F.lit(hi)), x)
-            aggs += [
-                F.count_if(x < F.lit(lo)), F.count_if(x == F.lit(lo)), F.count(inside),
-                F.percentile_approx(inside, fractions, F.lit(10_000)),
-            ]
-        row = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
-        collect = {}
-        for j, key in enumerate(keys):
-            below, at_lo, m, points = row[4 * j:4 * j + 4]
-            lo, hi = bracket[key]
-            r = key[1] - below - at_lo
-            if r < 0 or r >= m:
-                answer[key] = lo if r < 0 else hi
-            elif m <= max_exact:
-                collect[key] = (lo, hi, r)
+
+    def inside(span):
+        c, lo, hi = span
+        return F.when((xs[c] > F.lit(lo)) & (xs[c] < F.lit(hi)), xs[c])
+
+    while where:
+        asked = {}
+        for span in spans:
+            _, at_or_below, m = spans[span]
+            mine = [key for key, s in where.items() if s == span]
+            if m <= max_exact:
+                asked[span] = (mine, F.array_sort(F.collect_list(inside(span))))
+                continue
+            fs = [min(max((key[1] - at_or_below) / m + d / accuracy, 0.0), 1.0)
+                  for key in mine for d in (-2, 2)]
+            asked[span] = (mine, F.percentile_approx(
+                inside(span), F.array(*[F.lit(f) for f in fs]), F.lit(accuracy)))
+        row = df.agg(*[a.alias(f"a{i}") for i, (_, a) in enumerate(asked.values())]).first()
+        brackets = {}
+        for (span, (mine, _)), values in zip(asked.items(), row):
+            exact = spans[span][2] <= max_exact
+            for j, key in enumerate(mine):
+                if exact:
+                    answer[key] = values[key[1] - spans[span][1]]
+                    del where[key]
+                else:
+                    brackets[key] = (span[0], values[2 * j], values[2 * j + 1])
+        if not brackets:
+            continue
+        unique = list(dict.fromkeys(brackets.values()))
+        row = df.agg(*[
+            a.alias(f"a{i}_{j}") for i, (c, lo, hi) in enumerate(unique)
+            for j, a in enumerate((F.count_if(xs[c] < F.lit(lo)), F.count_if(xs[c] == F.lit(lo)),
+                                   F.count(inside((c, lo, hi)))))
+        ]).first()
+        spans = {}
+        for i, span in enumerate(unique):
+            below, at_lo, m = row[3 * i:3 * i + 3]
+            spans[span] = (below, below + at_lo, m)
+        for key, span in brackets.items():
+            _, at_or_below, m = spans[span]
+            if key[1] < at_or_below or key[1] >= at_or_below + m:
+                answer[key] = span[1] if key[1] < at_or_below else span[2]
+                del where[key]
             else:
-                f = int(r * grid / m)
-                bracket[key] = (points[max(f - 2, 0)], points[min(f + 3, grid)])
-        if collect:
-            row = df.agg(*[
-                F.array_sort(F.collect_list(
-                    F.when((xs[c] > F.lit(lo)) & (xs[c] < F.lit(hi)), xs[c])
-                ))[r].alias(f"a{i}")
-                for i, ((c, _), (lo, hi, r)) in enumerate(collect.items())
-            ]).first()
-            answer.update(zip(collect, row))
-        bracket = {k: v for k, v in bracket.items() if k not in answer}
+                where[key] = span
+        spans = {s: v for s, v in spans.items() if s in set(where.values())}
     return answer

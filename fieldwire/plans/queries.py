@@ -119,7 +119,7 @@ def fc_names(spark, d):
 
 def starts_frame(spark, d):
     return packets(spark, d).where(dnp3.starts_frame(F.col("payload"))).select(
-        "event_id", F.length("payload").cast("long").alias("payload_len"))
+        "event_id", F.col("payload_len").cast("long").alias("payload_len"))
 
 
 # ---- flows ----------------------------------------------------------------------
@@ -154,7 +154,7 @@ TIMED = ("duration", "iat", "active", "idle")
 
 
 def flow_features(spark, d):
-    f = flows.flow_features(packets(spark, d), 4 * HOUR, HOUR, HOUR // 2, 3 * HOUR, 2, DAY)
+    f = flows.flow_features(traffic.endpoints(events(spark, d)), 4 * HOUR, HOUR, HOUR // 2, 3 * HOUR, 2, DAY)
     cols = []
     for c in FLOW_RENAME:
         if any(t in c for t in TIMED):
@@ -193,11 +193,11 @@ def forward_payloads(spark, d):
 
 
 def replay_totals(spark, d):
-    return flows.replay_totals(packets(spark, d), 20000)
+    return flows.replay_totals(traffic.endpoints(events(spark, d)), 20000)
 
 
 def service_port(spark, d):
-    return longs(flows.detect_service_port(packets(spark, d)), "service_port")
+    return longs(flows.detect_service_port(traffic.endpoints(events(spark, d))), "service_port")
 
 
 def talker_profile(spark, d):
@@ -206,7 +206,7 @@ def talker_profile(spark, d):
 
 
 def observe_packets(spark, d):
-    o = flows.observe_packets(packets(spark, d), 502, 25)
+    o = flows.observe_packets(traffic.endpoints(events(spark, d)), 502, 25)
     return longs(o, "src_port", "dst_port", "payload_len")
 
 
@@ -331,7 +331,7 @@ def signature_alerts(spark, d):
 
 
 def rapid_connections(spark, d):
-    return detect.rapid_connections(packets(spark, d), 2, 48 * HOUR, chunk_us=DAY).select(
+    return detect.rapid_connections(traffic.endpoints(events(spark, d)), 2, 48 * HOUR, chunk_us=DAY).select(
         "src_ip", "ts_us", "pkt_no", "window_open", "sid")
 
 
@@ -383,7 +383,7 @@ def replayed_frames(spark, d):
 
 
 def replay_bursts(spark, d):
-    f = flows.flow_features(packets(spark, d), 4 * HOUR, HOUR, HOUR // 2, 3 * HOUR, 2, DAY)
+    f = flows.flow_features(traffic.endpoints(events(spark, d)), 4 * HOUR, HOUR, HOUR // 2, 3 * HOUR, 2, DAY)
     out = detect.replay_burst_flows(f, 2 * HOUR, float(HOUR), 1e-4)
     return out.select("first_pkt_no", "src_ip", "flow_duration", "tot_fwd_pkts")
 
@@ -402,7 +402,7 @@ def address_sweep(spark, d):
 
 
 def connection_flood(spark, d):
-    return longs(detect.connection_flood(packets(spark, d), 3, DAY), "dst_port")
+    return longs(detect.connection_flood(traffic.endpoints(events(spark, d)), 3, DAY), "dst_port")
 
 
 # ---- cleaning -------------------------------------------------------------------
@@ -800,7 +800,7 @@ def payload_model(spark, d):
 def scored_flows(spark, d):
     """Flow statistics scored by a model fitted on the same table's labelled half."""
     f = clean.rename_flow_columns(flows.flow_features(
-        packets(spark, d), 4 * HOUR, HOUR, HOUR // 2, 3 * HOUR, 2, DAY))
+        traffic.endpoints(events(spark, d)), 4 * HOUR, HOUR, HOUR // 2, 3 * HOUR, 2, DAY))
     f = f.withColumn("Label", F.when(F.col("`RST Flag Cnt`") + F.col("`FIN Flag Cnt`") > 0, "ATTACK")
                      .otherwise("NORMAL"))
     cols = [c for c in FLOW_RENAME.values() if c != "Timestamp"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.dnp3 import crc_table
+from ..functions import dnp3
 
 SERVER_IP = "192.168.10.20"
 
@@ -36,6 +36,12 @@ def endpoints(events: DataFrame) -> DataFrame:
     flags = (
         F.when(_id(10) == 1, 2).when(_id(50) == 0, 17).when(_id(97) == 0, 20).otherwise(24)
     )
+    empty = F.col("event_type") == "error"
+    wire = dnp3.wire_size(F.when(empty, 0).otherwise((3 + _id(40)).cast("int"))) + 10
+    size = (
+        F.when(_id(11) == 0, 3).otherwise(0) + wire * F.when(_id(7) == 0, 2).otherwise(1)
+        - F.when(_id(13) == 0, 1).otherwise(0)
+    )
     return events.withColumns({"__fwd": fwd}).select(
         F.col("event_id").alias("pkt_no"), "ts_us",
         F.when(F.col("__fwd"), client).otherwise(F.lit(SERVER_IP)).alias("src_ip"),
@@ -47,6 +53,7 @@ def endpoints(events: DataFrame) -> DataFrame:
         F.lit(40).alias("hdr_len"),
         flags.cast("int").alias("tcp_flags"),
         (1000 + _id(64000)).cast("int").alias("win"),
+        F.when(_id(10) == 1, 0).otherwise(size).cast("int").alias("payload_len"),
         "user_id", "event_type", "event_id", "value",
     )
 
@@ -61,7 +68,7 @@ def _hex_le(v: Column) -> Column:
 
 def crc16_hex(text: Column) -> Column:
     """Little-endian hex of the CRC over the bytes of a hex string."""
-    table = F.array(*[F.lit(v) for v in crc_table()])
+    table = F.array(*[F.lit(v) for v in dnp3.crc_table()])
     data = F.transform(
         F.sequence(F.lit(1), F.length(text) - 1, F.lit(2)),
         lambda i: F.conv(F.substring(text, i, F.lit(2)), 16, 10).cast("int"),

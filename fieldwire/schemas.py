@@ -13,7 +13,7 @@ RAW_PACKETS = _schema(file=_S, pkt_no=_L, ts_us=_L, link_type=_I, data=_B)
 
 PACKETS = _schema(
     file=_S, pkt_no=_L, ts_us=_L, src_ip=_S, src_port=_I, dst_ip=_S, dst_port=_I, proto=_I,
-    ip_len=_I, hdr_len=_I, tcp_flags=_I, win=_I, payload=_B,
+    ip_len=_I, hdr_len=_I, tcp_flags=_I, win=_I, payload_len=_I, payload=_B,
 )
 
 ALERT_EVENT = _schema(

@@ -148,11 +148,12 @@ def decode_packets(raw: DataFrame, trim: bool = True, keep_empty: bool = True) -
             be16(t, tcp + 3).alias("dst_port"), F.lit(6).alias("proto"), "ip_len",
             (F.col("__from") - ip).alias("hdr_len"), byte_at(t, tcp + 14).alias("tcp_flags"),
             be16(t, tcp + 15).alias("win"),
+            F.greatest(end - F.col("__from"), F.lit(0)).alias("payload_len"),
             F.substring(F.col("data"), F.col("__from") + 1, F.greatest(end - F.col("__from"), F.lit(0)))
             .alias("payload"),
         )
     )
-    return out if keep_empty else out.where(F.length("payload") > 0)
+    return out if keep_empty else out.where("payload_len > 0")
 
 
 def read_pcap(
