@@ -10,7 +10,7 @@ from ..constants import (
 )
 from ..functions import dnp3
 from ..functions.net import routable
-from .ordered import MINUTE_US, asof, cell, cooldown, running, sliding_count, windows_opened
+from .ordered import MINUTE_US, asof, cell, cooldown, running, sliding_count, windows_opened, with_cells
 
 SECOND_US = 1_000_000
 
@@ -70,10 +70,10 @@ def block_intervals(
             "ip", F.col("ts_us").alias("block_us"), (F.col("ts_us") + ttl_us).alias("unblock_us"),
             F.lit(1).cast("long").alias("blocks"), F.col("label").alias("reason"),
         )
-    chunk = cell("ts_us", chunk_us)
-    prev = running(fired, ["ip"], ["ts_us"], chunk, last={"__prev": F.col("ts_us")})
+    celled = with_cells(fired, ["ip"], cell("ts_us", chunk_us))
+    prev = running(celled, ["ip"], ["ts_us"], last={"__prev": F.col("ts_us")})
     fresh = F.col("__prev").isNull() | (F.col("ts_us") - F.col("__prev") > F.lit(ttl_us))
-    numbered = running(prev, ["ip"], ["ts_us"], chunk, sums={"__n": fresh.cast("long")})
+    numbered = running(prev, ["ip"], ["ts_us"], sums={"__n": fresh.cast("long")})
     return numbered.groupBy("ip", "__n").agg(
         F.min("ts_us").alias("block_us"), (F.max("ts_us") + ttl_us).alias("unblock_us"),
         F.count(F.lit(1)).alias("blocks"), F.min_by("label", "ts_us").alias("reason"),

@@ -10,7 +10,7 @@ from ..constants import (
 )
 from ..functions import dnp3
 from ..functions.net import FLOW_KEY, canonical_key, touches_port
-from .ordered import MINUTE_US, cell, running
+from .ordered import MINUTE_US, cell, running, with_cells
 
 SECOND_US = 1_000_000
 
@@ -32,6 +32,17 @@ def with_flow_key(df: DataFrame) -> DataFrame:
     return df.withColumns(canonical_key())
 
 
+def packed_position(order: tuple[str, ...]) -> Column:
+    """Order columns as one DECIMAL, a fixed-width value that hash aggregation can keep.
+
+    Room for frame numbers below 10^5, packet numbers below 10^15 and any timestamp.
+    """
+    width = {"frame_no": 1, "pkt_no": 10**5, "ts_us": 10**20}
+    big = "decimal(38,0)"
+    terms = [F.col(o).cast(big) * F.lit(str(width[o])).cast("decimal(21,0)") for o in order]
+    return sum(terms[1:], terms[0]).cast(big)
+
+
 def payload_features(
     frames: DataFrame, keys: list[str] | None = None, mode: str = "first",
     port: int = DNP3_PORT, order: tuple[str, ...] = ("pkt_no", "frame_no"),
@@ -44,7 +55,7 @@ def payload_features(
     """
     keys = keys or FLOW_KEY
     rows = with_flow_key(frames) if "is_ab" not in frames.columns else frames
-    pos = F.struct(*[F.col(o) for o in order])
+    pos = packed_position(order)
     side = F.col("is_ab") if mode == "first" else F.col("dst_port") == port
     has_user = F.col("user_data_len") > 0
     by_fc = rows.groupBy(*keys, "fc").agg(
@@ -100,8 +111,8 @@ def sessionize(
     rows = with_flow_key(packets) if "is_ab" not in packets.columns else packets
     order = list(order)
     ends = F.col("tcp_flags").bitwiseAND(F.lit(FIN | RST)) != 0 if end_on_flags else F.lit(False)
-    chunk = cell("ts_us", chunk_us)
-    prev = running(rows, FLOW_KEY, order, chunk, last={
+    celled = with_cells(rows, FLOW_KEY, cell("ts_us", chunk_us))
+    prev = running(celled, FLOW_KEY, order, last={
         "__prev": F.struct(F.col("ts_us").alias("ts"), ends.alias("ended")),
     })
     new = (
@@ -111,12 +122,12 @@ def sessionize(
     marked = prev.withColumns({"new_flow": new, "prev_ts": F.col("__prev.ts")}).drop("__prev")
     here = F.struct(F.col("ts_us").alias("ts"), F.col("pkt_no").alias("pkt_no"),
                     F.col("is_ab").alias("is_ab"))
-    started = running(marked, FLOW_KEY, order, chunk, last={
+    started = running(marked, FLOW_KEY, order, last={
         "__start": F.when(F.col("new_flow"), here),
     })
     return started.withColumn(
         "flow_start", F.when(F.col("new_flow"), here).otherwise(F.col("__start"))
-    ).drop("__start")
+    ).drop("__start", "__k")
 
 
 def inter_arrival(packets: DataFrame, chunk_us: int = MINUTE_US) -> DataFrame:
@@ -146,15 +157,15 @@ def flow_features(
     if bulk_gap_us > idle_us:
         raise ValueError("a bulk gap cannot be longer than the idle time that ends a session")
     slim = with_flow_key(packets).select(
-        *FLOW_KEY, "is_ab", "ts_us", "pkt_no", "src_ip", "src_port", "dst_ip", "dst_port",
-        "proto", F.col("ip_len").cast("long").alias("len"), F.col("hdr_len").cast("long").alias("hdr"),
+        *FLOW_KEY, "is_ab", "ts_us", "pkt_no", "proto", F.col("ip_len").cast("long").alias("len"), F.col("hdr_len").cast("long").alias("hdr"),
         "tcp_flags", F.col("win").cast("long").alias("win"), F.col("payload_len").cast("long").alias("pay"),
     )
-    order, chunk = ["ts_us", "pkt_no"], cell("ts_us", chunk_us)
+    order = ["ts_us", "pkt_no"]
+    celled = with_cells(slim, FLOW_KEY, cell("ts_us", chunk_us))
     ts, ab, data = F.col("ts_us"), F.col("is_ab"), F.col("pay") > 0
     at = F.struct(ts.alias("ts"), F.col("pkt_no").alias("pkt_no"))
     ended = F.col("tcp_flags").bitwiseAND(F.lit(FIN | RST)) != 0
-    first = running(slim, FLOW_KEY, order, chunk, last={
+    first = running(celled, FLOW_KEY, order, last={
         "p": F.struct(ts.alias("ts"), ended.alias("ended")),
         "p_ab": F.when(ab, at), "p_ba": F.when(~ab, at),
         "p_data": F.when(data, F.struct(at.alias("at"), ab.alias("ab"))),
@@ -175,7 +186,7 @@ def flow_features(
     first = first.withColumns({"gap": gap, "new": new, "new_run": run}).withColumn(
         "new_span", F.col("new") | (F.col("gap") > F.lit(active_us))
     )
-    both = running(first, FLOW_KEY, order, chunk, last={
+    both = running(first, FLOW_KEY, order, last={
         "s_flow": F.when(F.col("new"), here), "s_span": F.when(F.col("new_span"), ts),
         "s_run": F.when(F.col("new_run"), run_here),
     })
@@ -214,12 +225,10 @@ def flow_features(
         on = F.col("tcp_flags").bitwiseAND(F.lit(mask)) != 0
         return F.count_if(on if where is None else on & where)
 
-    size, pos = F.col("len"), F.struct("ts_us", "pkt_no")
+    # only fixed-width buffers, so that the aggregation hashes instead of sorting
+    size, opening = F.col("len"), F.col("dir_iat").isNull()
     aggs = [
-        F.min_by("src_ip", pos).alias("src_ip"), F.min_by("dst_ip", pos).alias("dst_ip"),
-        F.min_by("src_port", pos).cast("long").alias("src_port"),
-        F.min_by("dst_port", pos).cast("long").alias("dst_port"),
-        F.min_by("proto", pos).cast("long").alias("protocol"), F.min("ts_us").alias("timestamp"),
+        F.min("proto").cast("long").alias("protocol"), F.min("ts_us").alias("timestamp"),
         (F.max("ts_us") - F.min("ts_us")).alias("flow_duration"),
         F.count_if(fwd).alias("tot_fwd_pkts"), F.count_if(bwd).alias("tot_bwd_pkts"),
         F.sum(F.when(fwd, size).otherwise(0)).alias("totlen_fwd_pkts"),
@@ -240,8 +249,8 @@ def flow_features(
         bit(FIN).alias("fin_flag_cnt"), bit(SYN).alias("syn_flag_cnt"), bit(RST).alias("rst_flag_cnt"),
         bit(PSH).alias("psh_flag_cnt"), bit(ACK).alias("ack_flag_cnt"), bit(URG).alias("urg_flag_cnt"),
         bit(ECE).alias("ece_flag_cnt"), bit(CWR).alias("cwr_flag_count"),
-        F.min_by("win", F.when(fwd, pos)).alias("init_fwd_win_byts"),
-        F.min_by("win", F.when(bwd, pos)).alias("init_bwd_win_byts"),
+        F.max(F.when(fwd & opening, F.col("win"))).alias("init_fwd_win_byts"),
+        F.max(F.when(bwd & opening, F.col("win"))).alias("init_bwd_win_byts"),
         F.count("active").alias("__an"), *stats("__a", F.col("active")),
         (F.max("ts_us") - F.max("span_now")).alias("__alast"),
         *stats("idle", F.col("idle")),
@@ -263,7 +272,12 @@ def flow_features(
     n, x = F.col("__an"), F.col("__alast").cast("double")
     m = F.coalesce("__a_mean", F.lit(0.0))
     v = F.pow(F.coalesce("__a_std", F.lit(0.0)), 2)
+    a_first = F.col("flow.ab")
+    pick = lambda a, b: F.when(a_first, F.col(a)).otherwise(F.col(b))
     derived = {
+        "src_ip": pick("a_ip", "b_ip"), "dst_ip": pick("b_ip", "a_ip"),
+        "src_port": pick("a_port", "b_port").cast("long"),
+        "dst_port": pick("b_port", "a_port").cast("long"),
         "flow_byts_s": div(total, sec), "flow_pkts_s": div(pkts, sec),
         "fwd_pkts_s": div("tot_fwd_pkts", sec), "bwd_pkts_s": div("tot_bwd_pkts", sec),
         "down_up_ratio": div("tot_bwd_pkts", "tot_fwd_pkts"), "pkt_size_avg": div(total, pkts),

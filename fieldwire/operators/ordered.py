@@ -22,19 +22,31 @@ def cell(ts: str | Column, width_us: int) -> Column:
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Equi-join on ``keys`` where null matches null; the right keys are dropped."""
+    """Equi-join on ``keys`` where null matches null; the right keys are dropped.
+
+    Structs compare their null fields as equal, so one plain equality does it.
+    """
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(renamed[f"__r_{k}"])
+    cond = F.struct(*[F.col(k).alias(k) for k in keys]) == F.struct(
+        *[F.col(f"__r_{k}").alias(k) for k in keys]
+    )
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def with_cells(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """Add ``__k``, the (key, cell) of each row as one non-null struct.
+
+    Windows, the carry join and further :func:`running` passes all partition by this very
+    column, so a chain of passes shuffles the rows once.
+    """
+    return df.withColumn("__k", F.struct(*keys, chunk.alias("__cell")))
+
+
 def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    chunk: Column,
+    chunk: Column | None = None,
     last: dict[str, Column] | None = None,
     sums: dict[str, Column] | None = None,
 ) -> DataFrame:
@@ -42,38 +54,39 @@ def running(
 
     ``last``: name -> expression; the latest non-null value strictly before the row.
     ``sums``: name -> expression; the sum up to and including the row.
-    ``order`` must be total within a key and ``chunk`` non-decreasing along it.
+    ``order`` must be total within a key and ``chunk`` non-decreasing along it. Without
+    ``chunk`` the rows carry the cells of :func:`with_cells`, which then stay.
     """
     last, sums = last or {}, sums or {}
     names = list(last) + list(sums)
-    base = df.withColumns(
-        {"__cell": chunk} | {f"__v_{n}": e for n, e in {**last, **sums}.items()}
-    )
-    cells = keys + ["__cell"]
-    before = Window.partitionBy(*cells).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    celled = df if chunk is None else with_cells(df, keys, chunk)
+    base = celled.withColumns({f"__v_{n}": e for n, e in {**last, **sums}.items()})
+    before = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     upto = before.rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumns(
         {f"__l_{n}": F.last(f"__v_{n}", ignorenulls=True).over(before) for n in last}
         | {f"__l_{n}": F.sum(f"__v_{n}").over(upto) for n in sums}
     )
     pos = F.struct(*[F.col(o) for o in order])
-    summary = base.groupBy(*cells).agg(
+    summary = base.groupBy("__k").agg(
         *[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), pos)).alias(f"__s_{n}")
           for n in last],
         *[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in sums],
     )
-    prior = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    prior = Window.partitionBy(*[F.col(f"__k.{k}") for k in keys]).orderBy("__k.__cell").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     carried = summary.select(
-        *cells,
+        F.col("__k").alias("__r_k"),
         *[F.last(f"__s_{n}", ignorenulls=True).over(prior).alias(f"__c_{n}") for n in last],
         *[F.sum(f"__s_{n}").over(prior).alias(f"__c_{n}") for n in sums],
     )
-    out = _null_safe(local, carried, cells, "left")
     zero = F.lit(0)
-    return out.withColumns(
-        {n: F.coalesce(f"__l_{n}", f"__c_{n}") for n in last}
-        | {n: F.coalesce(f"__l_{n}", zero) + F.coalesce(f"__c_{n}", zero) for n in sums}
-    ).drop("__cell", *[f"__{p}_{n}" for p in "vlc" for n in names])
+    return local.join(carried, F.col("__k") == F.col("__r_k"), "left").select(
+        *[c for c in celled.columns if c not in names and (c != "__k" or chunk is None)],
+        *[F.coalesce(f"__l_{n}", f"__c_{n}").alias(n) for n in last],
+        *[(F.coalesce(f"__l_{n}", zero) + F.coalesce(f"__c_{n}", zero)).alias(n) for n in sums],
+    )
 
 
 def asof(
@@ -205,11 +218,11 @@ def cooldown(
     if (sizes.agg(F.max("n")).first()[0] or 0) <= max_fold:
         return folded(instants, keys)
 
-    step1 = running(instants, keys, [ts], cell(ts, chunk_us), last={"__prev": F.col(ts)})
+    celled = with_cells(instants, keys, cell(ts, chunk_us))
+    step1 = running(celled, keys, [ts], last={"__prev": F.col(ts)})
     resets = F.col("__prev").isNull() | (F.col(ts) - F.col("__prev") >= F.lit(cooldown_us))
     islands = cut_lineage(
-        running(step1, keys, [ts], cell(ts, chunk_us), sums={"__isl": resets.cast("long")})
-        .drop("__prev")
+        running(step1, keys, [ts], sums={"__isl": resets.cast("long")}).drop("__prev", "__k")
     )
     spans = cut_lineage(
         islands.groupBy(*keys, "__isl").agg(

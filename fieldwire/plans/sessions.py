@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.net import FLOW_KEY
 from ..operators.flows import payload_features
-from ..operators.ordered import MINUTE_US, cell, running
+from ..operators.ordered import MINUTE_US, cell, running, with_cells
 from ..streaming.queries import session_rows
 
 _ORDER = ["ts_us", "pkt_no", "frame_no"]
@@ -24,8 +24,8 @@ def payload_sessions(
     rows = session_rows(packets, port)
     at = F.struct(*_ORDER)
     has = F.col("ctrl").isNotNull()
-    chunk = cell("ts_us", chunk_us)
-    prev = running(rows, FLOW_KEY, _ORDER, chunk, last={
+    celled = with_cells(rows, FLOW_KEY, cell("ts_us", chunk_us))
+    prev = running(celled, FLOW_KEY, _ORDER, last={
         "__seen": F.when(has, at), "__end": F.when(F.col("ends"), at),
     }).where(has)
     new = (
@@ -33,7 +33,7 @@ def payload_sessions(
         | F.coalesce(F.col("__end") >= F.col("__seen"), F.lit(False))
     )
     numbered = running(
-        prev.withColumn("__new", new).drop("__seen", "__end"), FLOW_KEY, _ORDER, chunk,
+        prev.withColumn("__new", new).drop("__seen", "__end"), FLOW_KEY, _ORDER,
         sums={"record": F.col("__new").cast("long")},
     )
     keys = FLOW_KEY + ["record"]

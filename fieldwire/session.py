@@ -17,6 +17,8 @@ def get_spark(app: str = "fieldwire", master: str | None = None, **conf) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # the flow statistics aggregate is wider than the default bound of 100 fields
+        "spark.sql.codegen.maxFields": "400",
         **conf,
     }
     for k, v in settings.items():
