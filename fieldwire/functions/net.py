@@ -24,9 +24,15 @@ def routable(ip: Column) -> Column:
     return F.coalesce(v4 | v6, F.lit(False))
 
 
+def _whole(port: Column) -> Column:
+    """Whole number from an INT, DOUBLE or text column, else null."""
+    number = F.trim(port.cast("string")).try_cast("double")
+    return F.when(number == F.floor(number), number.try_cast("int"))
+
+
 def port_of(port: Column) -> Column:
     """Port as INT; text that is no whole number counts as 0."""
-    return F.coalesce(F.trim(port.cast("string")).try_cast("int"), F.lit(0))
+    return F.coalesce(_whole(port), F.lit(0))
 
 
 def touches_port(src_port: Column, dst_port: Column, port: int) -> Column:
@@ -34,7 +40,7 @@ def touches_port(src_port: Column, dst_port: Column, port: int) -> Column:
     both count as 0."""
     if not port:
         return F.lit(True)
-    s, d = (F.trim(p.cast("string")).try_cast("int") for p in (src_port, dst_port))
+    s, d = _whole(src_port), _whole(dst_port)
     return F.coalesce((s == port) | (d == port), F.lit(False)) & s.isNotNull() & d.isNotNull()
 
 

@@ -74,7 +74,7 @@ def nonfinite_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return df.withColumns({c: finite_or_null(quoted(c)) for c in cols})
 
 
-def medians(df: DataFrame, columns: list[str], max_exact: int = 200_000) -> dict[str, float | None]:
+def medians(df: DataFrame, columns: list[str], max_exact: int = 50_000) -> dict[str, float | None]:
     """Exact medians; null for a column without values."""
     plain = df.select(*[finite_or_null(quoted(c)).cast("double").alias(f"c{i}")
                         for i, c in enumerate(columns)])

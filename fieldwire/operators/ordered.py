@@ -310,7 +310,7 @@ def windows_opened(
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], max_exact: int = 200_000
+    df: DataFrame, columns: list[str], probs: list[float], max_exact: int = 50_000
 ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles; null for a column without values.
 
@@ -367,7 +367,8 @@ def _order_statistics(df, xs, n_of, ranks, max_exact, accuracy=10_000) -> dict:
             _, at_or_below, m = spans[span]
             mine = [key for key, s in where.items() if s == span]
             if m <= max_exact:
-                asked[span] = (mine, F.array_sort(F.collect_list(inside(span))))
+                near = F.array_sort(F.collect_list(inside(span)))
+                asked[span] = (mine, F.array(*[near[key[1] - at_or_below] for key in mine]))
                 continue
             fs = [min(max((key[1] - at_or_below) / m + d / accuracy, 0.0), 1.0)
                   for key in mine for d in (-2, 2)]
@@ -379,7 +380,7 @@ def _order_statistics(df, xs, n_of, ranks, max_exact, accuracy=10_000) -> dict:
             exact = spans[span][2] <= max_exact
             for j, key in enumerate(mine):
                 if exact:
-                    answer[key] = values[key[1] - spans[span][1]]
+                    answer[key] = values[j]
                     del where[key]
                 else:
                     brackets[key] = (span[0], values[2 * j], values[2 * j + 1])
