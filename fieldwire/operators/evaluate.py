@@ -115,8 +115,8 @@ def roc_auc(df: DataFrame, truth: str = "y_true", score: str = "score", cells: i
     per = df.where(s.isNotNull() & y.isNotNull()).groupBy(s.alias("s")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
     )
-    # any score falls into a cell by its arc tangent, which keeps the order
-    chunk = F.floor(F.atan("s") * F.lit(cells))
+    # cells by signed logarithm: it keeps the order and spreads probabilities and amounts alike
+    chunk = F.floor(F.signum("s") * F.log1p(F.abs("s")) * F.lit(cells))
     cum = running(per, [], ["s"], chunk, sums={"neg_upto": F.col("neg")})
     wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0))
     return cum.agg(
