@@ -113,14 +113,16 @@ _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
-def tokens(data: np.ndarray, at: np.ndarray, split_signs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, at: np.ndarray, split_signs: bool, with_text: bool = False):
     """Hash, row, start and end byte of each word of the rows; A-Z count as a-z.
 
     A word is a run of bytes that are not white space; with ``split_signs`` letters and digits on one
-    side and signs on the other are words of their own. No word crosses rows."""
+    side and signs on the other are words of their own. No word crosses rows. ``with_text``: the
+    lower-cased bytes come first."""
     if not len(data):
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
+        found = none.astype(np.uint64), none, none, none
+        return (data, *found) if with_text else found
     kind = np.where(_SPACE[data], 0, np.where(_LETTER[data], 1, 2 if split_signs else 1)).astype(np.int8)
     new = np.empty(len(data), bool)
     new[0] = True
@@ -132,7 +134,9 @@ def tokens(data: np.ndarray, at: np.ndarray, split_signs: bool) -> tuple[np.ndar
     full = kind[start] > 0
     start, end = start[full], end[full]
     row = np.searchsorted(at, start, "right") - 1
-    return span_hashes(prefix_hashes(_LOWER[data]), start, end), row, start, end
+    lower = _LOWER[data]
+    found = span_hashes(prefix_hashes(lower), start, end), row, start, end
+    return (lower, *found) if with_text else found
 
 
 def hot_keys(counted: DataFrame, key: str, n: str, share: int = 256) -> DataFrame:
