@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldwire.session import checkpoint_folder
 
-from . import decontaminate as leaks, exact_dedup, mixing, pii, quality, simhash, token_counts, toxicity, url_rules
+from . import decontaminate as leaks, exact_dedup, mixing, pii, quality, simhash, suffix_array, token_counts, toxicity, url_rules
 from .common import table
 
 
@@ -45,6 +45,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op5_url_filter": op5_url_filter,
+    "op6_suffix_array": op6_suffix_array,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
