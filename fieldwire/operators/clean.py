@@ -10,7 +10,7 @@ from ..constants import (
     BENIGN, COLLAPSE_MAP, FLOW_RENAME, IDENTIFIER_COLUMNS, PAYLOAD_CLASSES,
 )
 from ..functions.net import touches_port
-from .ordered import exact_quantiles
+from .ordered import exact_quantiles, row_numbers
 
 
 def quoted(name: str) -> Column:
@@ -74,11 +74,11 @@ def nonfinite_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return df.withColumns({c: finite_or_null(quoted(c)) for c in cols})
 
 
-def medians(df: DataFrame, columns: list[str], max_exact: int = 50_000) -> dict[str, float | None]:
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """Exact medians; null for a column without values."""
     plain = df.select(*[finite_or_null(quoted(c)).cast("double").alias(f"c{i}")
                         for i, c in enumerate(columns)])
-    found = exact_quantiles(plain, plain.columns, [0.5], max_exact)
+    found = exact_quantiles(plain, plain.columns, [0.5])
     return {c: found[f"c{i}"][0] for i, c in enumerate(columns)}
 
 
@@ -170,27 +170,42 @@ def label_set(*frames: DataFrame, label: str = "Label") -> DataFrame:
     return both.where(quoted(label).isNotNull()).distinct().orderBy(quoted(label))
 
 
-def label_codes(labels: DataFrame, label: str = "Label", max_labels: int = 10_000) -> dict[str, int]:
-    """Code of each label, 0..k-1 in sorted order. The set is small by nature; it is checked."""
-    rows = labels.limit(max_labels + 1).collect()
-    if len(rows) > max_labels:
-        raise ValueError(f"more than {max_labels} labels: not a class column")
-    return {v: i for i, v in enumerate(sorted(r[0] for r in rows))}
+def label_table(labels: DataFrame, label: str = "Label") -> DataFrame:
+    """``label`` and its ``label_code``, 0..k-1 in sorted order, for any number of labels."""
+    found = labels.select(quoted(label).alias("__label")).where("__label IS NOT NULL").distinct()
+    rows = row_numbers(found, ["__label"], F.ascii("__label"), "__code")
+    return rows.select(F.col("__label").alias(label), (F.col("__code") - 1).cast("int").alias("label_code"))
 
 
-def encode_labels(df: DataFrame, codes: dict[str, int], label="Label", out="label_code") -> DataFrame:
-    """Add the code; an unknown label gets null."""
-    table = F.create_map(*[F.lit(v) for kv in codes.items() for v in kv])
-    return df.withColumn(out, F.try_element_at(table, quoted(label)))
+def label_codes(labels: DataFrame, label: str = "Label") -> dict[str, int]:
+    """The codes of :func:`label_table` for a model, whose classes the driver must hold anyway."""
+    return {v: i for i, v in enumerate(sorted(r[0] for r in labels.distinct().collect()))}
 
 
-def decode_labels(df: DataFrame, codes: dict[str, int], code="label_code", out="Label") -> DataFrame:
+def encode_labels(
+    df: DataFrame, codes: dict[str, int] | DataFrame, label="Label", out="label_code"
+) -> DataFrame:
+    """Add the code; an unknown or null label gets null."""
+    if isinstance(codes, dict):
+        table = F.create_map(*[F.lit(v) for kv in codes.items() for v in kv])
+        return df.withColumn(out, F.try_element_at(table, quoted(label)))
+    named = codes.toDF("__label", "__code")
+    coded = df.withColumn("__key", quoted(label)).join(named, F.col("__key") == F.col("__label"), "left")
+    return coded.withColumn(out, F.col("__code")).drop("__key", "__label", "__code")
+
+
+def decode_labels(
+    df: DataFrame, codes: dict[str, int] | DataFrame, code="label_code", out="Label"
+) -> DataFrame:
     """Label of a code; ``<unk:i>`` for a code outside the table."""
-    table = F.create_map(*[F.lit(v) for k, i in codes.items() for v in (i, k)])
     c = quoted(code).cast("int")
-    return df.withColumn(
-        out, F.coalesce(F.try_element_at(table, c), F.format_string("<unk:%d>", c))
-    )
+    unknown = F.format_string("<unk:%d>", c)
+    if isinstance(codes, dict):
+        table = F.create_map(*[F.lit(v) for k, i in codes.items() for v in (i, k)])
+        return df.withColumn(out, F.coalesce(F.try_element_at(table, c), unknown))
+    named = codes.toDF("__label", "__code")
+    coded = df.withColumn("__key", c).join(named, F.col("__key") == F.col("__code"), "left")
+    return coded.withColumn(out, F.coalesce("__label", unknown)).drop("__key", "__label", "__code")
 
 
 def pick_classes(df: DataFrame, only: str, label: str = "Label") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordered import running
+from .ordered import running, value_cell
 
 ROUND = 4
 
@@ -116,7 +116,7 @@ def roc_auc(df: DataFrame, truth: str = "y_true", score: str = "score", cells: i
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
     )
     # cells by signed logarithm: it keeps the order and spreads probabilities and amounts alike
-    chunk = F.floor(F.signum("s") * F.log1p(F.abs("s")) * F.lit(cells))
+    chunk = value_cell(F.col("s"), cells)
     cum = running(per, [], ["s"], chunk, sums={"neg_upto": F.col("neg")})
     wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0))
     return cum.agg(

@@ -309,99 +309,45 @@ def windows_opened(
     return placed.withColumn("window_pos", F.row_number().over(w).cast("long"))
 
 
+def value_cell(value: Column, cells: int = 4096) -> Column:
+    """Cell of a number by its signed logarithm: it keeps the order, infinities have the end cells."""
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(cells))
+
+
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], max_exact: int = 50_000
+    df: DataFrame, columns: list[str], probs: list[float]
 ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles; null for a column without values.
 
-    Up to ``max_exact`` values one ``percentile`` answers. Beyond that every order
-    statistic is bracketed by a mergeable sketch (fixed memory) and the bracket narrows
-    until at most ``max_exact`` values lie strictly inside.
+    Nulls and NaN are no values; infinities are values like others. Every column's values
+    are counted, the counts are carried over value cells, and the values that hold the
+    asked ranks are picked: at most two per column and probability reach the driver.
     """
-    xs = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
     if not columns:
         return {}
-    counts = df.agg(*[F.count(xs[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    if max(counts) <= max_exact:
-        ps = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(x, ps).alias(f"q{i}") for i, x in enumerate(xs.values())]).first()
-        return {c: list(q) if q else [None] * len(probs) for c, q in zip(columns, row)}
-
-    n_of = dict(zip(columns, counts))
-    ranks = {
-        (c, k)
-        for c in columns for p in probs if n_of[c]
-        for k in (int(p * (n_of[c] - 1)), min(int(p * (n_of[c] - 1)) + 1, n_of[c] - 1))
+    cells = [F.struct(F.lit(i).alias("pos"), F.col(c).cast("double").alias("v"))
+             for i, c in enumerate(columns)]
+    counts = (
+        df.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull() & ~F.isnan("v"))
+        .groupBy("pos", "v").agg(F.count(F.lit(1)).alias("n"))
+    )
+    upto = cut_lineage(running(counts, ["pos"], ["v"], value_cell(F.col("v")), sums={"upto": F.col("n")}))
+    sizes = {r["pos"]: r["n"] for r in upto.groupBy("pos").agg(F.sum("n").alias("n")).collect()}
+    asked = {
+        (pos, k) for pos, n in sizes.items() for p in probs
+        for k in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))
     }
-    answer = _order_statistics(df, xs, n_of, ranks, max_exact)
-    out = {}
-    for c in columns:
-        n = n_of[c]
-        out[c] = [None] * len(probs)
-        for j, p in enumerate(probs if n else []):
-            r = p * (n - 1)
-            a, b = answer[(c, int(r))], answer[(c, min(int(r) + 1, n - 1))]
-            out[c][j] = a + (b - a) * (r - int(r))
-    return out
-
-
-def _order_statistics(df, xs, n_of, ranks, max_exact, accuracy=10_000) -> dict:
-    """0-based order statistics {(column, rank): value}; each scan serves all open ranks.
-
-    A rank lives in a closed bracket of values. The sketch is asked two error widths to
-    either side, so the next bracket holds the rank for certain and is about
-    ``accuracy / 4`` times smaller.
-    """
-    inf = float("inf")
-    spans = {(c, -inf, inf): (0, 0, n_of[c]) for c, _ in ranks}
-    where = {(c, k): (c, -inf, inf) for c, k in ranks}
-    answer: dict = {}
-
-    def inside(span):
-        c, lo, hi = span
-        return F.when((xs[c] > F.lit(lo)) & (xs[c] < F.lit(hi)), xs[c])
-
-    while where:
-        asked = {}
-        for span in spans:
-            _, at_or_below, m = spans[span]
-            mine = [key for key, s in where.items() if s == span]
-            if m <= max_exact:
-                near = F.array_sort(F.collect_list(inside(span)))
-                asked[span] = (mine, F.array(*[near[key[1] - at_or_below] for key in mine]))
-                continue
-            fs = [min(max((key[1] - at_or_below) / m + d / accuracy, 0.0), 1.0)
-                  for key in mine for d in (-2, 2)]
-            asked[span] = (mine, F.percentile_approx(
-                inside(span), F.array(*[F.lit(f) for f in fs]), F.lit(accuracy)))
-        row = df.agg(*[a.alias(f"a{i}") for i, (_, a) in enumerate(asked.values())]).first()
-        brackets = {}
-        for (span, (mine, _)), values in zip(asked.items(), row):
-            exact = spans[span][2] <= max_exact
-            for j, key in enumerate(mine):
-                if exact:
-                    answer[key] = values[j]
-                    del where[key]
-                else:
-                    brackets[key] = (span[0], values[2 * j], values[2 * j + 1])
-        if not brackets:
-            continue
-        unique = list(dict.fromkeys(brackets.values()))
-        row = df.agg(*[
-            a.alias(f"a{i}_{j}") for i, (c, lo, hi) in enumerate(unique)
-            for j, a in enumerate((F.count_if(xs[c] < F.lit(lo)), F.count_if(xs[c] == F.lit(lo)),
-                                   F.count(inside((c, lo, hi)))))
-        ]).first()
-        spans = {}
-        for i, span in enumerate(unique):
-            below, at_lo, m = row[3 * i:3 * i + 3]
-            spans[span] = (below, below + at_lo, m)
-        for key, span in brackets.items():
-            _, at_or_below, m = spans[span]
-            if key[1] < at_or_below or key[1] >= at_or_below + m:
-                answer[key] = span[1] if key[1] < at_or_below else span[2]
-                del where[key]
-            else:
-                where[key] = span
-        spans = {s: v for s, v in spans.items() if s in set(where.values())}
-    return answer
+    ranks = df.sparkSession.createDataFrame(sorted(asked), "pos INT, k LONG")
+    found = upto.join(F.broadcast(ranks), "pos").where(
+        (F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("n"))
+    )
+    value = {(r["pos"], r["k"]): r["v"] for r in found.select("pos", "k", "v").collect()}
+
+    def quantile(pos: int, p: float) -> float | None:
+        if pos not in sizes:
+            return None
+        r = p * (sizes[pos] - 1)
+        low, high = value[pos, int(r)], value[pos, min(int(r) + 1, sizes[pos] - 1)]
+        return low if low == high or r == int(r) else low + (high - low) * (r - int(r))
+
+    return {c: [quantile(i, p) for p in probs] for i, c in enumerate(columns)}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .clean import quoted
+from .clean import finite_or_null, quoted
 from .ordered import exact_quantiles
 
 
@@ -23,37 +24,48 @@ def varying_columns(df: DataFrame, columns: list[str]) -> list[str]:
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """|Pearson r| of every ordered column pair; null where a column is constant.
 
-    Sums of centred products: two scans whatever the number of columns pairs asked at once.
+    A pair counts the rows in which both have a finite value. One scan gives the columns'
+    means, another the pairs' sums of centred values: each task adds up matrix products of
+    its batches, one row per pair, so any width takes the same way.
     """
-    means = df.agg(*[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    d = [quoted(c).cast("double") - F.lit(float(m or 0.0)) for c, m in zip(columns, means)]
-    n = len(columns)
-    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
-    sums = df.agg(
-        *[F.sum(d[i] * d[i]).alias(f"v{i}") for i in range(n)],
-        *[F.sum(d[i] * d[j]).alias(f"p{i}_{j}") for i, j in pairs],
-    )
-    rows = [F.struct(
-        F.lit(columns[i]).alias("left"), F.lit(columns[j]).alias("right"),
-        F.lit(i).alias("left_pos"), F.lit(j).alias("right_pos"),
-        F.abs(F.try_divide(F.col(f"p{i}_{j}"), F.sqrt(F.col(f"v{i}")) * F.sqrt(F.col(f"v{j}"))))
-        .alias("r"),
-    ) for i, j in pairs]
-    return sums.select(F.inline(F.array(*rows)))
+    xs = [finite_or_null(quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
+    plain = df.select(*xs)
+    means = plain.agg(*[F.avg(f"c{i}") for i in range(len(columns))]).first()
+    centre = np.array([m or 0.0 for m in means])
+    left, right = np.triu_indices(len(columns), 1)
+
+    def sums(batches):
+        total = np.zeros((6, len(left)))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) - centre
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            products = (m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x)
+            total += np.array([p[left, right] for p in products])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), *map(pa.array, total)],
+            ["left_pos", "right_pos", "n", "x", "y", "xx", "yy", "xy"])
+
+    schema = "left_pos int, right_pos int, n double, x double, y double, xx double, yy double, xy double"
+    s = plain.mapInArrow(sums, schema).groupBy("left_pos", "right_pos").agg(
+        *[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    spread = [F.col(q) - F.col(v) * F.col(v) / F.col("n") for v, q in (("x", "xx"), ("y", "yy"))]
+    # rounding leaves a little spread in a constant column
+    constant = [d <= F.col(q) * 1e-13 for d, q in zip(spread, ("xx", "yy"))]
+    r = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.sqrt(spread[0]) * F.sqrt(spread[1]))
+    names = F.array(*[F.lit(c) for c in columns])
+    return s.select(
+        names[F.col("left_pos")].alias("left"), names[F.col("right_pos")].alias("right"), "left_pos", "right_pos",
+        F.when((F.col("n") > 1) & ~constant[0] & ~constant[1], F.abs(r)).alias("r"))
 
 
 def correlated_columns(df: DataFrame, columns: list[str], threshold: float = 0.95) -> list[str]:
     """Columns with any earlier column above the threshold, kept or not."""
     if len(columns) < 2:
         return []
-    if len(columns) <= 16:
-        hits = correlation_pairs(df, columns).where(F.col("r") > threshold)
-        named = {r["right"] for r in hits.select("right").distinct().collect()}
-        return [c for c in columns if c in named]
-    vec = VectorAssembler(inputCols=[f"c{i}" for i in range(len(columns))], outputCol="v")
-    plain = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    m = Correlation.corr(vec.transform(plain), "v").head()[0].toArray()
-    return [c for j, c in enumerate(columns) if any(abs(m[i][j]) > threshold for i in range(j))]
+    hits = correlation_pairs(df, columns).where(F.col("r") > threshold)
+    named = {r["right"] for r in hits.select("right").distinct().collect()}
+    return [c for c in columns if c in named]
 
 
 def mutual_information(
@@ -62,18 +74,19 @@ def mutual_information(
     """Mutual information (nats) of each column, cut at its quantiles, with the label.
 
     Unlike a nearest-neighbour estimate this is exact for the binned column and needs one
-    shuffle of at most columns x bins x classes rows.
+    shuffle of at most columns x bins x classes rows. Rows without a value of a column do not
+    count for it; infinities lie in the end bins.
     """
     plain = df.select(quoted(label).cast("string").alias("y"), *[
         quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)
     ])
     edges = exact_quantiles(plain, plain.columns[1:], [b / bins for b in range(1, bins)])
     cells = [F.struct(
-        F.lit(i).alias("pos"),
+        F.lit(i).alias("pos"), (F.col(f"c{i}").isNotNull() & ~F.isnan(f"c{i}")).alias("there"),
         sum((F.when(F.col(f"c{i}") > F.lit(e), 1).otherwise(0) for e in edges[f"c{i}"]
              if e is not None), F.lit(0)).alias("bin"),
     ) for i in range(len(columns))]
-    joint = plain.select("y", F.inline(F.array(*cells))).groupBy("pos", "bin", "y").agg(
+    joint = plain.select("y", F.inline(F.array(*cells))).where("there").groupBy("pos", "bin", "y").agg(
         F.count(F.lit(1)).alias("n")
     )
     total = F.sum("n").over(Window.partitionBy("pos"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .clean import union_datasets
-from .ordered import cell, cut_at_rank
+from .ordered import cell, cut_at_rank, row_numbers
 
 
 def shuffle_key(row_id: str, seed: int = 42) -> Column:
@@ -18,6 +18,17 @@ def seeded_shuffle(df: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
     return df.orderBy(shuffle_key(row_id, seed), row_id)
 
 
+def key_cell(key: str) -> Column:
+    """Cell of a text key: its first four hex digits, so 65,536 cells of like size."""
+    return F.conv(F.substring(key, 1, 4), 16, 10).cast("long")
+
+
+def seeded_positions(df: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
+    """Add ``position``, 1..n in seeded order, without a task that sees all rows."""
+    keyed = df.withColumn("__key", shuffle_key(row_id, seed))
+    return row_numbers(keyed, ["__key", row_id], key_cell("__key"), "position").drop("__key")
+
+
 def split_exact(df: DataFrame, row_id: str, test_frac: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_train``: the first ``int(n * (1 - test_frac))`` rows in seeded order.
 
@@ -25,9 +36,8 @@ def split_exact(df: DataFrame, row_id: str, test_frac: float = 0.2, seed: int =
     those of one cell.
     """
     keyed = df.withColumn("__key", shuffle_key(row_id, seed))
-    chunk = F.conv(F.substring("__key", 1, 4), 16, 10).cast("long")
     keep = F.floor(F.col("__total") * (1 - F.lit(test_frac)))
-    return cut_at_rank(keyed, ["__key", row_id], chunk, keep, "is_train").drop("__key")
+    return cut_at_rank(keyed, ["__key", row_id], key_cell("__key"), keep, "is_train").drop("__key")
 
 
 def split_hash(df: DataFrame, row_id: str, test_frac: float = 0.2, seed: int = 42) -> DataFrame:

@@ -547,7 +547,24 @@ SQL = {
       THEN 'SUPPRESS' ELSE 'ALERT-AI' END AS kind,
       CASE WHEN label = 'NORMAL' THEN 'ok' ELSE 'ALERT' END AS plain_kind FROM vd"""),
     "pick_classes": CL + "SELECT event_id, Label FROM c WHERE Label IN ('REPLAY', 'MITM_DOS')",
-    "seeded_shuffle": "SELECT event_id FROM events ORDER BY md5('42|' || event_id), event_id LIMIT 100",
+    "seeded_shuffle": """SELECT event_id, row_number() OVER (ORDER BY md5('42|' || event_id), event_id) AS position
+      FROM events""",
+    "quantiles_with_infinities": """WITH r AS (SELECT CASE WHEN l_linenumber = 7 THEN NULL WHEN l_discount = 0
+      THEN 'inf'::DOUBLE ELSE l_quantity::DOUBLE / l_discount::DOUBLE END AS rate,
+      CASE WHEN l_linenumber >= 6 THEN l_quantity::DOUBLE END AS v FROM lineitem),
+      o AS (SELECT 'rate' AS f, rate AS v FROM r WHERE rate IS NOT NULL UNION ALL SELECT 'minus', -rate FROM r
+      WHERE rate IS NOT NULL UNION ALL SELECT 'some', v FROM r WHERE v IS NOT NULL),
+      n AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY f) AS n FROM o),
+      p AS (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 0.9, 1.0]) AS p, unnest(range(5)) AS i),
+      lo AS (SELECT f, i, p * (n - 1) AS r, v, n FROM n JOIN p ON k = CAST(floor(p * (n - 1)) AS BIGINT))
+      SELECT lo.f AS feature, lo.i, round(CASE WHEN lo.v = hi.v OR r = floor(r) THEN lo.v
+      ELSE lo.v + (hi.v - lo.v) * (r - floor(r)) END, 6) AS q
+      FROM lo JOIN n hi ON hi.f = lo.f AND hi.k = least(CAST(floor(r) AS BIGINT) + 1, lo.n - 1)""",
+    "correlation_with_nulls": "WITH w AS (SELECT " + ", ".join(
+        f"CASE WHEN l_orderkey % {i + 2} <> 0 THEN {('l_quantity', 'l_extendedprice', 'l_discount', 'l_tax')[i % 4]}"
+        f"::DOUBLE + {i // 4} * l_linenumber END AS c{i}" for i in range(20)) + " FROM lineitem) " + " UNION ALL ".join(
+        f"SELECT 'c{i}' AS left, 'c{j}' AS right, round(coalesce(abs(corr(c{i}, c{j})), -1), 6) AS r FROM w"
+        for i in range(20) for j in range(i + 1, 20)),
     "split_exact": """SELECT event_id, CAST(row_number() OVER (ORDER BY md5('42|' || event_id), event_id)
       <= floor((SELECT count(*) FROM events) * (1 - 0.2::DOUBLE)) AS BIGINT) AS is_train FROM events""",
     "split_hash": """SELECT event_id, CAST(substr(md5('42|' || event_id), 1, 8) < 'cccccccc' AS BIGINT)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..constants import FLOW_RENAME, PAYLOAD_FEATURES
 from ..functions import dnp3
 from ..functions.net import FLOW_KEY, canonical_key, routable, touches_port
-from ..operators import clean, detect, evaluate, flows, joins, models, select, sets
+from ..operators import clean, detect, evaluate, flows, joins, models, ordered, select, sets
 from ..operators.knn import knn, knn_classify
 from ..sources.tables import json_number, parse_alert_lines, parse_control_frames
 from . import traffic
@@ -535,7 +535,7 @@ def binary_label(spark, d):
 def encode_labels(spark, d):
     c = classes(spark, d)
     train, test = c.where("event_id % 8 < 6"), c.where("event_id % 8 >= 6")
-    codes = clean.label_codes(clean.label_set(train, test))
+    codes = clean.label_table(clean.label_set(train, test))
     coded = clean.encode_labels(c, codes)
     back = clean.decode_labels(coded.withColumn("label_code", F.col("label_code") + F.when(
         F.col("event_id") % 100 == 3, 90).otherwise(0)), codes, out="decoded")
@@ -577,7 +577,7 @@ def pick_classes(spark, d):
 # ---- order, split, sets ---------------------------------------------------------
 
 def seeded_shuffle(spark, d):
-    return sets.seeded_shuffle(events(spark, d).select("event_id"), "event_id").limit(100)
+    return longs(sets.seeded_positions(events(spark, d).select("event_id"), "event_id"), "position")
 
 
 def split_exact(spark, d):
@@ -593,6 +593,29 @@ def validation_split(spark, d):
     return longs(sets.validation_split(o, "o_orderkey"), "is_train")
 
 
+def quantiles_with_infinities(spark, d):
+    """Quantiles of a rate that is infinite where the discount is 0, and null or NaN at times."""
+    li = lineitem(spark, d)
+    rate = F.when(F.col("l_linenumber") == 7, None).when(F.col("l_discount") == 0, float("inf")).otherwise(
+        F.col("l_quantity").cast("double") / F.col("l_discount").cast("double"))
+    both = li.select(rate.alias("rate"), (-rate).alias("minus"), F.when(F.col("l_linenumber") < 6, float("nan")).otherwise(
+        F.col("l_quantity").cast("double")).alias("some"))
+    found = ordered.exact_quantiles(both, both.columns, [0.0, 0.25, 0.5, 0.9, 1.0])
+    return spark.createDataFrame(
+        [(c, i, float(q)) for c, qs in found.items() for i, q in enumerate(qs)], "feature STRING, i LONG, q DOUBLE"
+    ).select("feature", "i", F.round("q", 6).alias("q"))
+
+
+def correlation_with_nulls(spark, d):
+    """Twenty columns with nulls at different rows; each pair counts the rows that have both."""
+    li = lineitem(spark, d)
+    base = [F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    cols = {f"c{i}": F.when(F.col("l_orderkey") % (i + 2) != 0, base[i % 4] + (i // 4) * F.col("l_linenumber"))
+            for i in range(20)}
+    p = select.correlation_pairs(li.select(*[x.alias(c) for c, x in cols.items()]), list(cols))
+    return p.select("left", "right", F.round(F.coalesce("r", F.lit(-1.0)), 6).alias("r"))
+
+
 def union_datasets(spark, d):
     li = lineitem(spark, d).select(F.col("l_orderkey").alias("k"), "l_tax")
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), "o_totalprice")
@@ -883,7 +906,7 @@ QUERIES = {f.__name__: f for f in (
     zero_filled, nonfinite_to_null, impute_train_median, impute_own_median, impute_zero,
     lenient_matrix, json_numbers, to_float32, port_filter, collapse_labels, behavioral_only,
     payload_classes, payload_classes_excluded, binary_label, encode_labels, label_set, null_labels,
-    routable_addresses, verdict_kinds, pick_classes, seeded_shuffle, split_exact, split_hash,
+    routable_addresses, verdict_kinds, pick_classes, seeded_shuffle, quantiles_with_infinities, correlation_with_nulls, split_exact, split_hash,
     validation_split, union_datasets, label_differences, zero_variance, correlation_pairs,
     correlated_columns, mutual_information, top_features, select_corr, importance, scaler,
     standard_scale, metrics_binary, metrics_multiclass, roc_auc, classification_report,

@@ -120,17 +120,22 @@ def test_asof(events, forward):
     assert got == want
 
 
-@pytest.mark.parametrize("max_exact", [100_000, 50])
-def test_exact_quantiles(spark, max_exact):
+@pytest.mark.parametrize("n", [1, 2, 4001])
+def test_exact_quantiles(spark, n):
     import numpy as np
 
     rng = random.Random(5)
+    inf = float("inf")
     rows = [(float(rng.choice([1, 1, 1, 2, rng.random() * 9])), rng.gauss(0, 1),
-             None if i % 3 else float("nan"), 7.0) for i in range(4001)]
-    df = spark.createDataFrame(rows, "a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE")
+             None if i % 3 else float("nan"), 7.0, rng.choice([inf, inf, -inf, -0.0, rng.random()])) for i in range(n)]
+    df = spark.createDataFrame(rows, "a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, e DOUBLE")
     probs = [0.0, 0.1, 0.333, 0.5, 0.9, 1.0]
-    got = o.exact_quantiles(df, ["a", "b", "c", "d"], probs, max_exact)
+    got = o.exact_quantiles(df, ["a", "b", "c", "d", "e"], probs)
     assert got["c"] == [None] * len(probs)
     for j, c in enumerate("ab"):
         assert got[c] == pytest.approx(list(np.quantile([r[j] for r in rows], probs)), abs=1e-12)
     assert got["d"] == [7.0] * len(probs)
+    e = sorted(r[4] for r in rows)
+    for p, q in zip(probs, got["e"]):
+        low, high = e[int(p * (n - 1))], e[min(int(p * (n - 1)) + 1, n - 1)]
+        assert q == low if low == high else low <= q <= high
