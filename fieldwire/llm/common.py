@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldwire.session import checkpoint_folder
 
-#: Text bytes handled by one round of array operations in a task.
-CHUNK_BYTES = 2 << 20
+#: Text bytes handled by one round of array operations in a task; they then fit a core's cache.
+CHUNK_BYTES = 256 << 10
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -98,7 +98,7 @@ def _shard_learner(state, seed: int, p: Training):
             cuts = np.searchsorted(row, np.arange(j - i + 1))
             for k in range(j - i):
                 s = slice(cuts[k], cuts[k + 1])
-                items.append((np.append(feature[s], size), np.append(value[s], 1.0), y[i + k]))
+                items.append((np.append(feature[s], size).astype(np.int32), np.append(value[s], 1.0).astype(np.float32), y[i + k]))
         mz, mn = (x.copy() for x in state.value)
         learn(items, mz, mn, p, seed)
         touched = np.flatnonzero(mn)

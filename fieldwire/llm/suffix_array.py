@@ -34,7 +34,7 @@ from .common import mixed, pieces, powers, prefix_hashes, texts, utf8, written
 LENGTH, GRAM = 400, 200
 SPAN = LENGTH - GRAM
 #: Bytes of text handled by one round of array operations, and of contexts in a range.
-ROUND_BYTES, RANGE_BYTES = 1 << 20, 16 << 20
+ROUND_BYTES, RANGE_BYTES = 256 << 10, 16 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
 

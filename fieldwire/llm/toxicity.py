@@ -120,7 +120,8 @@ def sparse_rows(group: pa.Table, p: Ordinal, use: np.ndarray | None = None) -> l
     for i, j in pieces(at):
         row, feature, value = features(data[at[i]:at[j]], at[i:j + 1] - at[i], p, use)
         cut = np.searchsorted(row, np.arange(j - i + 1))
-        out += [(feature[cut[k]:cut[k + 1]], value[cut[k]:cut[k + 1]], y[i + k]) for k in range(j - i)]
+        feature, value = feature.astype(np.int32), value.astype(np.float32)
+        out += [(feature[cut[k]:cut[k + 1]].copy(), value[cut[k]:cut[k + 1]].copy(), y[i + k]) for k in range(j - i)]
     return out
 
 
