@@ -43,9 +43,9 @@ ATTACK_CLASSES = {
     0x15: "DISABLE_UNSOLICITED",
 }
 
+# Control byte of a link status request, server port.
 LINK_STATUS_CTRL = 0xC9
 DNP3_PORT = 20000
-MODBUS_PORT = 502
 
 # IDS signature ids per function code (to the server, port 20000).
 SIGNATURES = {
@@ -196,8 +196,5 @@ PAYLOAD_CLASSES = [
 MIN_FLOWS_REBUILD = 30
 MIN_FLOWS_WANTED = 100
 
-# The safe band of a process register.
-REGISTER_LOW, REGISTER_HIGH = 0, 999
-
 # TCP flag bits.
 FIN, SYN, RST, PSH, ACK, URG, ECE, CWR = 1, 2, 4, 8, 16, 32, 64, 128

@@ -26,7 +26,7 @@ def clean_alerts(alerts: DataFrame) -> DataFrame:
 
 
 def suppress_covered(
-    verdicts: DataFrame, alerts: DataFrame, ttl_us: int = DEFAULT_TTL_US, benign_first: bool = True,
+    verdicts: DataFrame, alerts: DataFrame, ttl_us: int = DEFAULT_TTL_US,
     chunk_us: int = MINUTE_US,
 ) -> DataFrame:
     """Mark verdicts an IDS alert already covers.
@@ -178,7 +178,3 @@ def outside_limits(writes: DataFrame, limits: DataFrame, address="address", valu
     return writes.join(band, F.col(address) == F.col("__addr")).where(
         (F.col(value) < F.col("lo")) | (F.col(value) > F.col("hi"))
     ).drop("__addr")
-
-
-def fixed_limits(value: Column, lo: int, hi: int) -> Column:
-    return (value < lo) | (value > hi)

@@ -177,6 +177,16 @@ class FlowModel:
         )
 
 
+def scale_by_bundle(df: DataFrame, bundle: DataFrame) -> DataFrame:
+    """Features scaled as an exported bundle says; absent, unparsable or non-finite ones count as 0."""
+    stats = bundle.where("part = 'feature'").orderBy("position").collect()
+    names = [s["name"] for s in stats]
+    clean = impute_lenient(df, names)
+    return clean.withColumns({
+        s["name"]: (quoted(s["name"]) - F.lit(s["mean"])) / F.lit(s["scale"]) for s in stats
+    })
+
+
 def _spark():
     from pyspark.sql import SparkSession
 
@@ -281,10 +291,10 @@ def sweep_features(
 ) -> DataFrame:
     """One row per selection mode: features kept, accuracy, macro f1."""
     train, test = train.cache(), test.cache()
-    rows = []
+    rows, known = [], {}
     for mode in SWEEP_MODES if modes is None else modes:
-        kept = select_features(train, columns, mode, label, trees)
-        model = fit_model(train, kept, label, kind, trees=trees, **opt)
+        kept = select_features(train, columns, mode, label, trees, known=known)
+        model = fit_model(train, kept, label, kind, **({"trees": trees} if kind in ("forest", "boost") else {}), **opt)
         counts = evaluate.confusion_counts(model.predict(test), label, "predicted_label")
         m = evaluate.metrics(counts, "macro").first()
         rows.append((mode, len(kept), m["accuracy"], m["f1"]))
@@ -313,10 +323,3 @@ def train_and_report(
     model = fit_model(train, kept, label, kind, codes, **opt)
     counts = evaluate.confusion_counts(model.predict(test), label, "predicted_label")
     return model, evaluate.classification_report(counts, sorted(codes))
-
-
-def binary_task(df: DataFrame, label: str = "Label") -> DataFrame:
-    """Labels reduced to NORMAL against ATTACK."""
-    return df.withColumn(
-        label, F.when(quoted(label) == BENIGN, BENIGN).otherwise("ATTACK")
-    )

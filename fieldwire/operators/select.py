@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .clean import finite_or_null, quoted
+from ..session import cut_lineage
 from .ordered import exact_quantiles
 
 
@@ -146,9 +147,11 @@ def top_report(scores: DataFrame, n: int = 5) -> DataFrame:
 
 def select_features(
     df: DataFrame, columns: list[str], mode: str, label: str = "Label", trees: int = 100,
-    threshold: float = 0.95,
+    threshold: float = 0.95, known: dict | None = None,
 ) -> list[str]:
-    """``all``, ``variance``, ``top-K``, ``importance-K``, ``corr-K`` or ``smart-K``."""
+    """``all``, ``variance``, ``top-K``, ``importance-K``, ``corr-K`` or ``smart-K``.
+
+    ``known`` keeps scores between calls over the same rows, by kind and columns."""
     if mode == "all":
         return list(columns)
     if mode == "variance":
@@ -163,10 +166,13 @@ def select_features(
     if kind in ("smart", "corr"):
         gone = set(correlated_columns(df, pool, threshold))
         pool = [c for c in pool if c not in gone]
-    if kind in ("top", "corr"):
-        scores = mutual_information(df, pool, label)
-    else:
-        scores = importance(df, pool, label, trees)
+    by_information = kind in ("top", "corr")
+    known = {} if known is None else known
+    key = by_information, tuple(pool)
+    if key not in known:
+        known[key] = cut_lineage(
+            mutual_information(df, pool, label) if by_information else importance(df, pool, label, trees))
+    scores = known[key]
     return [r["feature"] for r in top_k(scores, k).collect()]
 
 

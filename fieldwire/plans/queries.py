@@ -14,6 +14,7 @@ from ..functions import dnp3
 from ..functions.net import FLOW_KEY, canonical_key, routable, touches_port
 from ..operators import clean, detect, evaluate, flows, joins, models, ordered, select, sets
 from ..operators.knn import knn, knn_classify
+from ..session import checkpoint_folder, cut_lineage
 from ..sources.tables import json_number, parse_alert_lines, parse_control_frames
 from . import traffic
 
@@ -685,11 +686,6 @@ def select_corr(spark, d):
     return _column_frame(spark, w, select.select_features(w, WIDE, "corr-3"))
 
 
-def importance(spark, d):
-    v, cols = vectors(spark, d)
-    return select.importance(v, cols, "Label", trees=20)
-
-
 def scaler(spark, d):
     s = models.scaler_stats(wide(spark, d), WIDE)
     return s.select("feature", F.round("mean", 4).alias("mean"), F.round("scale", 4).alias("scale"))
@@ -770,85 +766,134 @@ def rank_models(spark, d):
 
 # ---- models ---------------------------------------------------------------------
 
-def vectors(spark, d):
-    """Embeddings as 64 flow columns with a class label."""
-    v = spark.read.parquet(f"{d}/embeddings.parquet")
-    cols = [f"v{i}" for i in range(64)]
-    return v.select("vec_id", F.concat(F.lit("c"), F.col("label").cast("string")).alias("Label"),
-                    *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)]), cols
+#: Rows the registered models are fitted on, about; they score every row of the table.
+FIT_ROWS = 2_000
+FEATURES = ["f_a", "f_n", "f_quantity", "f_price"]
+
+
+def known(spark, d):
+    """Line items with features their class follows from: two of them are raised by 3 for one
+    class each, so the classes lie far apart and the right prediction of every row is known."""
+    flag = F.col("l_returnflag")
+    price = [F.col(c).cast("double") for c in ("l_discount", "l_tax", "l_quantity", "l_extendedprice")]
+    return lineitem(spark, d).select(
+        F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"),
+        F.xxhash64(*lineitem(spark, d).columns).alias("row"), flag.alias("Label"),
+        (price[0] + F.when(flag == "A", 3.0).otherwise(0.0)).alias("f_a"),
+        (price[1] + F.when(flag == "N", 3.0).otherwise(0.0)).alias("f_n"),
+        (price[2] / 50).alias("f_quantity"), (price[3] / 100000).alias("f_price"))
+
+
+def known_attacks(spark, d):
+    """The same with two classes."""
+    return known(spark, d).withColumn("Label", F.when(F.col("Label") == "A", "ATTACK").otherwise("NORMAL"))
+
+
+def fit_rows(data):
+    """About ``FIT_ROWS`` rows by a hash of their key."""
+    cut = min(1.0, FIT_ROWS / max(1, data.count()))
+    return data.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.lit(int(cut * (1 << 30))))
 
 
-def _fit_predict(kind, **opt):
+def _fit_predict(kind, data=known, **opt):
     def run(spark, d):
-        v, cols = vectors(spark, d)
-        train, test = v.where("vec_id % 5 <> 0"), v.where("vec_id % 5 = 0")
-        codes = clean.label_codes(clean.label_set(train, test))
-        model = models.fit_model(train, cols, kind=kind, codes=codes, **opt)
-        return model.predict(test).select("vec_id", "Label", "predicted_label", "conf")
-    run.__doc__ = f"Fit {kind} on 4 of 5 vectors, predict the rest."
+        k = data(spark, d)
+        model = models.fit_model(fit_rows(k), FEATURES, kind=kind, **opt)
+        sure = F.coalesce(F.col("conf") > 0.5, F.lit(True)).cast("long").alias("sure")
+        return model.predict(k).select("l_orderkey", "l_linenumber", "predicted_label", sure)
+    run.__doc__ = f"Fit {kind} on some rows, predict all."
     return run
 
 
+def importance(spark, d):
+    """The two features that tell the classes, found by importance."""
+    scores = select.importance(fit_rows(known(spark, d)), FEATURES, "Label")
+    return select.top_k(scores, 2).select("feature")
+
+
 def compare_models(spark, d):
-    v, cols = vectors(spark, d)
-    two = v.withColumn("Label", F.when(F.col("Label").isin("c0", "c1", "c2", "c3", "c4"), "NORMAL")
-                       .otherwise("ATTACK"))
-    train, test = two.where("vec_id % 5 <> 0"), two.where("vec_id % 5 = 0")
-    return models.compare_models(train, test, cols, models={
-        "Logistic Regression": ("logistic", {"max_iter": 50}),
-        "Decision Tree": ("tree", {"depth": 8}),
-        "Random Forest": ("forest", {"trees": 20, "depth": 8}),
-    }, row_id="vec_id")
+    """All seven classifiers on two classes; every score but the seconds."""
+    k = fit_rows(known_attacks(spark, d))
+    train, test = k.where("l_linenumber <> 1"), k.where("l_linenumber = 1")
+    found = models.compare_models(train, test, FEATURES, row_id="row")
+    return found.select("model", *[F.round(c, 2).alias(c) for c in ("accuracy", "f1")])
 
 
 def sweep_features(spark, d):
-    v, cols = vectors(spark, d)
-    train, test = v.where("vec_id % 5 <> 0"), v.where("vec_id % 5 = 0")
-    return models.sweep_features(train, test, cols, modes=["all", "variance", "top-20", "smart-20"],
-                                 trees=10, depth=6)
+    """All nine selection modes over the features and forty columns that say nothing."""
+    k = known(spark, d)
+    noise = {f"n{i}": F.pmod(F.col("row"), F.lit(101 + i)) / (101.0 + i) for i in range(40)}
+    train = fit_rows(k).withColumns(noise).withColumn("constant", F.lit(1.0))
+    found = models.sweep_features(train, train, [*FEATURES, *noise, "constant"], kind="tree")
+    return found.select("mode", F.col("features").cast("long").alias("features"), F.round("accuracy", 2).alias("accuracy"))
 
 
 def payload_model(spark, d):
-    """Payload features per user flow, labelled by the flow's class, classified."""
+    """Payload features per flow, labelled by whether a flow holds an attack code, classified."""
     f = flows.payload_features(frames(spark, d))
-    names = F.array(*[F.lit(c) for c in ("NORMAL", "COLD_RESTART", "MITM_DOS", "DNP3_INFO")])
-    n = F.split("a_ip", r"\.")
-    uid = n[2].cast("int") * 256 + n[3].cast("int")
-    data = f.withColumns({"Label": F.get(names, uid % 4), "uid": uid})
-    train = data.where("uid % 3 <> 0").select(*PAYLOAD_FEATURES, "Label")
-    test = data.where("uid % 3 = 0").select(*PAYLOAD_FEATURES, "Label")
-    return models.train_and_report(train, test, payload=True, trees=20, depth=6)[1]
+    data = f.withColumn("Label", F.when(F.col("attack_fc_count") > 0, "COLD_RESTART").otherwise("NORMAL"))
+    data = data.select(*PAYLOAD_FEATURES, "Label")
+    report = models.train_and_report(data, data, payload=True, kind="tree")[1]
+    return report.select("label", r6("precision"), r6("recall"), r6("f1"), "support")
 
 
 def scored_flows(spark, d):
-    """Flow statistics scored by a model fitted on the same table's labelled half."""
+    """Flow statistics scored by a tree fitted on the flows with an even first packet."""
     f = clean.rename_flow_columns(flows.flow_features(
         traffic.endpoints(events(spark, d)), 4 * HOUR, HOUR, HOUR // 2, 3 * HOUR, 2, DAY))
     f = f.withColumn("Label", F.when(F.col("`RST Flag Cnt`") + F.col("`FIN Flag Cnt`") > 0, "ATTACK")
                      .otherwise("NORMAL"))
-    cols = [c for c in FLOW_RENAME.values() if c != "Timestamp"]
-    model = models.fit_model(f.where("first_pkt_no % 2 = 0"), cols, kind="forest", trees=10, depth=6)
-    return flows.verdict_summary(model.predict(f), "predicted_label")
+    model = models.fit_model(f.where("first_pkt_no % 2 = 0"), ["RST Flag Cnt", "FIN Flag Cnt", "Flow Duration"], kind="tree")
+    return flows.verdict_summary(model.predict(f), "predicted_label").select("class", "count", r6("pct"))
 
 
 def model_bundle(spark, d):
-    v, cols = vectors(spark, d)
-    return models.fit_model(v, cols, kind="tree", depth=3).bundle()
+    """Scaler and labels of a model fitted on all rows."""
+    out = models.fit_model(known(spark, d), FEATURES, kind="tree", depth=3).bundle()
+    return out.select("part", F.col("position").cast("long").alias("position"), "name",
+                      F.round("mean", 4).alias("mean"), F.round("scale", 4).alias("scale"))
+
+
+def bundle_scores(spark, d):
+    """Rows scaled by a bundle that was written and read back."""
+    k = known(spark, d)
+    bundle = cut_lineage(models.fit_model(k, FEATURES, kind="tree", depth=3).bundle())
+    out = models.scale_by_bundle(k, bundle)
+    return out.groupBy("Label").agg(*[F.round(F.avg(c), 6).alias(c) for c in FEATURES])
+
+
+def saved_model(spark, d):
+    """Predictions of a model that was saved to the shared folder and loaded."""
+    import uuid
+
+    k = known(spark, d)
+    path = f"{checkpoint_folder(spark)}/model-{uuid.uuid4().hex}"
+    models.fit_model(fit_rows(k), FEATURES, kind="tree").save(path)
+    return models.FlowModel.load(path).predict(k).groupBy("Label", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- streams --------------------------------------------------------------------
 
+def streamed_table(spark, path):
+    """The table at ``path`` as a stream, be it one file or a folder of part files."""
+    table = spark.read.parquet(path)
+    name = path.rstrip("/").rpartition("/")[2]
+    reader = spark.readStream.schema(table.schema)
+    if [f.rpartition("/")[2] for f in table.inputFiles()] == [name]:
+        # a stream reads folders only
+        return reader.option("pathGlobFilter", name).parquet(path.rstrip("/").rpartition("/")[0])
+    return reader.parquet(path)
+
+
 def _streamed(build):
     """Run a streaming plan over the events file to its end; read back what it wrote."""
     def run(spark, d):
         import uuid
 
-        from ..session import checkpoint_folder
         from ..streaming import queries as live
 
         live.use_rocksdb(spark)
-        schema = spark.read.parquet(f"{d}/events.parquet").schema
-        ev = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        ev = streamed_table(spark, f"{d}/events.parquet")
         ev = ev.withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
         base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
         out = build(live, ev)
@@ -911,14 +956,14 @@ QUERIES = {f.__name__: f for f in (
     correlated_columns, mutual_information, top_features, select_corr, importance, scaler,
     standard_scale, metrics_binary, metrics_multiclass, roc_auc, classification_report,
     worst_classes, confusion_matrix, threshold_predict, rank_models, compare_models,
-    sweep_features, payload_model, scored_flows, model_bundle,
+    sweep_features, payload_model, scored_flows, model_bundle, bundle_scores, saved_model,
 )} | {
-    "model_logistic": _fit_predict("logistic", max_iter=50),
-    "model_tree": _fit_predict("tree", depth=10),
-    "model_forest": _fit_predict("forest", trees=20, depth=8),
-    "model_boost": _fit_predict("boost", trees=3, depth=3),
-    "model_svm": _fit_predict("svm", rff=128, max_iter=10),
-    "model_mlp": _fit_predict("mlp", hidden=(32,), max_iter=30),
+    "model_logistic": _fit_predict("logistic"),
+    "model_tree": _fit_predict("tree"),
+    "model_forest": _fit_predict("forest"),
+    "model_boost": _fit_predict("boost", known_attacks, trees=200, depth=6),
+    "model_svm": _fit_predict("svm", known_attacks, rff=256),
+    "model_mlp": _fit_predict("mlp"),
     "live_command_injection": _streamed(_live_injection),
     "live_scan_burst": _streamed(_live_burst),
     "live_blocks": _streamed(_live_blocks),

@@ -25,12 +25,3 @@ ALERT_EVENT = _schema(
 CONTROL_FRAME = _schema(
     type=_S, point_id=_S, value=_S, seq=_S, timestamp=_S, outstation_time=_S, status=_S, code=_S,
 )
-
-VERDICTS = _schema(
-    ts_us=_L, kind=_S, src_ip=_S, src_port=_I, dst_ip=_S, dst_port=_I, label=_S, sig_id=_L,
-    sig_name=_S, conf=T.DoubleType(),
-)
-
-ATTACK_WINDOWS = _schema(label=_S, start_us=_L, stop_us=_L)
-
-REGISTER_LIMITS = _schema(address=_I, lo=_I, hi=_I)

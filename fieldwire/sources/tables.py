@@ -6,7 +6,6 @@ import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..constants import FLOW_RENAME
 from ..operators.clean import collapse_labels, rename_flow_columns, union_datasets
 from ..operators.joins import clean_alerts
 from ..schemas import ALERT_EVENT, CONTROL_FRAME
@@ -153,6 +152,3 @@ def read_feature_list(spark: SparkSession, path: str) -> list[str]:
 def json_number(column: Column, path: str) -> Column:
     """A number inside a JSON text column, 0 when absent or unparsable."""
     return F.coalesce(F.get_json_object(column, path).try_cast("double"), F.lit(0.0))
-
-
-FLOW_COLUMNS = list(FLOW_RENAME)
