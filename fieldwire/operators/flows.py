@@ -35,11 +35,18 @@ def with_flow_key(df: DataFrame) -> DataFrame:
 def packed_position(order: tuple[str, ...]) -> Column:
     """Order columns as one DECIMAL, a fixed-width value that hash aggregation can keep.
 
-    Room for frame numbers below 10^5, packet numbers below 10^15 and any timestamp.
+    Room for frame numbers below 10^5, packet numbers below 10^15 and timestamps below
+    10^17; a number beyond stops the query rather than overlap its neighbour.
     """
     width = {"frame_no": 1, "pkt_no": 10**5, "ts_us": 10**20}
+    room = {"frame_no": 10**5, "pkt_no": 10**15, "ts_us": 10**17}
     big = "decimal(38,0)"
-    terms = [F.col(o).cast(big) * F.lit(str(width[o])).cast("decimal(21,0)") for o in order]
+
+    def held(o: str) -> Column:
+        beyond = F.abs(F.col(o)) >= F.lit(room[o])
+        return F.when(beyond, F.raise_error(F.lit(f"{o} has no room in the packed position"))).otherwise(F.col(o))
+
+    terms = [held(o).cast(big) * F.lit(str(width[o])).cast("decimal(21,0)") for o in order]
     return sum(terms[1:], terms[0]).cast(big)
 
 

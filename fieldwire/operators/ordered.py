@@ -305,8 +305,11 @@ def windows_opened(
         df.select(*keys, ts, *order), keys, ts, order, window_us, chunk_us, max_fold
     )
     placed = asof(df, opens, keys, ts, ts, F.col(ts), "window_open", chunk_us)
-    w = Window.partitionBy(*keys, "window_open").orderBy(ts, *order)
-    return placed.withColumn("window_pos", F.row_number().over(w).cast("long"))
+    # a flood is one window: its rows are counted over cells like any other key's
+    return running(
+        placed, [*keys, "window_open"], [ts, *order], cell(ts, min(chunk_us, max(1, window_us // 64))),
+        sums={"window_pos": F.lit(1).cast("long")},
+    )
 
 
 def value_cell(value: Column, cells: int = 4096) -> Column:

@@ -46,8 +46,14 @@ def split_hash(df: DataFrame, row_id: str, test_frac: float = 0.2, seed: int = 4
     return df.withColumn("is_train", head < F.lit(int((1 - test_frac) * 2**32)))
 
 
-def validation_split(df: DataFrame, row_id: str, frac: float = 0.15, width: int = 100_000) -> DataFrame:
-    """Add ``is_train``: all but the last ``frac`` of rows in ``row_id`` order."""
+def validation_split(df: DataFrame, row_id: str, frac: float = 0.15, cells: int = 4096) -> DataFrame:
+    """Add ``is_train``: all but the last ``frac`` of rows in ``row_id`` order.
+
+    The range of ids is cut into ``cells`` cells, so few counts decide all rows but those of
+    one cell, however large the ids are.
+    """
+    ends = df.agg(F.min(row_id).alias("low"), F.max(row_id).alias("high")).first()
+    width = 1 if ends["low"] is None else max(1, (ends["high"] - ends["low"]) // cells)
     keep = F.floor(F.col("__total") * (1 - F.lit(frac)))
     return cut_at_rank(df, [row_id], cell(row_id, width), keep, "is_train")
 

@@ -633,7 +633,7 @@ SQL = {
       UNION ALL SELECT model, f1, 'all' FROM r""",
     "live_command_injection": sql(INJECTION_ROWS.format(more=""), INJECTION, True),
     "live_scan_burst": sql(BURST_ROWS.format(more=""), BURST, True),
-    "live_blocks": sql("""SELECT src_ip, ts_us, min_by(label, event_id) AS label FROM cand
+    "live_blocks": sql(f"""SELECT src_ip, ts_us, min_by(label, event_id) AS label, ts_us + {8 * HOUR} AS unblock_us FROM cand
       JOIN picks USING (src_ip, ts_us) GROUP BY src_ip, ts_us""",
       "cand AS (SELECT * FROM vd WHERE label <> 'NORMAL')," + chain("cand", "src_ip", 6 * HOUR), True),
     "live_payload_sessions": sql(f"""SELECT {RECORD_COLS} FROM rc WHERE
@@ -670,4 +670,17 @@ SQL = {
       SELECT label, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, support FROM n UNION ALL
       SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), 1.0, 1.0, 1.0, CAST((SELECT sum(support) FROM n) AS BIGINT)""",
     "saved_model": f"WITH {KNOWN} SELECT Label, Label AS predicted_label, count(*) AS n FROM k GROUP BY Label",
+    "flow_csv": sql("""SELECT 'say "' || event_type || '", twice' AS Label, count(*) AS n, round(sum(value), 2) AS duration,
+      CAST(sum(54 + floor(value)) AS DOUBLE) AS length FROM events GROUP BY 1"""),
+    "flow_csv_stream": sql("SELECT src_ip AS Label, count(*) AS n, round(sum(value), 2) AS duration FROM pk GROUP BY 1"),
+    "labelled_tables": """SELECT 'say "' || event_type || '", twice' AS Label, count(*) AS n, count(*) AS lengths FROM events
+      GROUP BY 1 UNION ALL SELECT 'other', count(*), CAST(0 AS BIGINT) FROM events""",
+    "results_table": CL + "SELECT Label, count(*) AS rows FROM c GROUP BY Label",
+    "hex_payloads": """SELECT event_id || '-' || event_type AS text, CAST(length(event_id || '-' || event_type) AS BIGINT) AS size
+      FROM events WHERE event_id % 10 <> 0""",
+    "feature_list": CL + "SELECT row_number() OVER (ORDER BY Label) - 1 AS position, Label AS name FROM (SELECT DISTINCT Label FROM c)",
+    "packet_records": sql("""SELECT pkt_no, src_ip, CAST(src_port AS BIGINT) AS src_port, dst_ip, CAST(dst_port AS BIGINT) AS dst_port,
+      CAST(flags AS BIGINT) AS tcp_flags, CAST(win AS BIGINT) AS win, CAST(40 AS BIGINT) AS hdr_len,
+      CAST(pkt_no % 7 AS BIGINT) AS payload_len, repeat('AB', CAST(pkt_no % 7 AS INTEGER)) AS payload FROM pk
+      WHERE NOT (pkt_no % 23 = 0 AND pkt_no % 6 IN (1, 2, 5))"""),
 }

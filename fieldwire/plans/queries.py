@@ -15,6 +15,7 @@ from ..functions.net import FLOW_KEY, canonical_key, routable, touches_port
 from ..operators import clean, detect, evaluate, flows, joins, models, ordered, select, sets
 from ..operators.knn import knn, knn_classify
 from ..session import checkpoint_folder, cut_lineage
+from ..sources import sinks, tables
 from ..sources.tables import json_number, parse_alert_lines, parse_control_frames
 from . import traffic
 
@@ -872,6 +873,110 @@ def saved_model(spark, d):
     return models.FlowModel.load(path).predict(k).groupBy("Label", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---- sources and sinks ----------------------------------------------------------
+
+def _shared(spark, name):
+    import uuid
+
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _flow_rows(spark, d):
+    """A flow table with text that CSV must quote."""
+    return endpoint_rows(spark, d).select(
+        F.col("pkt_no").cast("string").alias("Flow ID"), F.col("src_ip").alias("Src IP"),
+        F.concat(F.lit('say "'), "event_type", F.lit('", twice')).alias("Label"),
+        F.col("value").alias("duration"), F.col("ip_len").cast("double").alias("length"))
+
+
+def endpoint_rows(spark, d):
+    return traffic.endpoints(events(spark, d))
+
+
+def flow_csv(spark, d):
+    """Labelled flows written as CSV and read with the header's names."""
+    path = _shared(spark, "flows")
+    sinks.write_labelled_csv(_flow_rows(spark, d), path)
+    back = tables.read_flow_csv(spark, path)
+    return back.groupBy("Label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration"), 2).alias("duration"),
+                                     F.sum("length").alias("length"))
+
+
+def flow_csv_stream(spark, d):
+    """The same folder read as a stream, to its end."""
+    from ..streaming import queries as live
+
+    path, base = _shared(spark, "flows"), _shared(spark, "flow-stream")
+    rows = _flow_rows(spark, d).withColumn("Label", F.col("Src IP"))
+    sinks.write_labelled_csv(rows, path)
+    out = live.stream_flow_csv(spark, path, rows.columns)
+    live.write_verdicts(out, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out").groupBy("Label").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("duration"), 2).alias("duration"))
+
+
+def labelled_tables(spark, d):
+    """Two labelled tables of different columns and one without labels, read as one."""
+    paths = [_shared(spark, n) for n in "abc"]
+    rows = _flow_rows(spark, d)
+    sinks.write_labelled_csv(rows, paths[0])
+    sinks.write_labelled_csv(rows.drop("length").withColumn("Label", F.lit("other")), paths[1])
+    sinks.write_labelled_csv(rows.drop("Label"), paths[2])
+    both = tables.read_many(spark, paths)
+    return both.groupBy("Label").agg(F.count(F.lit(1)).alias("n"), F.count("length").alias("lengths"))
+
+
+def results_table(spark, d):
+    path = _shared(spark, "results")
+    sinks.write_results(class_counts(spark, d), path)
+    return spark.read.schema("Label STRING, rows LONG").option("header", True).csv(path)
+
+
+def hex_payloads(spark, d):
+    """Payload bytes written as hex lines, blank ones among them, and read back."""
+    path = _shared(spark, "hex")
+    lines = events(spark, d).select(F.when(F.col("event_id") % 10 == 0, F.lit("  ")).otherwise(
+        F.concat(F.lit(" "), F.hex(F.concat_ws("-", F.col("event_id").cast("string"), "event_type")))).alias("value"))
+    lines.write.text(path)
+    return tables.read_hex_payloads(spark, path).select(
+        F.decode("payload", "UTF-8").alias("text"), F.octet_length("payload").cast("long").alias("size"))
+
+
+def feature_list(spark, d):
+    """Names in order from a list with comments and blank lines."""
+    path = _shared(spark, "features")
+    rows = class_counts(spark, d).orderBy("Label").select(F.concat(F.lit("# about "), "Label", F.lit("\n\n  "), "Label", F.lit(" ")).alias("value"))
+    rows.coalesce(1).write.text(path)
+    names = tables.read_feature_list(spark, path)
+    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "position LONG, name STRING")
+
+
+def packet_records(spark, d):
+    """Capture records of every link type built from events, decoded to packets; other
+    protocols are dropped, link padding is cut off."""
+    from ..sources.pcap import decode_packets
+
+    k = F.col("event_id")
+    octet = lambda c: F.concat(*[traffic._hex2(F.split(c, r"\.")[i].cast("int")) for i in range(4)])
+    two = lambda v: F.lpad(F.hex(v), 4, "0")
+    eth, kinds = "00" * 12, (0, 1, 1, 12, 101, 113)
+    size = (k % 7).cast("int")
+    kind = (k % 6).cast("int")
+    ether = F.when(k % 23 == 0, F.lit("0806")).otherwise(F.lit("0800"))
+    link = (F.when(kind == 0, F.lit("02000000")).when(kind == 1, F.concat(F.lit(eth), ether))
+            .when(kind == 2, F.concat(F.lit(eth + "81000001"), ether)).when(kind == 5, F.concat(F.lit("00" * 14), ether))
+            .otherwise(F.lit("")))
+    e = endpoint_rows(spark, d).withColumns({"flags": F.col("tcp_flags"), "window": F.col("win")})
+    ip = F.concat(F.lit("4500"), two(40 + size), F.lit("000000004006" + "0000"), octet(F.col("src_ip")), octet(F.col("dst_ip")))
+    tcp = F.concat(two(F.col("src_port")), two(F.col("dst_port")), F.lit("00" * 8 + "50"), traffic._hex2(F.col("flags")), two(F.col("window")), F.lit("00000000"))
+    data = F.unhex(F.concat(link, ip, tcp, F.repeat(F.lit("AB"), size), F.lit("000000")))
+    raw = e.select(F.lit("built").alias("file"), F.col("event_id").alias("pkt_no"), "ts_us",
+                   F.get(F.array(*map(F.lit, kinds)), kind).alias("link_type"), data.alias("data"))
+    out = decode_packets(cut_lineage(raw)).select("pkt_no", "src_ip", "src_port", "dst_ip", "dst_port", "tcp_flags", "win", "hdr_len",
+                                     "payload_len", F.hex("payload").alias("payload"))
+    return longs(out, "src_port", "dst_port", "tcp_flags", "win", "hdr_len", "payload_len")
+
+
 # ---- streams --------------------------------------------------------------------
 
 def streamed_table(spark, path):
@@ -912,7 +1017,7 @@ def _live_burst(live, ev):
 
 
 def _live_blocks(live, ev):
-    return live.live_blocks(traffic.verdicts(ev), 6 * HOUR)
+    return live.live_blocks(traffic.verdicts(ev), 6 * HOUR, 8 * HOUR)
 
 
 def _live_sessions(live, ev):
@@ -957,6 +1062,7 @@ QUERIES = {f.__name__: f for f in (
     standard_scale, metrics_binary, metrics_multiclass, roc_auc, classification_report,
     worst_classes, confusion_matrix, threshold_predict, rank_models, compare_models,
     sweep_features, payload_model, scored_flows, model_bundle, bundle_scores, saved_model,
+    flow_csv, flow_csv_stream, labelled_tables, results_table, hex_payloads, feature_list, packet_records,
 )} | {
     "model_logistic": _fit_predict("logistic"),
     "model_tree": _fit_predict("tree"),

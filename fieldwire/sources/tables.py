@@ -27,7 +27,7 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
     Only the names are taken, nothing is inferred from the rows.
     """
-    return spark.read.option("header", True).csv(path).columns
+    return spark.read.option("header", True).option("escape", '"').csv(path).columns
 
 
 def read_flow_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -38,8 +38,9 @@ def read_flow_csv(spark: SparkSession, path: str, columns: list[str] | None = No
     names = columns or csv_header(spark, path)
     if not names:
         raise ValueError(f"{path} is empty")
+    # quotes inside a field are doubled, as the writer does
     return spark.read.schema(flow_schema(names)).option("enforceSchema", columns is not None).csv(
-        path, header=True, mode="PERMISSIVE"
+        path, header=True, mode="PERMISSIVE", escape='"'
     )
 
 
@@ -56,7 +57,7 @@ def read_labelled_dir(
     mark = F.lit(label) if label else stem
 
     def load(where: str, names: list[str]) -> DataFrame:
-        raw = spark.read.schema(flow_schema(names)).csv(where, header=True, enforceSchema=True)
+        raw = spark.read.schema(flow_schema(names)).csv(where, header=True, enforceSchema=True, escape='"')
         return rename_flow_columns(raw.withColumn("Label", mark).select(
             *[c for c in raw.columns if c != "Label"], "Label"))
 

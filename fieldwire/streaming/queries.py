@@ -100,8 +100,11 @@ def live_scan_burst(
     return _keyed(rows, ["src_ip"], ScanBurst(cols, cols[1:], threshold, window_us), out)
 
 
-def live_blocks(verdicts: DataFrame, dedupe_us: int = 60_000_000, delay: str = DELAY) -> DataFrame:
-    """Sources to block, each at most once per dedupe interval."""
+def live_blocks(
+    verdicts: DataFrame, dedupe_us: int = 60_000_000, ttl_us: int = 3_600_000_000, delay: str = DELAY
+) -> DataFrame:
+    """Sources to block, each at most once per dedupe interval, and when to unblock them
+    (``ttl_us`` 0: never, a null time)."""
     from ..constants import BENIGN
     from ..functions.net import routable
 
@@ -110,7 +113,9 @@ def live_blocks(verdicts: DataFrame, dedupe_us: int = 60_000_000, delay: str = D
         (F.col("label") != BENIGN) & routable(F.col("src_ip"))
     ).select(*cols, "event_time")
     out = T.StructType([rows.schema[c] for c in cols])
-    return _keyed(rows, ["src_ip"], Cooldown(cols, ["ts_us"], dedupe_us), out)
+    blocks = _keyed(rows, ["src_ip"], Cooldown(cols, ["ts_us"], dedupe_us), out)
+    unblock = F.col("ts_us") + F.lit(ttl_us) if ttl_us else F.lit(None).cast("long")
+    return blocks.withColumn("unblock_us", unblock)
 
 
 def session_rows(packets: DataFrame, port: int = DNP3_PORT) -> DataFrame:
