@@ -91,12 +91,14 @@ def grouped_bits(sample: np.ndarray, parts: int) -> list[tuple[int, ...]]:
     return groups
 
 
-def allocate(sample: np.ndarray, radius: int, rows: int, most_parts: int = 4, pair_cost: float = 1.0) -> tuple[list[Part], float]:
+def allocate(sample: np.ndarray, radius: int, rows: int, most_parts: int = 4, pair_cost: float = 0.02) -> tuple[list[Part], float]:
     """Parts and thresholds of the least estimated cost for an index of ``rows`` fingerprints.
 
-    Cost of a part at threshold t: rows times the probes, plus ``pair_cost`` times the candidate pairs,
-    estimated as the share of sampled pairs that agree to within t there (at least the share that even
-    bits would give). The dynamic program spends radius + 1 units of threshold + 1 on the parts."""
+    Cost of a part at threshold t: rows times the probes, which are shuffled and sorted, plus ``pair_cost``
+    times the candidate pairs, which only meet a condition inside the join. Their number is estimated from
+    the share of sampled pairs that agree to within t there, at least the share that even bits would give.
+    Pairs that differ in under a quarter of all bits are left out of it: they are copies of each other,
+    candidates under any plan, and grow with their groups, not with the corpus squared. The dynamic program spends radius + 1 units of threshold + 1 on the parts."""
     values = np.unique(sample)
     best: tuple[list[Part], float] = ([Part(tuple(range(BITS)), radius)], float("inf"))
     for m in range(1, most_parts + 1):
@@ -105,12 +107,14 @@ def allocate(sample: np.ndarray, radius: int, rows: int, most_parts: int = 4, pa
         groups = grouped_bits(values, m) if len(values) > 1 else [tuple(range(BITS * g // m, BITS * (g + 1) // m)) for g in range(m)]
         cost = np.zeros((m, radius + 2))
         for i, group in enumerate(groups):
-            part = values & np.uint64(sum(1 << b for b in group))
+            mask = np.uint64(sum(1 << b for b in group))
+            part = values & mask
             far = np.zeros(radius + 1)
-            for v in part:  # one sampled row against all: a bounded block
-                far += np.bincount(np.minimum(np.bitwise_count(part ^ v), radius + 1), minlength=radius + 2)[:radius + 1]
-            near = np.cumsum(far) - len(part)
-            pairs = len(part) * max(1, len(part) - 1)
+            for v in values:  # one sampled row against all: a bounded block
+                apart = np.bitwise_count(part ^ (v & mask))[np.bitwise_count(values ^ v) >= BITS // 4]
+                far += np.bincount(np.minimum(apart, radius + 1), minlength=radius + 2)[:radius + 1]
+            near = np.cumsum(far)
+            pairs = max(1, len(part) * (len(part) - 1))
             for t in range(radius + 1):
                 probes = sum(comb(len(group), j) for j in range(t + 1))
                 share = max(near[t] / pairs, probes / 2.0 ** len(group))
