@@ -319,14 +319,15 @@ def counted_windows(docs: DataFrame, contexts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int16(), pa.binary()))], ["gram", "context", "d", "window"])
 
     rows = written(docs.join(places, ["doc_id", "th"]).mapInArrow(windows, "gram long, context long, d short, window binary"), "windows")
-    twice = rows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
+    twice = written(rows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "repeated-windows")
     return rows.join(twice, "window").groupBy("gram", "context").agg(F.min("d").alias("least"), F.max("d").alias("most"))
 
 
 def repeated_spans(rows: DataFrame, most_contexts: int = 20_000) -> DataFrame:
     """``doc_id``, ``th``, ``start``, ``end``: stretches of bytes covered by repeated windows, in any order."""
     found = written(all_anchors(rows), "anchors")
-    again = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # written, so that both sides of the join are bare shuffles and a passage found everywhere is split
+    again = written(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated-grams")
     kept = written(found.join(again, "gram"), "repeated-anchors")
     folded = kept.groupBy("gram", "context").agg(
         F.min(F.struct("doc_id", "th", "place", "low", "high", "head")).alias("one"), (F.count("*") > 1).alias("many"))
