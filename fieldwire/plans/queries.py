@@ -368,24 +368,24 @@ def recent_verdicts(spark, d):
 
 def running_counters(spark, d):
     v = verdicts(spark, d).withColumn("kind", clean.verdict_kind(F.col("label"), F.lit(False)))
-    return detect.running_counters(v, chunk_us=DAY).select("event_id", "kind", "flows_scored", "alerts")
+    return detect.running_counters(v, chunk_us=HOUR).select("event_id", "kind", "flows_scored", "alerts")
 
 
 def running_counters_by_source(spark, d):
     v = verdicts(spark, d).withColumn("kind", clean.verdict_kind(F.col("label"), F.lit(False)))
-    return detect.running_counters(v, ["src_ip"], chunk_us=DAY).select(
+    return detect.running_counters(v, ["src_ip"], chunk_us=HOUR).select(
         "event_id", "src_ip", "flows_scored", "alerts")
 
 
 def replayed_frames(spark, d):
     f = joins.requests(control(spark, d)[0])
-    out = detect.replayed_frames(f, 1000, DAY)
+    out = detect.replayed_frames(f, 1000, HOUR)
     return longs(out.select("event_id", "repeated", "jumped", "backward"),
                  "repeated", "jumped", "backward")
 
 
 def replay_bursts(spark, d):
-    f = flows.flow_features(traffic.endpoints(events(spark, d)), 4 * HOUR, HOUR, HOUR // 2, 3 * HOUR, 2, DAY)
+    f = flows.flow_features(traffic.endpoints(events(spark, d)), 4 * HOUR, HOUR, HOUR // 2, 3 * HOUR, 2, HOUR)
     out = detect.replay_burst_flows(f, 2 * HOUR, float(HOUR), 1e-4)
     return out.select("first_pkt_no", "src_ip", "flow_duration", "tot_fwd_pkts")
 
