@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Test items are taken in blocks of bounded size. A scan over all documents counts in how many each
-n-gram of a block occurs; of every stretch of an item the rarest n-gram is its seed, so even an item
-that is copied everywhere has seeds. A second scan joins passages to items where two seeds meet on
-neighbouring diagonals and aligns the passage with the whole item, in whole batches of arrays."""
+Test items are taken in blocks of bounded size and every n-gram of an item is a seed, so that no other
+document decides which part of a copy an edit may touch. A scan over all documents joins passages to
+items where a seed meets; a passage with several on neighbouring diagonals, or with enough words of the
+item to reach the score, is aligned with the whole item, in whole batches of arrays."""
 
 from __future__ import annotations
 
@@ -12,17 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import mixed, pieces, texts, tokens, utf8, written
 
 
 @dataclass(frozen=True)
 class Rules:
-    """``seed_words`` in an n-gram, one seed in each ``stretch`` of n-grams, ``least_seeds`` for a passage;
-    a match scores 1, another word or a gap -1; an item is found at ``least_share`` of its own score."""
+    """``seed_words`` in an n-gram; a passage with ``least_seeds`` is aligned without counting its words
+    first; a match scores 1, another word or a gap -1; an item is found at ``least_share`` of its own score."""
     seed_words: int = 3
-    stretch: int = 5
     least_seeds: int = 2
     least_share: float = 0.5
     block_bytes: int = 8_000_000
@@ -78,47 +77,6 @@ class Lookup:
         return hit, self.order[at]
 
 
-def document_counts(docs: DataFrame, grams: np.ndarray, n: int) -> np.ndarray:
-    """In how many rows of ``docs`` each of the distinct ``grams`` occurs; counted in the tasks, then summed."""
-    keys = np.unique(grams)
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Lookup(shared.value)
-        total = np.zeros(len(shared.value), np.int64)
-        for b in batches:
-            data, at = utf8(b.column("text"))
-            for i, j in pieces(at):
-                h, row, _, _ = tokens(data[at[i]:at[j]], at[i:j + 1] - at[i], split_signs=True)
-                g, start = ngrams(h, row, n)
-                hit, key = find.find(g)
-                seen = np.unique(row[start[hit]] * len(total) + key) % max(1, len(total))
-                total += np.bincount(seen, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["key", "docs"])
-
-    found = docs.mapInArrow(run, "key long, docs long").groupBy("key").agg(F.sum("docs").alias("docs")).toPandas()
-    counts = np.zeros(len(keys), np.int64)
-    counts[found["key"]] = found["docs"]
-    return counts[np.searchsorted(keys, grams)]
-
-
-def seeds(block: Block, docs: np.ndarray, rules: Rules) -> np.ndarray:
-    """Indices of the block's n-grams that are the rarest of some stretch of their item (ties: the first)."""
-    if not len(docs):
-        return np.zeros(0, np.int64)
-    rank = docs * (len(docs) + 1) + np.arange(len(docs))
-    size = np.bincount(block.item, minlength=len(block.ids))
-    far = np.iinfo(np.int64).max
-    best = rank.copy()
-    for k in range(1, rules.stretch):
-        ahead = np.full(len(rank), far)
-        ahead[:len(rank) - k] = np.where(block.item[k:] == block.item[:len(rank) - k], rank[k:], far)
-        best = np.minimum(best, ahead)
-    whole = (block.place + rules.stretch <= size[block.item]) | (block.place == 0)
-    return np.unique(best[whole] % (len(docs) + 1))
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> np.ndarray:
     """Best local alignment score of each row of ``item`` with the same row of ``passage``.
 
@@ -136,14 +94,46 @@ def align(item: np.ndarray, passage: np.ndarray) -> np.ndarray:
     return best
 
 
-def passages(block: Block, seed: np.ndarray, find: Lookup, h, row, rules: Rules):
+def word_keys(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mixed(words + mixed(item.astype(np.uint64)))
+
+
+def enough_words(find: Lookup, h, item, low, high, least) -> np.ndarray:
+    """Whether each candidate holds ``least`` words of its item, counted as often as the item has them:
+    each match of an alignment needs one."""
+    out = np.zeros(len(item), bool)
+    size = high - low
+    ends = np.cumsum(size)
+    i = 0
+    while i < len(item):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + (1 << 18), "right")))
+        n = size[i:j]
+        who = np.repeat(np.arange(j - i), n)
+        at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n - low[i:j], n)
+        # an item's k-th word of one kind meets a passage that has k of them or more
+        hit, key = find.find(word_keys(item[i:j][who], h[at]))
+        pair, times = np.unique(who[hit] * np.int64(len(find.keys) + 1) + key, return_counts=True)
+        most = find.nth[pair % (len(find.keys) + 1)]
+        out[i:j] = np.bincount(pair // (len(find.keys) + 1), np.minimum(times, most), j - i) >= least[i:j]
+        i = j
+    return out
+
+
+def word_lookup(block: Block) -> Lookup:
+    """The distinct words of each item, and in ``nth`` how often the item has them."""
+    keys, times = np.unique(word_keys(np.repeat(np.arange(len(block.ids)), np.diff(block.at)), block.words), return_counts=True)
+    find = Lookup(keys)
+    find.nth = times
+    return find
+
+
+def passages(block: Block, find: Lookup, words: Lookup, h, row, rules: Rules):
     """Candidates of a chunk of documents: row, item, first and last word of the passage."""
     g, start = ngrams(h, row, rules.seed_words)
     hit, key = find.find(g)
     if not len(hit):
         return hit, hit, hit, hit
-    gram = seed[key]
-    where, item, place = start[hit], block.item[gram], block.place[gram]
+    where, item, place = start[hit], block.item[key], block.place[key]
     length = np.diff(block.at)
     diagonal = where - place
     slack = np.maximum(8, length[item] // 4)
@@ -154,18 +144,20 @@ def passages(block: Block, seed: np.ndarray, find: Lookup, h, row, rules: Rules)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[1:])
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
-    # distinct seeds of a group; an item that has fewer than asked for needs all of its own
+    # distinct seeds of a group
     pair = np.unique(group.astype(np.int64) * (int(length.max(initial=0)) + 1) + place) // (int(length.max(initial=0)) + 1)
     distinct = np.bincount(pair, minlength=len(first))
-    own = np.bincount(block.item[seed], minlength=len(block.ids))
-    good = distinct >= np.minimum(rules.least_seeds, own[item[first]])
     last = np.append(first[1:], len(where)) - 1
-    f = first[good]
-    low = diagonal[f] - slack[f]
-    high = diagonal[last[good]] + length[item[f]] + slack[f]
+    doc, item = doc[first], item[first]
+    # an item found at its least share has no more gaps than the words it may lose
+    far = np.maximum(slack[first], np.floor((1 - rules.least_share) * length[item]).astype(np.int64))
     # stay inside the document
-    begin, end = np.searchsorted(row, doc[f], "left"), np.searchsorted(row, doc[f], "right")
-    return doc[f], item[f], np.maximum(low, begin), np.minimum(high, end)
+    low = np.maximum(diagonal[first] - far, np.searchsorted(row, doc, "left"))
+    high = np.minimum(diagonal[last] + length[item] + far, np.searchsorted(row, doc, "right"))
+    good = distinct >= rules.least_seeds
+    few = np.flatnonzero(~good)
+    good[few] = enough_words(words, h, item[few], low[few], high[few], rules.least_share * length[item[few]])
+    return doc[good], item[good], low[good], high[good]
 
 
 def scored(block: Block, h, item, low, high, cells: int = 1 << 20) -> np.ndarray:
@@ -192,13 +184,13 @@ def scored(block: Block, h, item, low, high, cells: int = 1 << 20) -> np.ndarray
     return out
 
 
-def found_in(block: Block, seed: np.ndarray, find: Lookup, column: pa.Array, rules: Rules):
+def found_in(block: Block, find: Lookup, words: Lookup, column: pa.Array, rules: Rules):
     """Items found in a batch of texts, chunk by chunk: row, item, score, first and end byte."""
     length = np.diff(block.at)
     data, at = utf8(column)
     for i, j in pieces(at):
         h, row, begin, end = tokens(data[at[i]:at[j]], at[i:j + 1] - at[i], split_signs=True)
-        doc, item, low, high = passages(block, seed, find, h, row, rules)
+        doc, item, low, high = passages(block, find, words, h, row, rules)
         score = scored(block, h, item, low, high)
         ok = np.flatnonzero(score >= rules.least_share * length[item])
         if len(ok):
@@ -206,8 +198,8 @@ def found_in(block: Block, seed: np.ndarray, find: Lookup, column: pa.Array, rul
             yield doc[ok] + i, item[ok], score[ok], begin[low[ok]] - base, end[high[ok] - 1] - base
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, rules: Rules) -> Iterator:
-    """Blocks of test items with their seeds, shared with the tasks."""
+def prepared(spark: SparkSession, benchmark: DataFrame, rules: Rules) -> Iterator:
+    """Blocks of test items, shared with the tasks."""
     items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
              .filter("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text")))
     items = written(items, "items")
@@ -215,9 +207,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, rules: Rules) -> Iterator:
     blocks = max(1, -(-size // rules.block_bytes))
     for k in range(blocks):
         some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
-        block = block_of([r["item_id"] for r in some], [r["text"] for r in some], rules)
-        seed = seeds(block, document_counts(docs, block.grams, rules.seed_words), rules)
-        yield docs.sparkSession.sparkContext.broadcast((block, seed))
+        yield spark.sparkContext.broadcast(block_of([r["item_id"] for r in some], [r["text"] for r in some], rules))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -226,15 +216,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
 
     Words are compared without case, signs apart from letters. Items with a null id or fewer words than a
     seed, and null or empty texts, match nothing. Repeated rows count once per document id and item.
-    The driver holds one block of items at a time; documents are scanned twice per block."""
+    The driver holds one block of items at a time; documents are scanned once per block.
+    A copy in which edits leave no ``seed_words`` words of the item in a row is not aligned."""
     rows, found = texts(docs), None
-    for shared in prepared(rows, benchmark, rules):
+    for shared in prepared(docs.sparkSession, benchmark, rules):
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, seed = shared.value
-            find = Lookup(block.grams[seed])
+            block = shared.value
+            find, words = Lookup(block.grams), word_lookup(block)
             length = np.diff(block.at)
             for b in batches:
-                for row, item, score, start, end in found_in(block, seed, find, b.column("text"), rules):
+                for row, item, score, start, end in found_in(block, find, words, b.column("text"), rules):
                     yield pa.RecordBatch.from_arrays(
                         [b.column("doc_id").take(pa.array(row)), pa.array(block.ids[item]), pa.array(score),
                          pa.array(length[item]), pa.array(start), pa.array(end)],
@@ -253,13 +244,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
     """``docs``, all columns, without the rows in whose text a test item is found; each row is judged
     where it is read, whatever its id."""
     place = docs.columns.index("text")
-    for shared in prepared(texts(docs), benchmark, rules):
+    for shared in prepared(docs.sparkSession, benchmark, rules):
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, seed = shared.value
-            find = Lookup(block.grams[seed])
+            block = shared.value
+            find, words = Lookup(block.grams), word_lookup(block)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for row, *_ in found_in(block, seed, find, b.column(place), rules):
+                for row, *_ in found_in(block, find, words, b.column(place), rules):
                     keep[row] = False
                 yield b.filter(pa.array(keep))
 

@@ -83,3 +83,25 @@ def test_query_finds_every_verbatim_item(spark):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id) for r in op10_decontamination(spark, folder).collect()}
     assert {(k, i) for k, t in texts.items() for i, x in items.items() if x in t} <= got
+
+
+def test_a_single_edited_copy_is_found_as_brute_force_finds_it(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    def text(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+    items, documents = [], []
+    for k in range(150):
+        item = text(rng.randint(14, 20))
+        copy = list(item)
+        for j in sorted(rng.sample(range(len(copy)), round(len(copy) * rng.uniform(0.1, 0.2))), reverse=True):
+            copy[j:j + rng.choice([0, 1, 1])] = text(rng.choice([0, 1, 1]))
+        items.append(item)
+        documents.append(text(30) + copy + text(30))
+        if k % 2:  # an exact copy elsewhere does not hide the edited one
+            documents.append(item)
+    truth = {(k, i) for k, w in enumerate(documents) for i, x in enumerate(items) if len(set(x) & set(w)) > 5
+             and smith_waterman(x, w) >= 0.5 * len(x)}
+    got = d.contaminated(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(documents)], "doc_id long, text string"),
+                         spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
+    assert len(truth) >= 225 and {(r.doc_id, r.item_id) for r in got} == truth
