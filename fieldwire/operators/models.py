@@ -287,13 +287,16 @@ def compare_models(
 
 def sweep_features(
     train: DataFrame, test: DataFrame, columns: list[str], label: str = "Label",
-    modes: list[str] | None = None, kind: str = "forest", trees: int = 100, **opt,
+    modes: list[str] | None = None, kind: str = "forest", trees: int = 100,
+    whole: DataFrame | None = None, **opt,
 ) -> DataFrame:
-    """One row per selection mode: features kept, accuracy, macro f1."""
+    """One row per selection mode: features kept, accuracy, macro f1. ``whole`` are the rows whose
+    statistics choose the features, where ``train`` is only a part of them."""
     train, test = train.cache(), test.cache()
     rows, known = [], {}
     for mode in SWEEP_MODES if modes is None else modes:
-        kept = select_features(train, columns, mode, label, trees, known=known)
+        kept = select_features(train if whole is None else whole, columns, mode, label, trees,
+                               known=known, fit_on=train)
         model = fit_model(train, kept, label, kind, **({"trees": trees} if kind in ("forest", "boost") else {}), **opt)
         counts = evaluate.confusion_counts(model.predict(test), label, "predicted_label")
         m = evaluate.metrics(counts, "macro").first()

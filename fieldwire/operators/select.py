@@ -147,11 +147,12 @@ def top_report(scores: DataFrame, n: int = 5) -> DataFrame:
 
 def select_features(
     df: DataFrame, columns: list[str], mode: str, label: str = "Label", trees: int = 100,
-    threshold: float = 0.95, known: dict | None = None,
+    threshold: float = 0.95, known: dict | None = None, fit_on: DataFrame | None = None,
 ) -> list[str]:
     """``all``, ``variance``, ``top-K``, ``importance-K``, ``corr-K`` or ``smart-K``.
 
-    ``known`` keeps scores between calls over the same rows, by kind and columns."""
+    ``known`` keeps scores between calls over the same rows, by kind and columns. Importance is
+    fitted on ``fit_on``, or on ``df``; all else is a statistic of ``df``."""
     if mode == "all":
         return list(columns)
     if mode == "variance":
@@ -171,7 +172,7 @@ def select_features(
     key = by_information, tuple(pool)
     if key not in known:
         known[key] = cut_lineage(
-            mutual_information(df, pool, label) if by_information else importance(df, pool, label, trees))
+            mutual_information(df, pool, label) if by_information else importance(df if fit_on is None else fit_on, pool, label, trees))
     scores = known[key]
     return [r["feature"] for r in top_k(scores, k).collect()]
 

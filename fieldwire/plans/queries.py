@@ -767,7 +767,8 @@ def rank_models(spark, d):
 
 # ---- models ---------------------------------------------------------------------
 
-#: Rows the registered models are fitted on, about; they score every row of the table.
+#: Rows the registered models are fitted on, about; they score every row of the table, the
+#: comparisons every row that was not fitted.
 FIT_ROWS = 2_000
 FEATURES = ["f_a", "f_n", "f_quantity", "f_price"]
 
@@ -792,8 +793,19 @@ def known_attacks(spark, d):
 
 def fit_rows(data):
     """About ``FIT_ROWS`` rows by a hash of their key."""
+    return data.where(_fitted(data))
+
+
+def _fitted(data):
     cut = min(1.0, FIT_ROWS / max(1, data.count()))
-    return data.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.lit(int(cut * (1 << 30))))
+    return F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.lit(int(cut * (1 << 30)))
+
+
+def fit_and_rest(data):
+    """Rows to fit, by hash and never the first of an order, and all others."""
+    may = F.col("l_linenumber") != 1
+    fitted = F.coalesce(may & _fitted(data.where(may)), F.lit(False))
+    return data.where(fitted), data.where(~fitted)
 
 
 def _fit_predict(kind, data=known, **opt):
@@ -813,19 +825,20 @@ def importance(spark, d):
 
 
 def compare_models(spark, d):
-    """All seven classifiers on two classes; every score but the seconds."""
-    k = fit_rows(known_attacks(spark, d))
-    train, test = k.where("l_linenumber <> 1"), k.where("l_linenumber = 1")
+    """All seven classifiers on two classes, scored on every row that was not fitted; every
+    score but the seconds."""
+    train, test = fit_and_rest(known_attacks(spark, d))
     found = models.compare_models(train, test, FEATURES, row_id="row")
     return found.select("model", *[F.round(c, 2).alias(c) for c in ("accuracy", "f1")])
 
 
 def sweep_features(spark, d):
-    """All nine selection modes over the features and forty columns that say nothing."""
-    k = known(spark, d)
+    """All nine selection modes over the features and forty columns that say nothing: statistics
+    of the whole table, scores of every row that was not fitted."""
     noise = {f"n{i}": F.pmod(F.col("row"), F.lit(101 + i)) / (101.0 + i) for i in range(40)}
-    train = fit_rows(k).withColumns(noise).withColumn("constant", F.lit(1.0))
-    found = models.sweep_features(train, train, [*FEATURES, *noise, "constant"], kind="tree")
+    k = known(spark, d).withColumns(noise).withColumn("constant", F.lit(1.0))
+    train, test = fit_and_rest(k)
+    found = models.sweep_features(train, test, [*FEATURES, *noise, "constant"], kind="tree", whole=k)
     return found.select("mode", F.col("features").cast("long").alias("features"), F.round("accuracy", 2).alias("accuracy"))
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldwire.operators import evaluate, joins, knn, select
+from fieldwire.operators.models import sweep_features
 
 
 def brute(train, test, k):
@@ -106,3 +107,32 @@ def test_overlapping_attack_runs(spark):
         spark.createDataFrame(flows, "id LONG, ts_us LONG"),
         spark.createDataFrame(runs, "label STRING, start_us LONG, stop_us LONG"), bin_us=64)
     assert {r["id"]: r["label"] for r in out.select("id", F.col("label")).collect()} == want
+
+
+def test_comparisons_score_every_row_that_is_not_fitted(spark, monkeypatch):
+    from fieldwire.plans import queries
+
+    folder, seen = "/root/testdata/sf0.001", {}
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+
+    def record(name, columns):
+        def run(train, test, *args, whole=None, **opt):
+            seen[name] = (train.count(), test.count(), train.join(test, "row", "left_semi").count(),
+                          rows if whole is None else whole.count())
+            return spark.range(0).selectExpr(*[f"{c}" for c in columns])
+        return run
+
+    monkeypatch.setattr(queries.models, "compare_models", record("compare", ["'' AS model", "1.0D AS accuracy", "1.0D AS f1"]))
+    monkeypatch.setattr(queries.models, "sweep_features", record("sweep", ["'' AS mode", "1 AS features", "1.0D AS accuracy"]))
+    queries.compare_models(spark, folder)
+    queries.sweep_features(spark, folder)
+    for fitted, scored, both, whole in seen.values():
+        assert 0 < fitted < 3000 and fitted + scored == rows and both == 0 and whole == rows
+
+
+def test_selection_statistics_of_the_whole(spark):
+    rows = spark.range(400).selectExpr(
+        "cast(id % 2 as string) AS Label", "cast(id % 2 as double) AS a", "cast(id >= 100 as double) AS late", "id")
+    train, test = rows.where("id < 100"), rows.where("id >= 100")
+    kept = lambda **opt: sweep_features(train, test, ["a", "late"], modes=["variance"], kind="tree", **opt).first()["features"]
+    assert kept() == 1 and kept(whole=rows) == 2
