@@ -199,15 +199,14 @@ def found_in(block: Block, find: Lookup, words: Lookup, column: pa.Array, rules:
 
 
 def prepared(spark: SparkSession, benchmark: DataFrame, rules: Rules) -> Iterator:
-    """Blocks of test items, shared with the tasks."""
-    items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-             .filter("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text")))
+    """Blocks of test items, each different text of an id on its own, shared with the tasks."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     items = written(items, "items")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // rules.block_bytes))
     for k in range(blocks):
-        some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
-        yield spark.sparkContext.broadcast(block_of([r["item_id"] for r in some], [r["text"] for r in some], rules))
+        some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+        yield spark.sparkContext.broadcast(block_of([r["item_id"] or 0 for r in some], [r["text"] for r in some], rules))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -215,11 +214,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
     best alignment, ``start_byte`` and ``end_byte`` of the passage searched, ``passages`` found.
 
     Words are compared without case, signs apart from letters. Items with a null id or fewer words than a
-    seed, and null or empty texts, match nothing. Repeated rows count once per document id and item.
+    seed, and null or empty texts, match nothing. Different texts of one id are items of their own, of
+    which the one with the best share is reported. Repeated rows count once per document id and item.
     The driver holds one block of items at a time; documents are scanned once per block.
     A copy in which edits leave no ``seed_words`` words of the item in a row is not aligned."""
     rows, found = texts(docs), None
-    for shared in prepared(docs.sparkSession, benchmark, rules):
+    for shared in prepared(docs.sparkSession, benchmark.filter("item_id is not null"), rules):
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             find, words = Lookup(block.grams), word_lookup(block)
@@ -233,16 +233,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
 
         one = rows.mapInArrow(run, "doc_id long, item_id long, score long, item_words long, start_byte long, end_byte long")
         found = one if found is None else found.union(one)
+    share = F.col("score") / F.col("item_words")
     return found.groupBy("doc_id", "item_id").agg(
-        F.max("score").alias("score"), F.first("item_words").alias("item_words"),
-        F.max_by(F.struct("start_byte", "end_byte"), F.struct(F.col("score"), -F.col("start_byte"))).alias("at"),
-        F.count("*").alias("passages")).select(
-        "doc_id", "item_id", "score", (F.col("score") / F.col("item_words")).alias("share"), "at.start_byte", "at.end_byte", "passages")
+        F.max_by(F.struct("score", share.alias("share"), "start_byte", "end_byte"),
+                 F.struct(share, F.col("score"), -F.col("start_byte"))).alias("best"),
+        F.count("*").alias("passages")).select("doc_id", "item_id", "best.*", "passages")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``docs``, all columns, without the rows in whose text a test item is found; each row is judged
-    where it is read, whatever its id."""
+    where it is read, whatever its id, and items count whatever theirs."""
     place = docs.columns.index("text")
     for shared in prepared(docs.sparkSession, benchmark, rules):
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

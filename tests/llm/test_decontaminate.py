@@ -105,3 +105,14 @@ def test_a_single_edited_copy_is_found_as_brute_force_finds_it(spark):
     got = d.contaminated(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(documents)], "doc_id long, text string"),
                          spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
     assert len(truth) >= 225 and {(r.doc_id, r.item_id) for r in got} == truth
+
+
+def test_every_text_of_an_item_id_is_searched(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)) for n in (20, 30, 25))
+    bench = spark.createDataFrame([(1, a), (1, b), (None, c)], "item_id long, text string")
+    corpus = spark.createDataFrame([(10, f"so {a} on"), (11, f"so {b} on"), (12, f"so {c} on"), (13, f"{a} and {b}"), (14, "clean")],
+                                   "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.share, r.passages) for r in d.contaminated(corpus, bench).collect()}
+    assert got == {(10, 1): (20, 1.0, 1), (11, 1): (30, 1.0, 1), (13, 1): (30, 1.0, 2)}
+    assert [r.doc_id for r in d.decontaminate(corpus, bench).collect()] == [14]
