@@ -46,13 +46,14 @@ def fingerprint_of(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id``, ``fp`` (64 bits in a long) of every row; null text is empty, no words give 0."""
+    """``doc_id``, ``fp`` (64 bits in a long), ``text_hash`` of every row; null text is empty, no words give 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column("text")
             fp = np.fromiter((fingerprint_of(t.as_buffer().to_pybytes(), shingle) for t in text), np.uint64, len(text))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), b.column("text_hash")],
+                                             ["doc_id", "fp", "text_hash"])
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 @dataclass(frozen=True)
@@ -164,7 +165,7 @@ def links(fps: DataFrame, plan: list[Part], radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, sample_rows: int = 4096,
                     planned_rows: int = 100_000_000) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fp``, ``component_id`` (least id of its class), ``n_links``
-    (other fingerprints within ``radius``), ``class_rows`` of its fingerprint.
+    (other fingerprints within ``radius``), ``class_rows`` of its fingerprint, ``text_hash``.
 
     The plan is fitted on at most ``sample_rows`` fingerprints, those least by hash, for an index of
     ``planned_rows``, so that it does not change while a corpus grows; any plan finds every link.
@@ -188,7 +189,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, sample_r
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, all columns kept: the one with the least id.
 
-    Rows with a null id cannot be told apart and stay."""
-    gone = near_duplicates(docs, **parameters).filter("doc_id > component_id").select(F.col("doc_id").alias("__id")).distinct()
+    Rows are named by id and text hash together: a row whose text is unlike stays, whatever shares its
+    id. Rows with a null id cannot be told apart and stay, as do near-copies that share the least id."""
+    gone = near_duplicates(docs, **parameters).filter("doc_id > component_id").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     gone = written(gone, "near-copies")
-    return without(docs, gone, F.col("doc_id").cast("long") == F.col("__id"))
+    return without(docs, gone, (F.col("doc_id").cast("long") == F.col("__id"))
+                   & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__hash")))

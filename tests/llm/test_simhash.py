@@ -86,3 +86,10 @@ def test_components(spark):
         for a, b in edges:
             least[a] = least[b] = min(least[a], least[b])
     assert {k: got.get(k, k) for k in least} == least
+
+
+def test_a_unique_text_stays_where_a_near_copy_shares_its_id(spark):
+    long = " ".join(f"word{i}" for i in range(300))
+    other = " ".join(f"other{i}" for i in range(300))
+    df = spark.createDataFrame([(1, long), (7, long.upper()), (7, other)], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in simhash.drop_near_duplicates(df).collect()} == {(1, long), (7, other)}
