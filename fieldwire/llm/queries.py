@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldwire.session import checkpoint_folder
 
-from . import decontaminate as leaks, exact_dedup, mixing, pii, quality, simhash, suffix_array, token_counts, toxicity, url_rules
+from . import (clustering, collocations, decontaminate as leaks, exact_dedup, mixing, pii, quality, sharding, simhash, suffix_array, token_counts,
+               toxicity, url_rules)
 from .common import table
 
 
@@ -67,6 +68,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("at")
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings")).drop("scanned")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.manifest(table(spark, sf_dir, "documents"), [1.0] * 40, added=1.0)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
@@ -78,4 +91,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
+    "op12_clustering": op12_clustering,
+    "op13_sharding": op13_sharding,
 }
