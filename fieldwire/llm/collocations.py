@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import _LOWER, mixed, pieces, powers, prefix_hashes, utf8, written
 
-#: Text bytes whose n-grams a task adds up before it sends them, and bytes and words in one round of hashing.
-TASK_BYTES, HASH_BYTES, HASH_WORDS = 8 << 20, 1 << 20, 1 << 18
+#: Text bytes taken at a time, bytes and words in one round of hashing, and counts that a task adds up before it sends them.
+TASK_BYTES, HASH_BYTES, HASH_WORDS, MOST_COUNTS = 2 << 20, 1 << 20, 1 << 18, 1 << 21
 #: A filter of frequent fingerprints has 16 bits for each up to this size in bits (32 MB); beyond, it lets more through.
 MOST_BITS, CHUNK_BITS = 1 << 28, 1 << 19
 
@@ -44,7 +44,7 @@ def words(data: np.ndarray, at: np.ndarray):
     last[before] = inside[before]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     row = np.searchsorted(at, start, "right") - 1
-    cuts = np.cumsum(kind == 2, dtype=np.int64)
+    cuts = np.cumsum(kind == 2, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
     on = np.zeros(len(start), bool)
     on[:-1] = (row[1:] == row[:-1]) & (cuts[start[1:]] == cuts[end[:-1] - 1])
     return start, end, row, on
@@ -161,7 +161,17 @@ def _joined(held: list[pa.RecordBatch]):
 def fingerprint_counts(rows: DataFrame, sizes: tuple[int, ...], within: Filter | None = None) -> DataFrame:
     """``fp``, ``c``: how often each n-gram of the given sizes occurs. ``within``: only those whose two parts one word
     shorter pass the filter."""
+    def sums(held: list) -> Iterator[pa.RecordBatch]:
+        fp, c = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(fp)
+        fp, c = fp[order], c[order]
+        first = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
+        fp, c = fp[first].view(np.int64), np.add.reduceat(c, first)
+        for s in range(0, len(fp), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(fp[s:s + (1 << 16)]), pa.array(c[s:s + (1 << 16)])], ["fp", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for _, _, salt, lower, at in rounds(batches):
             start, end, row, on = words(lower, at)
             if not len(start):
@@ -174,9 +184,13 @@ def fingerprint_counts(rows: DataFrame, sizes: tuple[int, ...], within: Filter |
                     part = within.has(phrase_fingerprints(word, n - 1, lang))
                     ok &= part
                     ok[:-1] &= part[1:]
-                fp, c = np.unique(phrase_fingerprints(word, n, lang)[ok], return_counts=True)
-                for s in range(0, len(fp), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[s:s + (1 << 16)].view(np.int64)), pa.array(c[s:s + (1 << 16)])], ["fp", "c"])
+                held.append(np.unique(phrase_fingerprints(word, n, lang)[ok], return_counts=True))
+                size += len(held[-1][0])
+            if size > MOST_COUNTS:
+                yield from sums(held)
+                held, size = [], 0
+        if size:
+            yield from sums(held)
 
     found = rows.mapInArrow(run, "fp long, c long")
     return found.groupBy("fp").agg(F.sum("c").alias("c"))
