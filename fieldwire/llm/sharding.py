@@ -58,11 +58,11 @@ def manifest(docs: DataFrame, weights: Sequence[float], added: float | None = No
     key = key_text(F.col("doc_id"))
     # 4096 cells a shard: rows are ranked inside a cell, and only counts of cells are added up by shard
     cell = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("cell"), key)), 1, 3), 16, 10).cast("int")
-    groups = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    groups = groups.select("*", winner(key, weights, seed).alias("won"), cell.alias("cell"))
+    rows = rows.select("*", winner(key, weights, seed).alias("won"), cell.alias("cell"))
     grown = F.lit(None).cast("int") if added is None else F.when(
         height(key, len(weights), added, seed) < F.col("won.height"), F.lit(len(weights))).otherwise(F.col("won.shard"))
-    groups = written(groups.select("doc_id", "size", "text_crc32", "n", F.col("won.shard").alias("shard"), grown.alias("grown_shard"), "cell"), "shard-groups")
+    rows = rows.select("doc_id", "size", "text_crc32", F.col("won.shard").alias("shard"), grown.alias("grown_shard"), "cell")
+    groups = written(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "shard-groups")
     cells = groups.groupBy("shard", "cell").agg(F.sum("n").alias("of_cell"))
     before = F.sum("of_cell").over(Window.partitionBy("shard").orderBy("cell")) - F.col("of_cell")
     inside = F.sum("n").over(Window.partitionBy("shard", "cell").orderBy("doc_id", "size", "text_crc32")) - F.col("n")
