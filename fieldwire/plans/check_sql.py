@@ -636,12 +636,26 @@ SQL = {
     "live_blocks": sql(f"""SELECT src_ip, ts_us, min_by(label, event_id) AS label, ts_us + {8 * HOUR} AS unblock_us FROM cand
       JOIN picks USING (src_ip, ts_us) GROUP BY src_ip, ts_us""",
       "cand AS (SELECT * FROM vd WHERE label <> 'NORMAL')," + chain("cand", "src_ip", 6 * HOUR), True),
-    "live_payload_sessions": sql(f"""SELECT {RECORD_COLS} FROM rc WHERE
-      rec < (SELECT max(x.rec) FROM rc x WHERE x.user_id = rc.user_id)
-      OR eb < (SELECT count(*) FROM sr WHERE ends AND sr.user_id = rc.user_id)
-      OR (end_us + {IDLE}) // 1000 + 1 <= (SELECT max(ts_us) // 1000 - 30000 FROM sr)""", RECORDS),
-    "live_suppress": sql(f"""SELECT {COVER_COLS} FROM cv WHERE ts_us // 1000 + 1 <= least(
-      (SELECT max(ts_us) FROM vd), (SELECT max(ts_us) FROM al)) // 1000 - 30000""", COVER),
+    "live_payload_sessions": sql(f"SELECT {RECORD_COLS} FROM rc", RECORDS),
+    "live_suppress": sql(f"SELECT {COVER_COLS} FROM cv", COVER),
+    "late_command_injection": sql(INJECTION_ROWS.format(more=""), INJECTION, True),
+    "late_payload_sessions": sql(f"SELECT {RECORD_COLS} FROM rc", RECORDS),
+    "late_suppress": sql(f"SELECT {COVER_COLS} FROM cv", COVER),
+    "live_payload_verdicts": sql("""SELECT a_ip, start_us, end_us, total_frames, CASE WHEN attack_fc_count > 0 THEN 'COLD_RESTART'
+      ELSE 'NORMAL' END AS label, CASE WHEN attack_fc_count > 0 THEN 'ALERT-PAYLOAD-ML' ELSE 'ok' END AS kind FROM rc""", RECORDS),
+    "live_scored_flows": sql(SUMMARY.replace("vd", "judged"), FLOWS + """, judged AS (SELECT CASE WHEN rst + fin > 0 THEN 'ATTACK'
+      ELSE 'NORMAL' END AS label FROM al)"""),
+    "stream_alerts": sql("""SELECT 9100000 + event_id % 7 AS sig_id, 'sig ' || (event_id % 7) AS sig_name, count(*) AS n,
+      min(ts_us) AS first_us, count(DISTINCT src_ip) AS sources FROM pk WHERE event_type = 'error' GROUP BY ALL"""),
+    "live_log": sql(
+        f"""SELECT v.ts_us, k.kind, v.src_ip, k.label, k.sig_id, k.sig_name FROM (SELECT {COVER_COLS} FROM cv) k JOIN vd v USING (event_id)
+      UNION ALL SELECT ts_us, 'ALERT-PAYLOAD', src_ip, CASE fc {' '.join(f"WHEN {c} THEN '{n}'" for c, n in ATTACK_CLASSES.items())} END, NULL, NULL FROM inj
+      UNION ALL SELECT ts_us, 'ALERT-PAYLOAD', src_ip, 'DNP3_RECON', NULL, NULL FROM bur
+      UNION ALL SELECT end_us, 'ALERT-PAYLOAD-ML', a_ip, 'COLD_RESTART', NULL, NULL FROM rc WHERE attack_fc_count > 0""",
+        COVER + ", " + RECORDS + ", " + INJECTION.replace("event_type = 'signup'", "event_type = 'signup' AND sport = 20000")
+        + ", inj AS (" + INJECTION_ROWS.format(more="") + "), "
+        + BURST.replace("ctrl = 201", "ctrl = 201 AND sport = 20000").replace("picks", "bpicks") + ", bur AS ("
+        + BURST_ROWS.format(more="").replace("picks", "bpicks") + ")", True),
     "live_unified": sql(
         "SELECT src_ip, fc, ts_us, pkt_no, frame_no, 'COMMAND_INJECTION' AS kind FROM inj UNION ALL "
         "SELECT src_ip, CAST(NULL AS BIGINT), ts_us, pkt_no, frame_no, 'DNP3_RECON' FROM bur",

@@ -1003,51 +1003,101 @@ def streamed_table(spark, path):
     return reader.parquet(path)
 
 
-def _streamed(build):
-    """Run a streaming plan over the events file to its end; read back what it wrote."""
-    def run(spark, d):
-        import uuid
+def _live(spark, d, build, parts=0):
+    """Run a live query over the events file to its end: its results and its late rows.
 
-        from ..streaming import queries as live
+    ``parts``: the events come in so many files, dealt by hash and so in no order, one a batch."""
+    import uuid
 
-        live.use_rocksdb(spark)
+    from ..streaming import queries as live
+
+    live.use_rocksdb(spark)
+    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    if parts:
+        plain = spark.read.parquet(f"{d}/events.parquet")
+        for i in range(parts):
+            plain.where(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        ev = spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    else:
         ev = streamed_table(spark, f"{d}/events.parquet")
-        ev = ev.withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
-        base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
-        out = build(live, ev)
-        live.write_verdicts(out, f"{base}/out", f"{base}/state").awaitTermination()
-        return spark.read.schema(out.schema).parquet(f"{base}/out")
-    return run
+    ev = ev.withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return live.run_to_end(lambda end: build(live, ev, end), base)
+
+
+def _streamed(build):
+    """The results of a live query over the events in one file, in which no row is late."""
+    return lambda spark, d: _live(spark, d, build)[0]
 
 
-def _live_injection(live, ev):
-    out = live.live_command_injection(traffic.packets(ev), 6 * HOUR, port=0)
+def _live_injection(live, ev, end):
+    out = live.live_command_injection(end(traffic.packets(ev)), 6 * HOUR, port=0)
     return longs(out, "fc", "frame_no")
 
 
-def _live_burst(live, ev):
-    return longs(live.live_scan_burst(traffic.packets(ev), 4, 6 * HOUR, port=0), "frame_no")
+def _live_burst(live, ev, end):
+    return longs(live.live_scan_burst(end(traffic.packets(ev)), 4, 6 * HOUR, port=0), "frame_no")
+
+
+def _live_blocks(live, ev, end):
+    return live.live_blocks(end(traffic.verdicts(ev)), 6 * HOUR, 8 * HOUR)
 
 
-def _live_blocks(live, ev):
-    return live.live_blocks(traffic.verdicts(ev), 6 * HOUR, 8 * HOUR)
+RECORD = ["a_ip", "start_us", "end_us", "total_frames", "fwd_frames", "attack_fc_count", "unique_fcs"]
 
 
-def _live_sessions(live, ev):
-    out = live.live_flow_features(traffic.packets(ev), 4 * HOUR, port=20000)
-    return out.select("a_ip", "start_us", "end_us", "total_frames", "fwd_frames", "attack_fc_count",
-                      "unique_fcs")
+def _live_sessions(live, ev, end):
+    return live.live_flow_features(end(traffic.packets(ev)), 4 * HOUR, port=20000).select(*FLOW_KEY, *RECORD[1:], "late")
 
 
-def _live_suppress(live, ev):
+def _live_suppress(live, ev, end):
     from ..operators.joins import clean_alerts
 
-    out = live.live_suppress(traffic.verdicts(ev), clean_alerts(traffic.alerts(ev)), 12 * HOUR)
-    return out.select("event_id", "label", "kind", "sig_id", "sig_name")
+    out = live.live_suppress(end(traffic.verdicts(ev)), end(clean_alerts(traffic.alerts(ev))), 12 * HOUR)
+    return out.select("event_id", "label", "kind", "sig_id", "sig_name", *FLOW_KEY, "late")
+
+
+def live_payload_sessions(spark, d):
+    return _live(spark, d, _live_sessions)[0].select(RECORD)
 
 
-def _live_unified(live, ev):
-    p = traffic.packets(ev)
+def live_suppress(spark, d):
+    return _live(spark, d, _live_suppress)[0].drop(*FLOW_KEY)
+
+
+def late_command_injection(spark, d):
+    """The events in three files of no order, one a batch: keys with late rows are answered anew."""
+    from ..streaming.queries import settled
+
+    found, late = _live(spark, d, _live_injection, 3)
+    keyed = frames(spark, d).where(dnp3.is_attack(F.col("fc"))).withColumn("fc", F.col("fc").cast("long"))
+    return longs(settled(found, late, ["src_ip", "fc"], lambda only: longs(
+        detect.command_injection_alerts(only(keyed), 6 * HOUR, DAY).drop("attack_class"), "frame_no")), "fc")
+
+
+def late_payload_sessions(spark, d):
+    from ..streaming.queries import settled
+    from .sessions import payload_sessions as batch
+
+    found, late = _live(spark, d, _live_sessions, 3)
+    keyed = packets(spark, d).withColumns(canonical_key())
+    return settled(found, late, FLOW_KEY, lambda only: batch(only(keyed).drop(*FLOW_KEY, "is_ab"), 4 * HOUR, chunk_us=DAY)).select(RECORD)
+
+
+def late_suppress(spark, d):
+    from ..streaming.queries import settled
+
+    found, late = _live(spark, d, _live_suppress, 3)
+    v = verdicts(spark, d).withColumns(canonical_key())
+
+    def batch(only):
+        a = traffic.alerts(events(spark, d))
+        return joins.suppress_covered(only(v).drop("is_ab"), a, 12 * HOUR, chunk_us=DAY)
+
+    return settled(found, late, FLOW_KEY, batch).drop(*FLOW_KEY)
+
+
+def _live_unified(live, ev, end):
+    p = end(traffic.packets(ev))
     return live.unify(
         longs(live.live_command_injection(p, 6 * HOUR, port=0), "fc", "frame_no")
         .withColumn("kind", F.lit("COMMAND_INJECTION")),
@@ -1055,6 +1105,83 @@ def _live_unified(live, ev):
         .withColumn("kind", F.lit("DNP3_RECON")))
 
 
+def payload_tree(spark, d):
+    """A tree over payload features of flow records, fitted on those of a part of the sources.
+
+    A record's class is whether one of its events is a signup: it comes from the events, not from payloads."""
+    from .sessions import payload_sessions as batch
+
+    e = events(spark, d)
+    own = e.where(F.pmod(F.xxhash64("user_id"), F.lit(1 << 20)) < _share(e, "user_id"))
+    f = batch(traffic.packets(own), 4 * HOUR, chunk_us=DAY)
+    attack = traffic.endpoints(own.where("event_type = 'signup'")).where("event_id % 10 <> 1").withColumns(canonical_key()).select(
+        *FLOW_KEY, "ts_us", (F.col("event_id") % 13 == 0).alias("cut"), (F.col("event_id") % 7 == 0).alias("two")).where("two or not cut")
+    seen = f.join(attack, FLOW_KEY, "left").groupBy(*FLOW_KEY, "record", *PAYLOAD_FEATURES).agg(
+        F.coalesce(F.bool_or(F.col("ts_us").between(F.col("start_us"), F.col("end_us"))), F.lit(False)).alias("attack"))
+    data = seen.withColumn("Label", F.when(F.col("attack"), "COLD_RESTART").otherwise("NORMAL"))
+    return models.fit_model(data, list(PAYLOAD_FEATURES), kind="tree")
+
+
+def _share(df, key):
+    """Out of 2^20, the share of ``key`` values that hold about ``FIT_ROWS`` rows."""
+    return F.lit(max(1, int(min(1.0, FIT_ROWS / max(1, df.count())) * (1 << 20))))
+
+
+def live_payload_verdicts(spark, d):
+    model = payload_tree(spark, d)
+
+    def build(live, ev, end):
+        out = live.live_payload_verdicts(end(traffic.packets(ev)), model, 4 * HOUR)
+        return out.select("a_ip", "start_us", "end_us", "total_frames", "label", "kind", "late")
+    return _live(spark, d, build)[0]
+
+
+def flow_tree(f):
+    """A tree over flow statistics, fitted on the flows with an even first packet."""
+    f = f.withColumn("Label", F.when(F.col("`RST Flag Cnt`") + F.col("`FIN Flag Cnt`") > 0, "ATTACK").otherwise("NORMAL"))
+    return models.fit_model(f.where("first_pkt_no % 2 = 0"), ["RST Flag Cnt", "FIN Flag Cnt", "Flow Duration"], kind="tree")
+
+
+def live_scored_flows(spark, d):
+    """Flow records that a batch job writes, scored as they land by a model saved and loaded: verdicts a class."""
+    import uuid
+
+    from ..streaming import queries as live
+
+    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    flows.flow_features(traffic.endpoints(events(spark, d)), 4 * HOUR, HOUR, HOUR // 2, 3 * HOUR, 2, DAY).write.parquet(f"{base}/flows")
+    landed = spark.read.parquet(f"{base}/flows")
+    flow_tree(clean.rename_flow_columns(landed)).save(f"{base}/model")
+    out = live.live_scored_flows(spark.readStream.schema(landed.schema).parquet(f"{base}/flows"), models.FlowModel.load(f"{base}/model"), port=0)
+    live.write_verdicts(out.select("src_ip", "label", "late"), f"{base}/log", f"{base}/state").awaitTermination()
+    return flows.verdict_summary(spark.read.parquet(f"{base}/log"), "label").select("class", "count", r6("pct"))
+
+
+def live_log(spark, d):
+    """The whole chain as one log: flow verdicts against alerts, frame rules, classified payload records."""
+    from ..operators.joins import clean_alerts
+
+    model = payload_tree(spark, d)
+
+    def build(live, ev, end):
+        return live.live_log(end(traffic.packets(ev)), end(traffic.verdicts(ev)), end(clean_alerts(traffic.alerts(ev))), model, 12 * HOUR, 6 * HOUR, 4, 6 * HOUR, 4 * HOUR)
+    return _live(spark, d, build)[0]
+
+
+def stream_alerts(spark, d):
+    """Alert records written as JSON lines, read as a stream: what each signature raised."""
+    import uuid
+
+    from ..streaming import queries as live
+
+    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    traffic.alerts(events(spark, d)).drop("event_id").write.json(f"{base}/eve")
+    out = live.stream_alerts(spark, f"{base}/eve")
+    live.write_verdicts(out, f"{base}/log", f"{base}/state").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/log").groupBy("sig_id", "sig_name").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first_us"), F.countDistinct("src_ip").alias("sources"))
+
+
 QUERIES = {f.__name__: f for f in (
     payload_features, payload_features_port, parse_frames, wire_size, frame_crc, control_frames,
     control_frames_bad, poll_class, fc_names, starts_frame, flow_key, sessionize, flow_features,
@@ -1086,7 +1213,7 @@ QUERIES = {f.__name__: f for f in (
     "live_command_injection": _streamed(_live_injection),
     "live_scan_burst": _streamed(_live_burst),
     "live_blocks": _streamed(_live_blocks),
-    "live_payload_sessions": _streamed(_live_sessions),
-    "live_suppress": _streamed(_live_suppress),
     "live_unified": _streamed(_live_unified),
+    **{f.__name__: f for f in (live_payload_sessions, live_suppress, late_command_injection, late_payload_sessions, late_suppress,
+                               live_payload_verdicts, live_scored_flows, live_log, stream_alerts)},
 }

@@ -1,4 +1,10 @@
-"""Live detection over Structured Streaming. Times are event times with watermarks."""
+"""Live detection over Structured Streaming. Times are event times with watermarks.
+
+A live detector gives what its batch form gives for the rows in any order within the watermark's delay. Rows that
+come later are results of their own with ``late`` true: a side table of the log (``late_rows``), from which the keys
+that they touch can be answered anew (``settled``). ``run_to_end`` closes a finite input: a mark with a time beyond
+all others moves the watermark past whatever still waits.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..constants import DNP3_PORT, FIN, PAYLOAD_FEATURES, RST
+from ..constants import BENIGN, DNP3_PORT, FIN, PAYLOAD_FEATURES, RST
 from ..functions import dnp3
 from ..functions.net import FLOW_KEY, canonical_key, touches_port
 from ..operators.clean import port_filter, rename_flow_columns, verdict_kind
@@ -16,6 +22,8 @@ from ..sources.tables import flow_schema
 from .state import Cooldown, FlowSession, ScanBurst, Suppress
 
 DELAY = "30 seconds"
+#: Time of the mark that ends an input: the last second of the year 9999.
+END_US = 253_402_300_799_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -25,9 +33,57 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def with_event_time(df: DataFrame, delay: str = DELAY) -> DataFrame:
-    return df.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark(
-        "event_time", delay
-    )
+    """``df`` under a watermark. The marks that end an input move it and then go.
+
+    Detectors drop the time column, so that Spark does not filter late rows before they see them. The condition on
+    a random number always holds; being no fixed one, it keeps later filters from being moved below the watermark,
+    where they would take the marks away."""
+    timed = df.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", delay)
+    return timed.where((F.unix_micros("event_time") < END_US) & (F.rand(0) + 1 > 0))
+
+
+def with_end(stream: DataFrame, folder: str) -> DataFrame:
+    """``stream`` and the marks that ``mark_end`` writes to ``folder``."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], "ts_us LONG").write.mode("append").parquet(folder)
+    return stream.unionByName(spark.readStream.schema("ts_us LONG").parquet(folder), allowMissingColumns=True)
+
+
+def mark_end(spark: SparkSession, folder: str) -> None:
+    spark.createDataFrame([(END_US,)], "ts_us LONG").write.mode("append").parquet(folder)
+
+
+def run_to_end(build, base: str) -> tuple[DataFrame, DataFrame]:
+    """Runs a live query over all that its sources hold and closes it; its results and its late rows.
+
+    ``build`` gets a function that ends a stream and returns the query. The log under ``base`` is a table of
+    ordinary files: ``late`` is a folder of it."""
+    end = f"{base}/end"
+    out = build(lambda stream: with_end(stream, end))
+    for last in (False, True):
+        if last:
+            mark_end(out.sparkSession, end)
+        write_verdicts(out, f"{base}/log", f"{base}/state").awaitTermination()
+    log = out.sparkSession.read.schema(out.schema).parquet(f"{base}/log")
+    return log.where("not late").drop("late"), late_rows(log)
+
+
+def late_rows(log: DataFrame) -> DataFrame:
+    return log.where("late")
+
+
+def settled(live: DataFrame, late: DataFrame, keys: list[str], batch) -> DataFrame:
+    """Live results with those of keys that had late rows answered anew.
+
+    ``batch`` gets a function that keeps the rows of such keys (null keys are keys) and returns the batch results
+    over what it keeps."""
+    gone = late.select(*keys).distinct()
+
+    def only(rows: DataFrame) -> DataFrame:
+        return rows.join(gone.withColumnsRenamed({k: f"__{k}" for k in keys}), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_semi")
+
+    others = live.join(gone.withColumnsRenamed({k: f"__{k}" for k in keys}), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
+    return others.unionByName(batch(only).select(live.columns))
 
 
 def stream_flow_csv(spark: SparkSession, folder: str, columns: list[str], **opt) -> DataFrame:
@@ -69,8 +125,9 @@ def score_flows(flows: DataFrame, model, port: int = DNP3_PORT) -> DataFrame:
 
 
 def _keyed(df: DataFrame, keys: list[str], processor, schema: T.StructType) -> DataFrame:
+    """Results of an ``Ordered`` processor: the columns of ``schema``, of which late rows fill some, and ``late``."""
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append",
+        statefulProcessor=processor, outputStructType=T.StructType([*schema, T.StructField("late", T.BooleanType())]), outputMode="Append",
         timeMode="EventTime",
     )
 
@@ -80,8 +137,8 @@ def live_command_injection(
 ) -> DataFrame:
     """Streaming form of the command injection alert."""
     cols = ["src_ip", "fc", "ts_us", "pkt_no", "frame_no"]
-    hits = with_event_time(frames_of(packets, port), delay).where(dnp3.is_attack(F.col("fc")))
-    rows = hits.select(*cols, "event_time")
+    hits = frames_of(with_event_time(packets, delay), port).where(dnp3.is_attack(F.col("fc")))
+    rows = hits.select(*cols)
     out = T.StructType([rows.schema[c] for c in cols])
     return _keyed(
         rows, ["src_ip", "fc"], Cooldown(cols, ["ts_us", "pkt_no", "frame_no"], cooldown_us), out
@@ -94,8 +151,8 @@ def live_scan_burst(
 ) -> DataFrame:
     """Streaming form of the scan burst alert."""
     cols = ["src_ip", "ts_us", "pkt_no", "frame_no"]
-    probes = with_event_time(frames_of(packets, port), delay).where(dnp3.is_link_status(F.col("ctrl")))
-    rows = probes.select(*cols, "event_time")
+    probes = frames_of(with_event_time(packets, delay), port).where(dnp3.is_link_status(F.col("ctrl")))
+    rows = probes.select(*cols)
     out = T.StructType([rows.schema[c] for c in cols])
     return _keyed(rows, ["src_ip"], ScanBurst(cols, cols[1:], threshold, window_us), out)
 
@@ -105,13 +162,12 @@ def live_blocks(
 ) -> DataFrame:
     """Sources to block, each at most once per dedupe interval, and when to unblock them
     (``ttl_us`` 0: never, a null time)."""
-    from ..constants import BENIGN
     from ..functions.net import routable
 
     cols = ["src_ip", "ts_us", "label"]
     rows = with_event_time(verdicts, delay).where(
         (F.col("label") != BENIGN) & routable(F.col("src_ip"))
-    ).select(*cols, "event_time")
+    ).select(*cols)
     out = T.StructType([rows.schema[c] for c in cols])
     blocks = _keyed(rows, ["src_ip"], Cooldown(cols, ["ts_us"], dedupe_us), out)
     unblock = F.col("ts_us") + F.lit(ttl_us) if ttl_us else F.lit(None).cast("long")
@@ -145,7 +201,7 @@ def live_flow_features(
     packets: DataFrame, idle_us: int = 30_000_000, port: int = DNP3_PORT, delay: str = DELAY
 ) -> DataFrame:
     """Payload features of each flow when it has been idle or saw FIN or RST."""
-    rows = with_event_time(session_rows(packets, port), delay)
+    rows = session_rows(with_event_time(packets, delay), port)
     ratios = {"response_ratio", "attack_fc_ratio", "link_status_ratio", "mean_udata_len"}
     out = T.StructType(
         [rows.schema[k] for k in FLOW_KEY]
@@ -158,36 +214,66 @@ def live_flow_features(
 def live_suppress(
     verdicts: DataFrame, alerts: DataFrame, ttl_us: int = 60_000_000, delay: str = DELAY
 ) -> DataFrame:
-    """Verdicts with their kind once the watermark has passed them."""
-    body = T.StructType([f for f in verdicts.schema if f.name != "event_time"])
-    v = verdicts.withColumns(canonical_key()).select(
-        *FLOW_KEY, "is_ab", "ts_us", F.lit(False).alias("is_alert"),
-        F.lit(0).cast("long").alias("sig_id"), F.lit("").alias("sig_name"),
-        F.to_json(F.struct(*body.names)).alias("body"),
-    )
-    a = alerts.withColumns(canonical_key()).select(
-        *FLOW_KEY, "is_ab", "ts_us", F.lit(True).alias("is_alert"), "sig_id", "sig_name",
-        F.lit("").alias("body"),
-    )
-    both = with_event_time(v, delay).unionByName(with_event_time(a, delay))
-    out = T.StructType.fromDDL("body STRING, sig_id LONG, sig_name STRING, covered BOOLEAN")
-    decided = _keyed(both, FLOW_KEY, Suppress([], ttl_us), out)
+    """Verdicts with their kind once the watermark has passed them. Late rows are told by their flow key."""
+    v = with_event_time(verdicts, delay).withColumns(canonical_key())
+    body = T.StructType([f for f in v.schema if f.name in verdicts.columns])
+    v = v.select(*FLOW_KEY, "is_ab", "ts_us", F.lit(False).alias("is_alert"), F.lit(0).cast("long").alias("sig_id"), F.lit("").alias("sig_name"),
+                 F.to_json(F.struct(*body.names)).alias("body"))
+    a = with_event_time(alerts, delay).withColumns(canonical_key()).select(
+        *FLOW_KEY, "is_ab", "ts_us", F.lit(True).alias("is_alert"), "sig_id", "sig_name", F.lit("").alias("body"))
+    out = T.StructType([v.schema[k] for k in FLOW_KEY] + T.StructType.fromDDL("body STRING, sig_id LONG, sig_name STRING, covered BOOLEAN").fields)
+    decided = _keyed(v.unionByName(a), FLOW_KEY, Suppress(FLOW_KEY, ttl_us), out)
     return (
         decided.withColumn("v", F.from_json("body", body))
-        .select("v.*", "covered", "sig_id", "sig_name")
+        .select("v.*", *FLOW_KEY, "covered", "sig_id", "sig_name", "late")
         .withColumn("kind", verdict_kind(F.col("label"), F.col("covered")))
         .withColumns({c: F.when(F.col("kind") == "SUPPRESS", F.col(c)) for c in ("sig_id", "sig_name")})
         .drop("covered")
     )
 
 
+def live_scored_flows(flows: DataFrame, model, port: int = DNP3_PORT) -> DataFrame:
+    """Verdicts of flow records as they come, one a record that touches the port: no state, nothing is late."""
+    scored = score_flows(flows, model, port)
+    return scored.withColumnRenamed("predicted_label", "label").withColumn("late", F.lit(False))
+
+
+def live_payload_verdicts(packets: DataFrame, model, idle_us: int = 30_000_000, port: int = DNP3_PORT, delay: str = DELAY) -> DataFrame:
+    """Flow records of payload features as they close, classified; those that are not benign carry the kind
+    ``ALERT-PAYLOAD-ML``, the others ``ok``. Late rows have neither label nor kind."""
+    records = live_flow_features(packets, idle_us, port, delay)
+    label = F.when(~F.col("late"), F.col("predicted_label"))
+    return model.predict(records).withColumn("label", label).drop("predicted_label").withColumn(
+        "kind", F.when(F.col("label") == BENIGN, "ok").when(F.col("label").isNotNull(), "ALERT-PAYLOAD-ML"))
+
+
+LOG = ["ts_us", "kind", "src_ip", "label", "sig_id", "sig_name", "late"]
+
+
+def live_log(packets: DataFrame, verdicts: DataFrame, alerts: DataFrame, payload_model, ttl_us: int = 60_000_000, cooldown_us: int = 5_000_000,
+             threshold: int = 40, window_us: int = 10_000_000, idle_us: int = 30_000_000, port: int = DNP3_PORT, delay: str = DELAY) -> DataFrame:
+    """One log of the whole chain: flow verdicts against alerts (``ok``, ``ALERT-AI``, ``SUPPRESS``), rules on frames
+    (``ALERT-PAYLOAD`` with the class of the command, or DNP3_RECON) and payload records (``ALERT-PAYLOAD-ML`` of the
+    lower end of the flow; benign ones are not logged)."""
+    flows = live_suppress(verdicts, alerts, ttl_us, delay)
+    commands = live_command_injection(packets, cooldown_us, port, delay).withColumn("label", dnp3.attack_class(F.col("fc")))
+    scans = live_scan_burst(packets, threshold, window_us, port, delay).withColumn("label", F.lit("DNP3_RECON"))
+    records = live_payload_verdicts(packets, payload_model, idle_us, port, delay).where("late or kind <> 'ok'")
+    rules = unify(commands, scans).withColumn("kind", F.when(~F.col("late"), "ALERT-PAYLOAD"))
+    records = records.withColumns({"ts_us": F.col("end_us"), "src_ip": F.col("a_ip")})
+    nothing = {"sig_id": F.lit(None).cast("long"), "sig_name": F.lit(None).cast("string")}
+    return unify(flows.select(LOG), rules.withColumns(nothing).select(LOG), records.withColumns(nothing).select(LOG))
+
+
 def unify(*streams: DataFrame) -> DataFrame:
     """All verdict kinds as one append stream; absent columns are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), streams)
 
 
 def write_verdicts(stream: DataFrame, path: str, checkpoint: str, once: bool = True):
-    """Append to a parquet table, exactly once per row."""
+    """Append to a parquet table, exactly once per row; late rows to a folder of their own."""
     w = stream.writeStream.format("parquet").outputMode("append").option(
         "path", path).option("checkpointLocation", checkpoint)
+    if "late" in stream.columns:
+        w = w.partitionBy("late")
     return (w.trigger(availableNow=True) if once else w).start()

@@ -1,40 +1,118 @@
 """Keyed state of the live detectors.
 
-Every processor keeps a bounded value per key: a last firing, the stamps of one window,
-the counters of one flow, or the alerts and verdicts of one time-to-live. Event-time
-timers drop state as soon as the watermark makes it useless.
+Rows of a key wait, packed as Arrow batches, until the watermark has passed their time, and are then taken in
+the order of their times by array operations. What a detector carries from there on is a bounded value: a last
+firing, the stamps of one window, the counters of one flow, or the alerts of one time-to-live. A row that comes
+when the watermark has already passed its time is handed on as it is, marked ``late``, and changes nothing.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..constants import ATTACK_CLASSES, FC_FEATURES, LINK_STATUS_CTRL
 
 
-def _sorted(rows, by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(by, kind="stable")
+def packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-class Cooldown(StatefulProcessor):
-    """Passes a row when the key's last passed row is at least ``cooldown_us`` old."""
+def unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
+
+
+def due_ms(ts_us: int) -> int:
+    """The first watermark in milliseconds that has passed a time."""
+    return int(ts_us) // 1000 + 1
 
-    def __init__(self, columns: list[str], order: list[str], cooldown_us: int):
-        self.columns, self.order, self.cooldown_us = columns, order, cooldown_us
+
+class Ordered(StatefulProcessor):
+    """Takes a key's rows in order; ``step`` says what comes of them.
+
+    ``columns`` are those of the results, of which a late row fills what it has. ``carry`` is the type of the value
+    that ``step`` carries on."""
+
+    carry = ""
+
+    def __init__(self, columns: list[str], order: list[str]):
+        self.columns, self.order = columns, order
+
+    def step(self, key, rows: pd.DataFrame, held: tuple | None, now_us: int) -> tuple[pd.DataFrame | None, tuple | None, int | None]:
+        """From the next ``rows`` in order (maybe none), the value held and the watermark: results, the value to hold,
+        and the watermark at which to be asked again without new rows."""
+        raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ts LONG")
+        self.waiting = handle.getListState("waiting", "rows BINARY")
+        self.value = handle.getValueState("value", self.carry)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        late = batch["ts_us"].to_numpy() < timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = batch[~late]
+        if len(fresh):
+            self.waiting.appendValue((packed(fresh),))
+            self.handle.registerTimer(due_ms(fresh["ts_us"].min()))
+        if late.any():
+            yield self._shaped(batch[late], True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now_us = timerValues.getCurrentWatermarkInMs() * 1000
+        parts = [unpacked(x[0]) for x in self.waiting.get()] if self.waiting.exists() else []
+        rows = pd.concat(parts) if parts else None
+        held = self.value.get() if self.value.exists() else None
+        if rows is not None:
+            ready = rows["ts_us"].to_numpy() < now_us
+            rest, rows = rows[~ready], rows[ready].sort_values(self.order, kind="stable")
+            if len(rest):
+                self.waiting.put([(packed(rest),)])
+                self.handle.registerTimer(due_ms(rest["ts_us"].min()))
+            else:
+                self.waiting.clear()
+        out, held, ask = self.step(key, rows, held, now_us)
+        if held is not None:
+            self.value.update(held)
+        elif self.value.exists():
+            self.value.clear()
+        if ask is not None:
+            self.handle.registerTimer(ask)
+        if out is not None and len(out):
+            yield self._shaped(out, False)
+
+    def _shaped(self, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
+        void = {c: None for c in self.columns if c not in rows.columns}
+        return rows.assign(**void)[self.columns].assign(late=late)
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _sorted(rows, self.order)
-        last = self.last.get()[0] if self.last.exists() else None
-        stamps = batch["ts_us"].to_numpy()
-        keep, at = [], 0
+    def close(self) -> None:
+        pass
+
+
+def _stamps(rows: pd.DataFrame | None) -> np.ndarray:
+    return np.zeros(0, np.int64) if rows is None else rows["ts_us"].to_numpy(np.int64)
+
+
+class Cooldown(Ordered):
+    """Passes a row when the key's last passed row is at least ``cooldown_us`` old."""
+
+    carry = "last LONG"
+
+    def __init__(self, columns: list[str], order: list[str], cooldown_us: int):
+        super().__init__(columns, order)
+        self.cooldown_us = cooldown_us
+
+    def step(self, key, rows, held, now_us):
+        last = held[0] if held else None
+        stamps, keep, at = _stamps(rows), [], 0
         while at < len(stamps):
             if last is not None:
                 at = max(at, int(np.searchsorted(stamps, last + self.cooldown_us)))
@@ -43,200 +121,161 @@ class Cooldown(StatefulProcessor):
             keep.append(at)
             last = int(stamps[at])
             at += 1
-        if keep:
-            self.last.update((last,))
-            self.handle.registerTimer((last + self.cooldown_us) // 1000 + 1)
-            yield batch.iloc[keep][self.columns]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.last.exists():
-            due = (self.last.get()[0] + self.cooldown_us) // 1000 + 1
-            if due <= expiredTimerInfo.getExpiryTimeInMs():
-                self.last.clear()
-        return iter([])
+        out = rows.iloc[keep] if keep else None
+        if last is None or last + self.cooldown_us <= now_us:
+            return out, None, None
+        return out, (last,), due_ms(last + self.cooldown_us)
 
-    def close(self) -> None:
-        pass
 
-
-class ScanBurst(StatefulProcessor):
+class ScanBurst(Ordered):
     """Passes a row when its key saw ``threshold`` rows in the window, then rests a window."""
 
+    carry = "stamps ARRAY<LONG>, last LONG"
+
     def __init__(self, columns: list[str], order: list[str], threshold: int, window_us: int):
-        self.columns, self.order = columns, order
+        super().__init__(columns, order)
         self.threshold, self.window_us = threshold, window_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "stamps ARRAY<LONG>, last LONG")
-
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _sorted(rows, self.order)
-        old, last = self.seen.get() if self.seen.exists() else ([], None)
-        old = np.asarray(old, dtype=np.int64)
-        stamps = batch["ts_us"].to_numpy()
-        merged = np.sort(np.concatenate((old, stamps)))
-        # rows of the window up to and including this one, in row order
+    def step(self, key, rows, held, now_us):
+        old, last = held or ([], None)
+        stamps = _stamps(rows)
+        merged = np.concatenate((np.asarray(old, np.int64), stamps))
+        # rows of the window up to and including each row
         upto = len(old) + np.arange(1, len(stamps) + 1)
-        if len(old) and len(stamps) and stamps[0] < old[-1]:
-            upto = np.searchsorted(merged, stamps, side="right")
-        dense = upto - np.searchsorted(merged, stamps - self.window_us) >= self.threshold
-        keep = []
-        for i in np.flatnonzero(dense):
-            if last is None or stamps[i] - last >= self.window_us:
-                keep.append(int(i))
-                last = int(stamps[i])
-        newest = int(merged[-1])
-        recent = merged[merged >= newest - self.window_us]
-        self.seen.update(([int(x) for x in recent], last))
-        self.handle.registerTimer((newest + self.window_us) // 1000 + 1)
-        if keep:
-            yield batch.iloc[keep][self.columns]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.seen.exists():
-            stamps, last = self.seen.get()
-            newest = max([*stamps, *([] if last is None else [last])])
-            if (newest + self.window_us) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-                self.seen.clear()
-        return iter([])
+        dense = np.flatnonzero(upto - np.searchsorted(merged, stamps - self.window_us) >= self.threshold)
+        keep, at = [], 0
+        while at < len(dense):
+            if last is not None:
+                at = max(at, int(np.searchsorted(stamps[dense], last + self.window_us)))
+                if at >= len(dense):
+                    break
+            keep.append(int(dense[at]))
+            last = int(stamps[dense[at]])
+            at += 1
+        out = rows.iloc[keep] if keep else None
+        if last is not None and last + self.window_us <= now_us:
+            last = None
+        recent = merged[merged >= now_us - self.window_us]
+        newest = max([*recent[-1:].tolist(), *([] if last is None else [last])], default=None)
+        if newest is None:
+            return out, None, None
+        return out, (recent.tolist(), last), due_ms(newest + self.window_us)
 
-    def close(self) -> None:
-        pass
 
+class FlowSession(Ordered):
+    """Counts the frames of a flow and emits the features when the flow is idle or ends."""
 
-class FlowSession(StatefulProcessor):
-    """Counts frames per flow and emits the features when the flow is idle or ends."""
+    carry = ("start LONG, seen LONG, total LONG, fwd LONG, attack LONG, link LONG, users LONG, user_sum LONG, user_max LONG, user_min LONG, "
+             "codes ARRAY<LONG>, times ARRAY<LONG>, firsts ARRAY<LONG>")
 
     def __init__(self, keys: list[str], features: list[str], idle_us: int):
+        super().__init__([*keys, "start_us", "end_us", *features], ["ts_us", "pkt_no", "frame_no"])
         self.keys, self.features, self.idle_us = keys, features, idle_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.flow = handle.getValueState("flow", "counters STRING")
-
-    @staticmethod
-    def _blank(ts: int) -> dict:
-        return {"start": ts, "seen": ts, "total": 0, "fwd": 0, "attack": 0, "link": 0, "fc": {},
-                "users": 0, "user_sum": 0, "user_max": 0, "user_min": 0}
-
-    def _row(self, key, f: dict) -> pd.DataFrame:
-        total = f["total"]
-        common = max(f["fc"], key=lambda c: (f["fc"][c][0], -f["fc"][c][1]), default="-1")
-        values = {
-            "total_frames": total, "fwd_frames": f["fwd"], "bwd_frames": total - f["fwd"],
-            "response_ratio": (total - f["fwd"]) / total, "attack_fc_count": f["attack"],
-            "attack_fc_ratio": f["attack"] / total, "link_status_count": f["link"],
-            "link_status_ratio": f["link"] / total, "unique_fcs": len(f["fc"]),
-            "most_common_req_fc": int(common),
-            **{n: f["fc"].get(str(c), [0])[0] for n, c in FC_FEATURES.items()},
-            "mean_udata_len": f["user_sum"] / f["users"] if f["users"] else 0.0,
-            "max_udata_len": f["user_max"], "min_udata_len": f["user_min"],
-        }
-        return pd.DataFrame([{
-            **dict(zip(self.keys, key)), "start_us": f["start"], "end_us": f["seen"],
-            **{c: values[c] for c in self.features},
-        }])
-
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _sorted(rows, ["ts_us", "pkt_no", "frame_no"])
-        flow = json.loads(self.flow.get()[0]) if self.flow.exists() else None
-        done = []
-        for r in batch.itertuples(index=False):
-            if r.ctrl == r.ctrl:  # a row without a frame has no control byte
-                if flow and r.ts_us - flow["seen"] > self.idle_us:
-                    done.append(self._row(key, flow))
+    def step(self, key, rows, held, now_us):
+        flow, done = held, []
+        if rows is not None and len(rows):
+            ends = rows["ends"].to_numpy(bool)
+            before = np.cumsum(ends) - ends  # endings ahead of each row
+            framed = rows["ctrl"].notna().to_numpy()
+            at = np.flatnonzero(framed)
+            f, stamps, ended = rows.iloc[at], _stamps(rows)[at], before[at]
+            if len(at):
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(stamps) > self.idle_us) | (np.diff(ended) > 0)
+                new[0] = flow is None or ended[0] > 0 or stamps[0] - flow[1] > self.idle_us
+                if new[0] and flow is not None:
+                    done.append(flow)
+                starts = np.flatnonzero(new) if new[0] else np.concatenate(([0], np.flatnonzero(new)))
+                for k, s in enumerate(starts):
+                    e = starts[k + 1] if k + 1 < len(starts) else len(at)
+                    flow = self._counted(f.iloc[s:e], None if new[s] else flow)
+                    if k + 1 < len(starts):
+                        done.append(flow)
+                if ends[at[-1]:].any():  # its last frame, or a row after it, ends the flow
+                    done.append(flow)
                     flow = None
-                flow = flow or self._blank(r.ts_us)
-                self._add(flow, r)
-            if r.ends and flow:
-                done.append(self._row(key, flow))
+            elif ends.any() and flow is not None:
+                done.append(flow)
                 flow = None
-        if flow:
-            self.flow.update((json.dumps(flow),))
-            self.handle.registerTimer((flow["seen"] + self.idle_us) // 1000 + 1)
-        elif self.flow.exists():
-            self.flow.clear()
-        if done:
-            yield pd.concat(done)
+        if flow is not None and flow[1] + self.idle_us < now_us:
+            done.append(flow)
+            flow = None
+        out = pd.DataFrame([self._row(key, x) for x in done]) if done else None
+        return out, flow, None if flow is None else due_ms(flow[1] + self.idle_us)
 
     @staticmethod
-    def _add(flow: dict, r) -> None:
-        flow["seen"] = int(r.ts_us)
-        flow["total"] += 1
-        flow["fwd"] += int(r.is_fwd)
-        flow["link"] += int(r.ctrl == LINK_STATUS_CTRL)
-        if r.fc == r.fc:
-            code = int(r.fc)
-            flow["attack"] += int(code in ATTACK_CLASSES)
-            flow["fc"].setdefault(str(code), [0, flow["total"]])[0] += 1
-        if r.user_data_len > 0:
-            n = int(r.user_data_len)
-            flow["user_min"] = min(flow["user_min"], n) if flow["users"] else n
-            flow["users"] += 1
-            flow["user_sum"] += n
-            flow["user_max"] = max(flow["user_max"], n)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.flow.exists():
-            flow = json.loads(self.flow.get()[0])
-            if (flow["seen"] + self.idle_us) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-                self.flow.clear()
-                yield self._row(key, flow)
-
-    def close(self) -> None:
-        pass
-
-
-class Suppress(StatefulProcessor):
-    """Holds verdicts until the watermark passes them, then looks for a covering alert."""
-
-    def __init__(self, columns: list[str], ttl_us: int):
-        self.columns, self.ttl_us = columns, ttl_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.alerts = handle.getListState("alerts", "ts LONG, ab BOOLEAN, sig LONG, name STRING")
-        self.waiting = handle.getListState("waiting", "ts LONG, ab BOOLEAN, body STRING")
-
-    def handleInputRows(self, key, rows, timerValues):
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                if r.is_alert:
-                    self.alerts.appendValue((int(r.ts_us), bool(r.is_ab), int(r.sig_id), r.sig_name))
-                    due = r.ts_us + self.ttl_us
-                else:
-                    self.waiting.appendValue((int(r.ts_us), bool(r.is_ab), r.body))
-                    due = r.ts_us
-                self.handle.registerTimer(int(due) // 1000 + 1)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        alerts = list(self.alerts.get()) if self.alerts.exists() else []
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        out, later = [], []
-        for ts, ab, body in waiting:
-            if ts >= now_us:
-                later.append((ts, ab, body))
-                continue
-            hit = None
-            for side in (ab, not ab):
-                near = [(a[0], a[2], a[3]) for a in alerts
-                        if a[1] == side and ts - self.ttl_us <= a[0] <= ts]
-                if near:
-                    hit = max(near)
-                    break
-            out.append({"body": body, "sig_id": hit[1] if hit else None,
-                        "sig_name": hit[2] if hit else None, "covered": hit is not None})
-        oldest = min([now_us, *[w[0] for w in later]]) - self.ttl_us
-        kept = [tuple(a) for a in alerts if a[0] >= oldest]
-        self.alerts.put(kept) if kept else self.alerts.clear()
-        self.waiting.put(later) if later else self.waiting.clear()
-        if out:
-            frame = pd.DataFrame(out)
-            frame["sig_id"] = frame["sig_id"].astype("Int64")
-            yield frame
-
-    def close(self) -> None:
-        pass
+    def _counted(f: pd.DataFrame, held: tuple | None) -> tuple:
+        """Counters of the frames, on top of those held."""
+        stamps = f["ts_us"].to_numpy(np.int64)
+        start, _, total, fwd, attack, link, users, user_sum, user_max, user_min, codes, times, firsts = held or (int(stamps[0]), 0, 0, 0, 0, 0, 0, 0, 0, 0, [], [], [])
+        seen = {c: (n, p) for c, n, p in zip(codes, times, firsts)}
+        fc = f["fc"].to_numpy(float)
+        known = np.flatnonzero(~np.isnan(fc))
+        code, first, n = np.unique(fc[known].astype(np.int64), return_index=True, return_counts=True)
+        for c, p, m in zip(code.tolist(), known[first].tolist(), n.tolist()):
+            before = seen.get(c)
+            seen[c] = (before[0] + m, before[1]) if before else (m, total + p + 1)
+        size = np.nan_to_num(f["user_data_len"].to_numpy(float)).astype(np.int64)
+        size = size[size > 0]
+        if len(size):
+            user_min = min(user_min, int(size.min())) if users else int(size.min())
+            user_max = max(user_max, int(size.max()))
+        return (start, int(stamps[-1]), total + len(f), fwd + int(f["is_fwd"].sum()), attack + int(np.isin(fc[known].astype(np.int64), list(ATTACK_CLASSES)).sum()),
+                link + int((f["ctrl"].to_numpy() == LINK_STATUS_CTRL).sum()), users + len(size), user_sum + int(size.sum()), user_max, user_min,
+                list(seen), [x[0] for x in seen.values()], [x[1] for x in seen.values()])
+
+    def _row(self, key, flow: tuple) -> dict:
+        start, seen, total, fwd, attack, link, users, user_sum, user_max, user_min, codes, times, firsts = flow
+        count = dict(zip(codes, times))
+        values = {
+            "total_frames": total, "fwd_frames": fwd, "bwd_frames": total - fwd, "response_ratio": (total - fwd) / total,
+            "attack_fc_count": attack, "attack_fc_ratio": attack / total, "link_status_count": link, "link_status_ratio": link / total,
+            "unique_fcs": len(codes), "most_common_req_fc": max(zip(times, [-x for x in firsts], codes), default=(0, 0, -1))[2],
+            **{name: count.get(c, 0) for name, c in FC_FEATURES.items()},
+            "mean_udata_len": user_sum / users if users else 0.0, "max_udata_len": user_max, "min_udata_len": user_min,
+        }
+        return {**dict(zip(self.keys, key)), "start_us": start, "end_us": seen, **{c: values[c] for c in self.features}}
+
+
+class Suppress(Ordered):
+    """Looks for the latest alert that covers a verdict: on its own 4-tuple, else on the reversed one."""
+
+    carry = "alerts BINARY"
+
+    def __init__(self, keys: list[str], ttl_us: int):
+        super().__init__([*keys, "body", "sig_id", "sig_name", "covered"], ["ts_us"])
+        self.keys, self.ttl_us = keys, ttl_us
+
+    def step(self, key, rows, held, now_us):
+        alerts = [unpacked(held[0])] if held else []
+        out = None
+        if rows is not None and len(rows):
+            is_alert = rows["is_alert"].to_numpy(bool)
+            alerts.append(rows.loc[is_alert, ["ts_us", "is_ab", "sig_id", "sig_name"]])
+            out = rows[~is_alert]
+        known = pd.concat(alerts).sort_values(["ts_us", "sig_id", "sig_name"], kind="stable") if alerts else None
+        if out is not None and len(out):
+            out = self._covered(key, out, known)
+        recent = known[known["ts_us"] >= now_us - self.ttl_us] if known is not None else ()
+        if not len(recent):
+            return out, None, None
+        return out, (packed(recent),), due_ms(recent["ts_us"].max() + self.ttl_us)
+
+    def _covered(self, key, verdicts: pd.DataFrame, alerts: pd.DataFrame) -> pd.DataFrame:
+        stamps, own = _stamps(verdicts), verdicts["is_ab"].to_numpy(bool)
+        hit = np.full(len(verdicts), -1)
+        place, side, at = np.arange(len(alerts)), alerts["is_ab"].to_numpy(bool), _stamps(alerts)
+        for same in (True, False):
+            for ab in (True, False):
+                open_ = np.flatnonzero((hit < 0) & ((own == ab) == same))
+                mine = place[side == ab]
+                if len(open_) and len(mine):
+                    last = np.searchsorted(at[mine], stamps[open_], "right") - 1
+                    found = mine[np.maximum(last, 0)]
+                    good = (last >= 0) & (at[found] >= stamps[open_] - self.ttl_us)
+                    hit[open_[good]] = found[good]
+        ids = alerts["sig_id"].astype("Int64").take(np.maximum(hit, 0)) if len(alerts) else pd.Series([pd.NA] * len(hit), dtype="Int64")
+        names = alerts["sig_name"].take(np.maximum(hit, 0)) if len(alerts) else pd.Series([None] * len(hit), dtype=object)
+        miss = hit < 0
+        return verdicts[["body"]].assign(**dict(zip(self.keys, key)), sig_id=ids.mask(miss).array, sig_name=names.mask(miss, None).array, covered=~miss)
