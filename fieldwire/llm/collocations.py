@@ -223,13 +223,11 @@ def exact_numbers(lower: np.ndarray, start: np.ndarray, end: np.ndarray, word: n
     return out
 
 
-_FOUND = pa.schema([("fp", pa.int64()), ("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("c", pa.int64()),
-                    ("at", pa.struct([("doc_id", pa.int64()), ("word", pa.int64())]))])
+_FOUND = pa.schema([("fp", pa.int64()), ("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("c", pa.int64()), ("at", pa.int64())])
 
 
 def frequent_texts(rows: DataFrame, most: int, frequent: Filter) -> DataFrame:
-    """``lang``, ``words``, ``phrase``, ``c`` and ``at`` (least document and number of the word in it, from 0, where it
-    occurs) of the n-grams up to ``most`` words that pass the filter. Rows of 0 words count the words of a language."""
+    """``lang``, ``words``, ``phrase``, ``c`` and ``at`` (the least id of a document that it occurs in) of the n-grams up to ``most`` words that pass the filter. Rows of 0 words count the words of a language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, langs, salt, lower, at in rounds(batches):
             start, end, row, on = words(lower, at)
@@ -237,7 +235,7 @@ def frequent_texts(rows: DataFrame, most: int, frequent: Filter) -> DataFrame:
                 continue
             word = word_fingerprints(lower, start, end)
             lang, same = salt[row], exact_numbers(lower, start, end, word)
-            raw, nth = lower.tobytes(), np.arange(len(row)) - np.searchsorted(row, row)
+            raw = lower.tobytes()
             for n in range(1, most + 1):
                 fp = phrase_fingerprints(word, n, lang)
                 k = np.flatnonzero(whole(on, n) & frequent.has(fp))
@@ -256,16 +254,16 @@ def frequent_texts(rows: DataFrame, most: int, frequent: Filter) -> DataFrame:
                     own = pa.array(row[i])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(fp[i].view(np.int64)), langs.take(own), pa.array(np.full(len(i), n, np.int32)), pa.array(text), pa.array(c[s:s + (1 << 14)]),
-                         pa.StructArray.from_arrays([ids.take(own), pa.array(nth[i])], names=["doc_id", "word"])], schema=_FOUND)
+                         ids.take(own)], schema=_FOUND)
             heads = np.flatnonzero(np.diff(row, prepend=-1))
             counts = np.diff(np.append(heads, len(row)))
             total = pa.table({"lang": langs.take(pa.array(row[heads])), "c": counts}).group_by("lang").aggregate([("c", "sum")])
             m = len(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * m, pa.int64()), total.column("lang").combine_chunks(), pa.array([0] * m, pa.int32()), pa.array([""] * m), total.column("c_sum").combine_chunks(),
-                 pa.nulls(m, _FOUND.field("at").type)], schema=_FOUND)
+                 pa.nulls(m, pa.int64())], schema=_FOUND)
 
-    found = rows.mapInArrow(run, "fp long, lang string, words int, phrase string, c long, at struct<doc_id:long,word:long>")
+    found = rows.mapInArrow(run, "fp long, lang string, words int, phrase string, c long, at long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("c").alias("c"), F.min("at").alias("at"))
 
 
