@@ -17,21 +17,20 @@ SECOND_US = 1_000_000
 
 def command_injection_alerts(
     frames: DataFrame, cooldown_us: int = 5 * SECOND_US, chunk_us: int = MINUTE_US,
-    max_fold: int = 10_000,
 ) -> DataFrame:
     """First attack frame per (source, function code), then silence for the cooldown."""
     hits = frames.where(dnp3.is_attack(F.col("fc"))).select(
         "src_ip", "fc", "ts_us", "pkt_no", "frame_no"
     )
     fired = cooldown(
-        hits, ["src_ip", "fc"], "ts_us", ["pkt_no", "frame_no"], cooldown_us, chunk_us, max_fold
+        hits, ["src_ip", "fc"], "ts_us", ["pkt_no", "frame_no"], cooldown_us, chunk_us
     )
     return fired.withColumn("attack_class", dnp3.attack_class(F.col("fc")))
 
 
 def scan_burst_alerts(
     frames: DataFrame, threshold: int = 40, window_us: int = 10 * SECOND_US,
-    chunk_us: int = MINUTE_US, max_fold: int = 10_000,
+    chunk_us: int = MINUTE_US,
 ) -> DataFrame:
     """Link-status probes of a source reaching ``threshold`` within the window, then
     silence for one window."""
@@ -42,13 +41,13 @@ def scan_burst_alerts(
         probes, ["src_ip"], "ts_us", ["pkt_no", "frame_no"], window_us, "probes", chunk_us
     ).where(F.col("probes") >= threshold)
     return cooldown(
-        dense, ["src_ip"], "ts_us", ["pkt_no", "frame_no"], window_us, chunk_us, max_fold
+        dense, ["src_ip"], "ts_us", ["pkt_no", "frame_no"], window_us, chunk_us
     )
 
 
 def block_intervals(
     verdicts: DataFrame, dedupe_us: int = 60 * SECOND_US, ttl_us: int = 3600 * SECOND_US,
-    order: tuple[str, ...] = ("event_id",), chunk_us: int = MINUTE_US, max_fold: int = 10_000,
+    order: tuple[str, ...] = ("event_id",), chunk_us: int = MINUTE_US,
     merge: bool = True,
 ) -> DataFrame:
     """When a source is blocked: from an attack verdict until ``ttl_us`` later (0: for good).
@@ -59,7 +58,7 @@ def block_intervals(
     hits = verdicts.where((F.col("label") != BENIGN) & routable(F.col("src_ip"))).select(
         F.col("src_ip").alias("ip"), "ts_us", *order, "label"
     )
-    fired = cooldown(hits, ["ip"], "ts_us", list(order), dedupe_us, chunk_us, max_fold)
+    fired = cooldown(hits, ["ip"], "ts_us", list(order), dedupe_us, chunk_us)
     if not ttl_us:
         return fired.groupBy("ip").agg(
             F.min("ts_us").alias("block_us"), F.lit(None).cast("long").alias("unblock_us"),
@@ -93,13 +92,13 @@ def signature_alerts(frames: DataFrame, port: int = DNP3_PORT) -> DataFrame:
 
 def rapid_connections(
     packets: DataFrame, count: int = 8, window_us: int = 10 * SECOND_US, port: int = DNP3_PORT,
-    chunk_us: int = MINUTE_US, max_fold: int = 10_000,
+    chunk_us: int = MINUTE_US,
 ) -> DataFrame:
     """SYN packets of a source: one alert per window, at the ``count``-th."""
     syn = packets.where((F.col("dst_port") == port) & (F.col("tcp_flags") == SYN)).select(
         "src_ip", "ts_us", "pkt_no"
     )
-    placed = windows_opened(syn, ["src_ip"], "ts_us", ["pkt_no"], window_us, chunk_us, max_fold)
+    placed = windows_opened(syn, ["src_ip"], "ts_us", ["pkt_no"], window_us, chunk_us)
     return placed.where(F.col("window_pos") == count).withColumn(
         "sid", F.lit(SIG_RAPID_CONNECTIONS).cast("long")
     )
@@ -125,12 +124,12 @@ def nonstandard_port(packets: DataFrame, port: int = DNP3_PORT) -> DataFrame:
 
 def request_flood(
     frames: DataFrame, count: int = 60, window_us: int = 60 * SECOND_US, port: int = DNP3_PORT,
-    chunk_us: int = MINUTE_US, max_fold: int = 10_000,
+    chunk_us: int = MINUTE_US,
 ) -> DataFrame:
     """Every ``count``-th frame of a source to the server inside an opened window."""
     asked = frames.where(F.col("dst_port") == port).select("src_ip", "ts_us", "pkt_no", "frame_no")
     placed = windows_opened(
-        asked, ["src_ip"], "ts_us", ["pkt_no", "frame_no"], window_us, chunk_us, max_fold
+        asked, ["src_ip"], "ts_us", ["pkt_no", "frame_no"], window_us, chunk_us
     )
     return placed.where(F.col("window_pos") % count == 0).withColumn(
         "sid", F.lit(SIG_REQUEST_FLOOD).cast("long")

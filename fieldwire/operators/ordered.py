@@ -8,7 +8,12 @@ per cell is carried across the cells of a key, and the carried value joins back
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import cut_lineage
 
@@ -165,19 +170,57 @@ def cut_at_rank(
     return decided.unionByName(split).drop("__cell", "__n", "__before", "__keep")
 
 
-def _fold(ts: str, cooldown_us: int) -> Column:
-    """Events kept by alert-then-silence, from a time-sorted array of (ts, row) structs."""
-    seen = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col("__row").alias("r"))))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.slice(seen, 1, 0).alias("out"))
+# ---- alert, then silence --------------------------------------------------------
+
+def _changes(table: pa.Table, fields: int) -> np.ndarray:
+    """True where one of the first ``fields`` fields of ``__k`` differs from the row before; nulls are equal."""
+    new = np.zeros(len(table), bool)
+    new[:1] = True
+    k = table.column("__k").combine_chunks()
+    for i in range(fields):
+        codes = pc.dictionary_encode(k.field(i), null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return new
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], fields: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``__k`` as tables that hold each cell whole, and where each cell starts."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([b])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        starts = np.flatnonzero(_changes(table, fields))
+        held = table.slice(starts[-1])
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts[:-1]
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
 
-    def step(acc, x):
-        fires = acc["last"].isNull() | (x["t"] - acc["last"] >= F.lit(cooldown_us))
-        return F.when(
-            fires,
-            F.struct(x["t"].alias("last"), F.concat(acc["out"], F.array(x)).alias("out")),
-        ).otherwise(acc)
+def _jumps(group: np.ndarray, offset: np.ndarray, width: int, gap: int) -> np.ndarray:
+    """The next row of the group that is at least ``gap`` later, or the number of rows. Offsets are below ``width``."""
+    at = group * (2 * width) + offset
+    to = np.searchsorted(at, at + gap)
+    return np.where((to < len(at)) & (group[np.minimum(to, len(at) - 1)] == group), to, len(at))
 
-    return F.aggregate(seen, start, step, lambda acc: acc["out"])
+
+def _last_reached(jump: np.ndarray) -> np.ndarray:
+    """Where the chain of jumps from each row ends, by doubling."""
+    end = np.where(jump < len(jump), jump, np.arange(len(jump)))
+    while ((further := end[end]) != end).any():
+        end = further
+    return end
+
+
+def _followed(starts: np.ndarray, jump: np.ndarray) -> np.ndarray:
+    """All rows on the chains from ``starts``."""
+    out = []
+    while len(starts := starts[starts < len(jump)]):
+        out.append(starts)
+        starts = jump[starts]
+    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
 def cooldown(
@@ -187,82 +230,92 @@ def cooldown(
     order: list[str],
     cooldown_us: int,
     chunk_us: int = MINUTE_US,
-    max_fold: int = 10_000,
 ) -> DataFrame:
     """Rows that fire when each firing silences its key for ``cooldown_us``.
 
-    A row fires if the last firing of its key is at least ``cooldown_us`` old. Of rows at
-    one instant the first in ``order`` fires. Keys with at most ``max_fold`` instants are
-    folded as one small array. If any key has more, keys are first cut at gaps that reset
-    the silence; stretches still above the bound are solved by pointer doubling, where
-    every join key is (key, instant) and so no task depends on one key.
+    A row fires if the last firing of its key is at least ``cooldown_us`` old. Of rows at one instant the first in
+    ``order`` fires; rows without a time never do.
+
+    A time cell, at least 16 silences long, is a step function from the time up to which the key is silent when the
+    cell begins to the cell's last firing. Cells are reduced to their steps on their own; the steps of a key, in
+    order of cells, give the silence at the start of each; and each cell then fires on its own. Only steps are
+    ordered by key alone.
     """
     if cooldown_us <= 0:
         return df
+    width = max(chunk_us, 16 * cooldown_us)
     rest = [c for c in df.columns if c not in keys and c != ts]
     ranked = F.struct(*order, *[c for c in rest if c not in order])
-    instants = df.groupBy(*keys, ts).agg(F.min(ranked).alias("__row"))
-
-    def finish(picks: DataFrame) -> DataFrame:
-        return picks.select(*keys, F.col("p.t").alias(ts), "p.r.*").select(*df.columns)
-
-    def folded(rows: DataFrame, by: list[str]) -> DataFrame:
-        return finish(
-            rows.groupBy(*by).agg(_fold(ts, cooldown_us).alias("ps"))
-            .select(*keys, F.explode("ps").alias("p"))
-        )
-
-    # written once: the size check and the fold both read it
-    instants = cut_lineage(instants)
-    sizes = instants.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    if (sizes.agg(F.max("n")).first()[0] or 0) <= max_fold:
-        return folded(instants, keys)
-
-    celled = with_cells(instants, keys, cell(ts, chunk_us))
-    step1 = running(celled, keys, [ts], last={"__prev": F.col(ts)})
-    resets = F.col("__prev").isNull() | (F.col(ts) - F.col("__prev") >= F.lit(cooldown_us))
-    islands = cut_lineage(
-        running(step1, keys, [ts], sums={"__isl": resets.cast("long")}).drop("__prev", "__k")
-    )
-    spans = cut_lineage(
-        islands.groupBy(*keys, "__isl").agg(
-            F.count(F.lit(1)).alias("__n"), F.min(ts).alias("__t0"), F.max(ts).alias("__t1")
-        )
-    )
-    small, large = spans.where(F.col("__n") <= max_fold), spans.where(F.col("__n") > max_fold)
-    by = keys + ["__isl"]
-    out = folded(_null_safe(islands, small.select(*by), by, "left_semi"), by)
-    span = large.agg(F.max(F.col("__t1") - F.col("__t0"))).first()[0]
-    if span is None:
-        return out
-
-    # Pointer doubling: after r rounds the first 2^r firings of every stretch are known.
-    hot = islands.join(
-        large.select(*[F.col(k).alias(f"__b_{k}") for k in by]),
-        [islands[k].eqNullSafe(F.col(f"__b_{k}")) for k in by], "left_semi",
-    )
-    nodes = hot.select(*keys, "__isl", F.col(ts).alias("__t"))
-    jump = asof(
-        nodes.withColumn("__want", F.col("__t") + F.lit(cooldown_us)),
-        nodes, by, "__want", "__t", F.col("__t"), "__next", chunk_us, forward=True,
-    ).where("__next IS NOT NULL").select(*by, "__t", "__next")
-    jump = cut_lineage(jump)
-    reach = large.select(*by, F.col("__t0").alias("__t"))
-    for _ in range((span // cooldown_us + 1).bit_length()):
-        hop = _null_safe(reach, jump, by + ["__t"], "inner").select(
-            *by, F.col("__next").alias("__t")
-        )
-        reach = cut_lineage(reach.unionByName(hop).distinct())
-        far = jump.select(*by, F.col("__t").alias("__from"), F.col("__next").alias("__t"))
-        jump = cut_lineage(
-            _null_safe(far, jump, by + ["__t"], "inner").select(
-                *by, F.col("__from").alias("__t"), "__next"
-            )
-        )
-    hits = _null_safe(
-        hot.withColumn("__t", F.col(ts)), reach, by + ["__t"], "left_semi"
-    ).select(*keys, F.struct(F.col(ts).alias("t"), F.col("__row").alias("r")).alias("p"))
-    return out.unionByName(finish(hits))
+    celled = with_cells(df.where(F.col(ts).isNotNull()), keys, cell(ts, width)).repartition("__k")
+    fields = len(keys) + 1
+    of_k = celled.schema["__k"]
+
+    def placed(table: pa.Table, starts: np.ndarray):
+        """Number of its cell, time, and time since the cell began of each row."""
+        number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(table))))
+        stamp = table.column(ts).to_numpy().astype(np.int64)
+        return number, stamp, stamp - table.column("__k").combine_chunks().field(fields - 1).to_numpy() * width
+
+    def rows_of(table: pa.Table, at, **more) -> list[pa.RecordBatch]:
+        out = table.select(["__k"]).take(pa.array(at, pa.int64()))
+        for name, values in more.items():
+            out = out.append_column(name, pa.array(values, pa.int64()))
+        return out.combine_chunks().to_batches()
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_cells(batches, fields):
+            number, stamp, offset = placed(table, starts)
+            leave = stamp[_last_reached(_jumps(number, offset, width, cooldown_us))]
+            # silences end within the first ``cooldown_us`` of a cell: what comes later is entered through its first row
+            entry = offset < cooldown_us
+            entry |= np.append(True, entry[:-1] | (number[1:] != number[:-1]))
+            at = np.flatnonzero(entry)
+            at = at[np.append((leave[at][1:] != leave[at][:-1]) | (number[at][1:] != number[at][:-1]), True)]
+            yield from rows_of(table, at, upto=stamp[at], leave=leave[at])
+
+    def silences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, until, enter, done = None, None, None, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            table = pa.Table.from_batches([b])
+            first = 0 if before is None else 1  # the row before only tells whether key and cell go on
+            table = table if before is None else pa.concat_tables([before, table]).combine_chunks()
+            new_key, new_cell = _changes(table, fields - 1), _changes(table, fields)
+            upto, leave = table.column("upto").to_numpy().tolist(), table.column("leave").to_numpy().tolist()
+            rows, found = [], []
+            for i in range(first, len(table)):
+                if new_cell[i]:
+                    enter = None if i == 0 or new_key[i] else until
+                    until, done = None, False
+                    rows.append(i)
+                    found.append(enter)
+                if not done and (enter is None or upto[i] >= enter):
+                    until, done = leave[i] + cooldown_us, True
+            before = table.slice(len(table) - 1)
+            yield from rows_of(table, rows, until=found)
+
+    def fired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_cells(batches, fields):
+            number, stamp, offset = placed(table, starts)
+            until = pc.fill_null(table.column("__until"), np.iinfo(np.int64).min).to_numpy()[starts]
+            begin = stamp[starts] - offset[starts]
+            wait = np.where(until > begin, until - begin, 0)
+            first = np.searchsorted(number * (2 * width) + offset, np.arange(len(starts)) * (2 * width) + wait)
+            first = first[(first < len(table)) & (number[np.minimum(first, len(table) - 1)] == np.arange(len(starts)))]
+            hit = _followed(first, _jumps(number, offset, width, cooldown_us))
+            yield from table.drop_columns(["__until"]).take(pa.array(hit)).combine_chunks().to_batches()
+
+    long = lambda *names: T.StructType([of_k, *[T.StructField(n, T.LongType()) for n in names]])
+    instants = celled.select("__k", ts).distinct().sortWithinPartitions("__k", ts)
+    of_cells = instants.mapInArrow(steps, long("upto", "leave"))
+    by_key = of_cells.repartition(*[F.col(f"__k.{k}") for k in keys]) if keys else of_cells.repartition(1)
+    entered = by_key.sortWithinPartitions("__k", "upto").mapInArrow(silences, long("until"))
+    rows = celled.groupBy("__k", ts).agg(F.min(ranked).alias("__row"))
+    rows = rows.join(entered.select(F.col("__k").alias("__e"), F.col("until").alias("__until")), F.col("__k") == F.col("__e")).drop("__e")
+    out = rows.sortWithinPartitions("__k", ts)
+    out = out.mapInArrow(fired, out.drop("__until").schema)
+    return out.select(*[F.col(f"__k.{k}").alias(k) for k in keys], ts, "__row.*").select(*df.columns)
 
 
 def sliding_count(
@@ -293,7 +346,7 @@ def sliding_count(
 
 def windows_opened(
     df: DataFrame, keys: list[str], ts: str, order: list[str], window_us: int,
-    chunk_us: int = MINUTE_US, max_fold: int = 10_000,
+    chunk_us: int = MINUTE_US,
 ) -> DataFrame:
     """Assign rows to windows that the first row after the last window opens.
 
@@ -302,7 +355,7 @@ def windows_opened(
     """
     df = cut_lineage(df)
     opens = cooldown(
-        df.select(*keys, ts, *order), keys, ts, order, window_us, chunk_us, max_fold
+        df.select(*keys, ts, *order), keys, ts, order, window_us, chunk_us
     )
     placed = asof(df, opens, keys, ts, ts, F.col(ts), "window_open", chunk_us)
     # a flood is one window: its rows are counted over cells like any other key's

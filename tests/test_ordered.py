@@ -65,14 +65,32 @@ def fire(rows, c):
     return out
 
 
-@pytest.mark.parametrize("max_fold", [10_000, 20, 3])
-@pytest.mark.parametrize("c", [40, 700])
-def test_cooldown(events, max_fold, c):
+@pytest.fixture(params=[10_000, 7])
+def batches(spark, request):
+    """Cells that lie in one Arrow batch, and cells that span several."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", request.param)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("c,width", [(40, 500), (700, 500), (3, 1), (3, 100_000)])
+def test_cooldown(events, batches, c, width):
     rows, df = events
-    got = [r["id"] for r in o.cooldown(df, ["k"], "ts", ["id"], c, 500, max_fold).collect()]
+    got = [r["id"] for r in o.cooldown(df, ["k"], "ts", ["id"], c, width).collect()]
     assert len(got) == len(set(got)) and set(got) == fire(rows, c)
 
 
+def test_cooldown_runs_nothing_before_it_is_asked_for_rows(spark):
+    df = spark.createDataFrame([(1, "a", 0)], "id LONG, k STRING, ts LONG").withColumn("ts", F.raise_error(F.lit("read")).cast("long"))
+    o.cooldown(df, ["k"], "ts", ["id"], 5, 100)
+
+
+def test_cooldown_of_keys_without_rows_null_keys_and_null_times(spark):
+    df = spark.createDataFrame([(1, None, 0), (2, None, 3), (3, None, 9), (4, "a", None), (5, "a", -7), (6, "a", -3), (7, "a", -2)], "id LONG, k STRING, ts LONG")
+    assert sorted(r["id"] for r in o.cooldown(df, ["k"], "ts", ["id"], 5, 10).collect()) == [1, 3, 5, 7]
+    assert o.cooldown(df.limit(0), ["k"], "ts", ["id"], 5, 10).count() == 0
+
+
 def test_cooldown_boundary(spark):
     df = spark.createDataFrame([(1, "a", 0), (2, "a", 5), (3, "a", 9), (4, "a", 10)], "id LONG, k STRING, ts LONG")
     assert sorted(r["id"] for r in o.cooldown(df, ["k"], "ts", ["id"], 5, 100).collect()) == [1, 2, 4]
@@ -89,11 +107,10 @@ def test_sliding_count(events):
     assert got == want
 
 
-@pytest.mark.parametrize("max_fold", [10_000, 10])
-def test_windows_opened(events, max_fold):
+def test_windows_opened(events, batches):
     rows, df = events
     got = {r["id"]: (r["window_open"], r["window_pos"]) for r in o.windows_opened(
-        df, ["k"], "ts", ["id"], 300, 500, max_fold).where("k IS NOT NULL").collect()}
+        df, ["k"], "ts", ["id"], 300, 500).where("k IS NOT NULL").collect()}
     want = {}
     for k, rs in per_key(rows).items():
         opened, pos = None, 0

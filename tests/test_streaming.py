@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import wire
+from fieldwire.functions.net import FLOW_KEY, canonical_key
 from fieldwire.operators import clean, detect, flows, models
 from fieldwire.operators.joins import suppress_covered
 from fieldwire.plans.sessions import payload_sessions
@@ -53,37 +54,68 @@ def feed(spark, tmp_path):
     return df, live.stream_packets(spark, str(tmp_path / "in"), maxFilesPerTrigger=1, latestFirst=False)
 
 
-def run(spark, stream, tmp_path):
-    base = tmp_path / uuid.uuid4().hex
-    live.write_verdicts(stream, f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+@pytest.fixture()
+def unordered(spark, tmp_path):
+    """The same rows dealt to three files without order, one a batch."""
+    live.use_rocksdb(spark)
+    df = spark.createDataFrame(packets(200), PACKETS)
+    for i in range(3):
+        df.where(F.col("pkt_no") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return df, live.stream_packets(spark, str(tmp_path / "in"), maxFilesPerTrigger=1)
+
+
+def run(build, tmp_path):
+    """Results and late rows of a query over ended streams."""
+    return live.run_to_end(build, f"{tmp_path}/{uuid.uuid4().hex}")
 
 
 def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_cooldown_and_bursts_equal_batch(spark, feed, tmp_path):
+def test_cooldown_and_bursts_equal_batch(feed, tmp_path):
     df, stream = feed
     cols = ["src_ip", "ts_us", "pkt_no", "frame_no"]
     f = flows.frames_of(df, 20000)
-    assert rows(run(spark, live.live_command_injection(stream), tmp_path), *cols, "fc") == rows(
-        detect.command_injection_alerts(f), *cols, "fc")
-    got = rows(run(spark, live.live_scan_burst(stream, 8), tmp_path), *cols)
-    assert got and got == rows(detect.scan_burst_alerts(f, 8), *cols)
+    got, late = run(lambda end: live.live_command_injection(end(stream)), tmp_path)
+    assert rows(got, *cols, "fc") == rows(detect.command_injection_alerts(f), *cols, "fc") and not late.count()
+    got, late = run(lambda end: live.live_scan_burst(end(stream), 8), tmp_path)
+    assert got.count() and rows(got, *cols) == rows(detect.scan_burst_alerts(f, 8), *cols) and not late.count()
+
+
+RECORD = ["a_ip", "start_us", "end_us", "total_frames", "fwd_frames", "unique_fcs", "most_common_req_fc",
+          "fc_read", "link_status_count", "mean_udata_len", "min_udata_len"]
 
 
-def test_flow_records_equal_batch(spark, feed, tmp_path):
+@pytest.mark.parametrize("idle", [5 * S, S // 4])
+def test_flow_records_equal_batch(feed, tmp_path, idle):
     df, stream = feed
-    idle = 5 * S
-    cols = ["a_ip", "start_us", "end_us", "total_frames", "fwd_frames", "unique_fcs", "most_common_req_fc",
-            "fc_read", "link_status_count", "mean_udata_len", "min_udata_len"]
-    got = rows(run(spark, live.live_flow_features(stream, idle, delay="5 seconds"), tmp_path), *cols)
-    want = rows(payload_sessions(df, idle), *cols)
-    newest = max(r[2] for r in want)
-    assert set(got) <= set(want)
-    # only records that may still grow when the input ends are held back
-    assert all(r[2] > newest - idle - 6 * S for r in set(want) - set(got))
+    got, late = run(lambda end: live.live_flow_features(end(stream), idle, delay="5 seconds"), tmp_path)
+    assert rows(got, *RECORD) == rows(payload_sessions(df, idle), *RECORD) and not late.count()
+
+
+def test_late_rows_are_kept_and_settled(unordered, tmp_path):
+    df, stream = unordered
+    cols = ["src_ip", "fc", "ts_us", "pkt_no", "frame_no"]
+    f = flows.frames_of(df, 20000).where("fc IN (13, 14, 15, 18, 20, 21)")
+    want = rows(detect.command_injection_alerts(f), *cols)
+    got, late = run(lambda end: live.live_command_injection(end(stream), delay="5 seconds"), tmp_path)
+    assert late.count() and rows(got, *cols) != want
+    # each attack frame has either been taken in order or lies in the side table
+    assert {r.pkt_no for r in late.collect()} <= {r.pkt_no for r in f.collect()}
+    settled = live.settled(got, late, ["src_ip", "fc"], lambda only: detect.command_injection_alerts(only(f)).drop("attack_class"))
+    assert rows(settled, *cols) == want
+
+    got, late = run(lambda end: live.live_flow_features(end(stream), 5 * S, delay="5 seconds"), tmp_path)
+    keyed = df.withColumns(canonical_key())
+    settled = live.settled(got, late, FLOW_KEY, lambda only: payload_sessions(only(keyed).drop(*FLOW_KEY, "is_ab"), 5 * S))
+    assert late.count() and rows(settled, *RECORD) == rows(payload_sessions(df, 5 * S), *RECORD)
+
+
+def test_rows_in_any_order_within_the_delay_are_not_late(unordered, tmp_path):
+    df, stream = unordered
+    got, late = run(lambda end: live.live_flow_features(end(stream), 5 * S, delay="1 hour"), tmp_path)
+    assert not late.count() and rows(got, *RECORD) == rows(payload_sessions(df, 5 * S), *RECORD)
 
 
 def test_suppression_equals_batch(spark, tmp_path):
@@ -105,10 +137,9 @@ def test_suppression_equals_batch(spark, tmp_path):
     assert at[3][1:] == ("ok", None, None)
     vd.repartition(1).write.parquet(str(tmp_path / "v"))
     ad.repartition(1).write.json(str(tmp_path / "a"))
-    out = live.live_suppress(
-        spark.readStream.schema(vd.schema).parquet(str(tmp_path / "v")), live.stream_alerts(spark, str(tmp_path / "a")))
-    got = {tuple(r) for r in run(spark, out, tmp_path).select("event_id", "kind", "sig_id", "sig_name").collect()}
-    assert got <= want and {r for r in want if r[0] * 10 < 355} <= got
+    got, late = run(lambda end: live.live_suppress(end(spark.readStream.schema(vd.schema).parquet(str(tmp_path / "v"))),
+                                                   end(live.stream_alerts(spark, str(tmp_path / "a")))), tmp_path)
+    assert {tuple(r) for r in got.select("event_id", "kind", "sig_id", "sig_name").collect()} == want and not late.count()
 
 
 def test_scoring_stream_equals_batch(spark, tmp_path):
@@ -121,8 +152,9 @@ def test_scoring_stream_equals_batch(spark, tmp_path):
                                   "`Idle Max` DOUBLE, Label STRING")
     model = models.fit_model(train, ["Idle Max"], kind="tree", depth=2)
     out = live.score_flows(live.stream_flow_csv(spark, str(folder), cols), model)
-    got = rows(run(spark, out, tmp_path), "src_ip", "dst_port", "predicted_label")
+    live.write_verdicts(out, str(tmp_path / "o"), str(tmp_path / "s")).awaitTermination()
+    got = rows(spark.read.parquet(str(tmp_path / "o")), "src_ip", "dst_port", "predicted_label")
     assert got == [("x", 20000.0, "NORMAL"), ("y,z", 1.0, "REPLAY")]
     kind = clean.verdict_kind(F.col("predicted_label"), F.lit(False))
-    assert [r[0] for r in run(spark, out.select(kind.alias("k")), tmp_path).orderBy("k").collect()] == [
-        "ALERT-AI", "ok"]
+    live.write_verdicts(out.select(kind.alias("k")), str(tmp_path / "ko"), str(tmp_path / "ks")).awaitTermination()
+    assert [r[0] for r in spark.read.parquet(str(tmp_path / "ko")).orderBy("k").collect()] == ["ALERT-AI", "ok"]
