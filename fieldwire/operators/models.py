@@ -233,7 +233,7 @@ KNN_NAME = "KNN (k=5)"
 
 RESULT_SCHEMA = (
     "model STRING, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1 DOUBLE, roc_auc DOUBLE, "
-    "train_sec DOUBLE, infer_sec DOUBLE"
+    "train_sec DOUBLE, infer_sec DOUBLE, rows LONG"
 )
 
 
@@ -241,7 +241,7 @@ def compare_models(
     train: DataFrame, test: DataFrame, features: list[str], label: str = "Label",
     models: dict | None = None, row_id: str | None = None, seed: int = 42,
 ) -> DataFrame:
-    """Scores and seconds per classifier. With two classes the scores are those of the
+    """Scores, seconds and rows scored per classifier. With two classes the scores are those of the
     second class and the area under the curve is added; ``row_id`` adds nearest neighbours."""
     codes = label_codes(label_set(train, label=label), label)
     binary = len(codes) == 2
@@ -255,6 +255,7 @@ def compare_models(
         t0 = time.time()
         counts = evaluate.confusion_counts(rows, label, "predicted_label")
         m = evaluate.metrics(counts, "binary" if binary else "macro", positive[0] if binary else "1").first()
+        n = counts.agg(F.sum("n")).first()[0]
         t_infer = time.time() - t0
         auc = None
         if binary and prob:
@@ -264,7 +265,7 @@ def compare_models(
             ).first()[0]
         rows.unpersist()
         results.append((name, m["accuracy"], m["precision"], m["recall"], m["f1"], auc,
-                        round(t_train, 2), round(t_infer, 4)))
+                        round(t_train, 2), round(t_infer, 4), n))
 
     for name, (kind, opt) in (BENCH_MODELS if models is None else models).items():
         t0 = time.time()
@@ -290,7 +291,7 @@ def sweep_features(
     modes: list[str] | None = None, kind: str = "forest", trees: int = 100,
     whole: DataFrame | None = None, **opt,
 ) -> DataFrame:
-    """One row per selection mode: features kept, accuracy, macro f1. ``whole`` are the rows whose
+    """One row per selection mode: features kept, accuracy, macro f1, rows scored. ``whole`` are the rows whose
     statistics choose the features, where ``train`` is only a part of them."""
     train, test = train.cache(), test.cache()
     rows, known = [], {}
@@ -300,10 +301,10 @@ def sweep_features(
         model = fit_model(train, kept, label, kind, **({"trees": trees} if kind in ("forest", "boost") else {}), **opt)
         counts = evaluate.confusion_counts(model.predict(test), label, "predicted_label")
         m = evaluate.metrics(counts, "macro").first()
-        rows.append((mode, len(kept), m["accuracy"], m["f1"]))
+        rows.append((mode, len(kept), m["accuracy"], m["f1"], counts.agg(F.sum("n")).first()[0]))
     train.unpersist(), test.unpersist()
     return train.sparkSession.createDataFrame(
-        rows, "mode STRING, features INT, accuracy DOUBLE, macro_f1 DOUBLE"
+        rows, "mode STRING, features INT, accuracy DOUBLE, macro_f1 DOUBLE, rows LONG"
     )
 
 

@@ -78,14 +78,8 @@ def running(
           for n in last],
         *[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in sums],
     )
-    prior = Window.partitionBy(*[F.col(f"__k.{k}") for k in keys]).orderBy("__k.__cell").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carried = summary.select(
-        F.col("__k").alias("__r_k"),
-        *[F.last(f"__s_{n}", ignorenulls=True).over(prior).alias(f"__c_{n}") for n in last],
-        *[F.sum(f"__s_{n}").over(prior).alias(f"__c_{n}") for n in sums],
-    )
+    carried = _carried(summary, [f"__k.{k}" for k in keys], list(last), list(sums)).select(
+        F.col("__k").alias("__r_k"), *[f"__c_{n}" for n in names])
     zero = F.lit(0)
     return local.join(carried, F.col("__k") == F.col("__r_k"), "left").select(
         *[c for c in celled.columns if c not in names and (c != "__k" or chunk is None)],
@@ -94,6 +88,35 @@ def running(
     )
 
 
+#: Cells that one task orders where there is no key.
+BLOCK_CELLS = 4096
+
+
+def _carried(summary: DataFrame, keys: list[str], last: list[str], sums: list[str]) -> DataFrame:
+    """``summary`` (``__k``, ``__s_...``) with what the cells before a cell hand on, ``__c_...``.
+
+    With keys, a key's cells are ordered. Without, cells are ordered inside blocks of them, and blocks like cells."""
+    def handed(by: Window) -> dict:
+        before = by.rowsBetween(Window.unboundedPreceding, -1)
+        return ({f"__c_{n}": F.last(f"__s_{n}", ignorenulls=True).over(before) for n in last}
+                | {f"__c_{n}": F.sum(f"__s_{n}").over(before) for n in sums})
+
+    if keys:
+        return summary.withColumns(handed(Window.partitionBy(*keys).orderBy("__k.__cell")))
+    blocked = summary.withColumn("__block", cell(F.col("__k.__cell").cast("long"), BLOCK_CELLS))
+    pos = F.col("__k.__cell")
+    blocks = blocked.groupBy("__block").agg(
+        *[F.max_by(f"__s_{n}", F.when(F.col(f"__s_{n}").isNotNull(), pos)).alias(f"__s_{n}") for n in last],
+        *[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums])
+    blocks = blocks.withColumns(handed(Window.orderBy("__block"))).select(
+        F.col("__block").alias("__b"), *[F.col(f"__c_{n}").alias(f"__o_{n}") for n in [*last, *sums]])
+    inside = blocked.withColumns(handed(Window.partitionBy("__block").orderBy("__k.__cell")))
+    both = inside.join(blocks, F.col("__block").eqNullSafe(F.col("__b")))
+    return both.withColumns(
+        {f"__c_{n}": F.coalesce(f"__c_{n}", f"__o_{n}") for n in last}
+        | {f"__c_{n}": F.coalesce(f"__c_{n}", F.lit(0)) + F.coalesce(f"__o_{n}", F.lit(0)) for n in sums})
+
+
 def asof(
     left: DataFrame,
     right: DataFrame,
@@ -370,24 +393,39 @@ def value_cell(value: Column, cells: int = 4096) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(cells))
 
 
+def even_cells(values: DataFrame, key: str, value: str, parts: int = 128, fine: int = 32) -> DataFrame:
+    """``values`` with ``__cell``: cells of each key that keep the order of its values and hold like numbers of them.
+
+    Cut at quantiles of a bounded sketch, and between two of them evenly. Only the size of cells depends on the cuts.
+    There are few keys: their cuts go to every task."""
+    v = F.col(value)
+    cuts = values.groupBy(key).agg(F.percentile_approx(v, [k / parts for k in range(1, parts)], 10_000).alias("__cuts"))
+    part = F.size(F.filter("__cuts", lambda c: c < v))
+    low, high = F.get("__cuts", part - 1), F.get("__cuts", part)
+    share = F.when((low > float("-inf")) & (high < float("inf")) & (low < high), (v - low) / (high - low))
+    inner = F.coalesce(F.least(F.lit(fine - 1), F.floor(share * fine)), F.lit(0))
+    return values.join(F.broadcast(cuts), key).withColumn("__cell", (part * fine + inner).cast("long")).drop("__cuts")
+
+
 def exact_quantiles(
     df: DataFrame, columns: list[str], probs: list[float]
 ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles; null for a column without values.
 
-    Nulls and NaN are no values; infinities are values like others. Every column's values
-    are counted, the counts are carried over value cells, and the values that hold the
-    asked ranks are picked: at most two per column and probability reach the driver.
+    Nulls and NaN are no values; infinities are values like others. Every column's values are counted, the counts are
+    carried over cells of like numbers of values, and the values that hold the asked ranks are picked: at most two
+    per column and probability reach the driver.
     """
     if not columns:
         return {}
     cells = [F.struct(F.lit(i).alias("pos"), F.col(c).cast("double").alias("v"))
              for i, c in enumerate(columns)]
-    counts = (
+    counts = cut_lineage(
         df.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull() & ~F.isnan("v"))
         .groupBy("pos", "v").agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = cut_lineage(running(counts, ["pos"], ["v"], value_cell(F.col("v")), sums={"upto": F.col("n")}))
+    celled = even_cells(counts, "pos", "v")
+    upto = cut_lineage(running(celled, ["pos"], ["v"], F.col("__cell"), sums={"upto": F.col("n")}))
     sizes = {r["pos"]: r["n"] for r in upto.groupBy("pos").agg(F.sum("n").alias("n")).collect()}
     asked = {
         (pos, k) for pos, n in sizes.items() for p in probs

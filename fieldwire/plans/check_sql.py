@@ -353,6 +353,11 @@ SUMMARY = """SELECT label AS class, count(*) AS count, round(100 * count(*) / (S
   FROM vd GROUP BY label UNION ALL SELECT 'TOTAL', count(*), 100.0::DOUBLE FROM vd UNION ALL SELECT 'ATTACKS',
   count(*) FILTER (label <> 'NORMAL'), round(100 * count(*) FILTER (label <> 'NORMAL') / count(*), 6) FROM vd"""
 
+REST = """WITH k AS (SELECT *, l_linenumber <> 1 AS may FROM lineitem), cut AS (
+  SELECT CAST(floor(least(1.0::DOUBLE, 2000::DOUBLE / count(*) FILTER (may)) * 4294967296) AS BIGINT) AS c FROM k),
+rest AS (SELECT count(*) FILTER (NOT (may AND CAST('0x' || substr(md5(l_orderkey || '|' || l_linenumber), 1, 8) AS BIGINT) < c)) AS n
+  FROM k, cut) """
+
 SQL = {
     "payload_features": _payload("fwd = fdir"),
     "payload_features_port": _payload("dst_port = 20000"),
@@ -665,9 +670,9 @@ SQL = {
     **{f"model_{m}": RIGHT for m in ("logistic", "tree", "forest", "mlp")},
     **dict.fromkeys(("model_boost", "model_svm"), RIGHT.replace("Label AS predicted_label", "CASE Label WHEN 'A' THEN 'ATTACK' ELSE 'NORMAL' END AS predicted_label")),
     "importance": "SELECT unnest(['f_a', 'f_n']) AS feature",
-    "compare_models": """SELECT unnest(['Logistic Regression', 'Decision Tree', 'Random Forest', 'Boosted Trees',
-      'SVM (RBF)', 'MLP', 'KNN (k=5)']) AS model, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1""",
-    "sweep_features": """SELECT unnest(['all', 'variance', 'smart-30', 'smart-40', 'smart-50', 'importance-30',
+    "compare_models": REST + """SELECT unnest(['Logistic Regression', 'Decision Tree', 'Random Forest', 'Boosted Trees',
+      'SVM (RBF)', 'MLP', 'KNN (k=5)']) AS model, (SELECT n FROM rest) AS rows, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1""",
+    "sweep_features": REST + """SELECT (SELECT n FROM rest) AS rows, unnest(['all', 'variance', 'smart-30', 'smart-40', 'smart-50', 'importance-30',
       'importance-40', 'top-30', 'top-40']) AS mode, CAST(unnest([45, 44, 30, 40, 44, 30, 40, 30, 40]) AS BIGINT) AS features,
       1.0::DOUBLE AS accuracy""",
     "scored_flows": sql(SUMMARY.replace("vd", "judged"), FLOWS + """, judged AS (SELECT CASE WHEN rst + fin > 0 THEN 'ATTACK'
@@ -680,7 +685,7 @@ SQL = {
         f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in KNOWN_COLS) + ") FROM k) SELECT Label, ".replace(") FROM", " FROM") + ", ".join(
         f"round(avg(({c} - m_{c}) / s_{c}), 6) AS {c}" for c in KNOWN_COLS) + " FROM k, m GROUP BY Label",
     "payload_model": "WITH pf AS (" + _payload("fwd = fdir") + """), n AS (SELECT CASE WHEN attack_fc_count > 0
-      THEN 'COLD_RESTART' ELSE 'NORMAL' END AS label, count(*) AS support FROM pf GROUP BY 1)
+      THEN 'COLD_RESTART' ELSE 'NORMAL' END AS label, count(*) AS support FROM pf WHERE substr(md5(a_ip), 1, 1) < '8' GROUP BY 1)
       SELECT label, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, support FROM n UNION ALL
       SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), 1.0, 1.0, 1.0, CAST((SELECT sum(support) FROM n) AS BIGINT)""",
     "saved_model": f"WITH {KNOWN} SELECT Label, Label AS predicted_label, count(*) AS n FROM k GROUP BY Label",
@@ -689,6 +694,9 @@ SQL = {
     "flow_csv_stream": sql("SELECT src_ip AS Label, count(*) AS n, round(sum(value), 2) AS duration FROM pk GROUP BY 1"),
     "labelled_tables": """SELECT 'say "' || event_type || '", twice' AS Label, count(*) AS n, count(*) AS lengths FROM events
       GROUP BY 1 UNION ALL SELECT 'other', count(*), CAST(0 AS BIGINT) FROM events""",
+    "labelled_dir": sql("""SELECT 'REPLAY' AS Label, count(*) AS n, count(*) AS lengths, round(sum(value), 2) AS duration FROM pk
+      UNION ALL SELECT 'STOP_APP', count(*), 0, round(sum(value), 2) FROM pk
+      UNION ALL SELECT 'NORMAL', count(*), count(*), round(sum(value), 2) FROM pk WHERE value > 0"""),
     "results_table": CL + "SELECT Label, count(*) AS rows FROM c GROUP BY Label",
     "hex_payloads": """SELECT event_id || '-' || event_type AS text, CAST(length(event_id || '-' || event_type) AS BIGINT) AS size
       FROM events WHERE event_id % 10 <> 0""",

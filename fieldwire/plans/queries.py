@@ -802,9 +802,11 @@ def _fitted(data):
 
 
 def fit_and_rest(data):
-    """Rows to fit, by hash and never the first of an order, and all others."""
+    """Rows to fit, about ``FIT_ROWS`` by hash and never the first of an order, and all others."""
     may = F.col("l_linenumber") != 1
-    fitted = F.coalesce(may & _fitted(data.where(may)), F.lit(False))
+    cut = min(1.0, FIT_ROWS / max(1, data.where(may).count()))
+    digits = F.substring(F.md5(F.concat_ws("|", "l_orderkey", "l_linenumber")), 1, 8)
+    fitted = F.coalesce(may & (F.conv(digits, 16, 10).cast("long") < int(cut * (1 << 32))), F.lit(False))
     return data.where(fitted), data.where(~fitted)
 
 
@@ -829,7 +831,7 @@ def compare_models(spark, d):
     score but the seconds."""
     train, test = fit_and_rest(known_attacks(spark, d))
     found = models.compare_models(train, test, FEATURES, row_id="row")
-    return found.select("model", *[F.round(c, 2).alias(c) for c in ("accuracy", "f1")])
+    return found.select("model", "rows", *[F.round(c, 2).alias(c) for c in ("accuracy", "f1")])
 
 
 def sweep_features(spark, d):
@@ -839,18 +841,28 @@ def sweep_features(spark, d):
     k = known(spark, d).withColumns(noise).withColumn("constant", F.lit(1.0))
     train, test = fit_and_rest(k)
     found = models.sweep_features(train, test, [*FEATURES, *noise, "constant"], kind="tree", whole=k)
-    return found.select("mode", F.col("features").cast("long").alias("features"), F.round("accuracy", 2).alias("accuracy"))
+    return found.select("mode", "rows", F.col("features").cast("long").alias("features"), F.round("accuracy", 2).alias("accuracy"))
 
 
 def payload_model(spark, d):
-    """Payload features per flow, labelled by whether a flow holds an attack code, classified."""
-    f = flows.payload_features(frames(spark, d))
-    data = f.withColumn("Label", F.when(F.col("attack_fc_count") > 0, "COLD_RESTART").otherwise("NORMAL"))
-    data = data.select(*PAYLOAD_FEATURES, "Label")
-    report = models.train_and_report(data, data, payload=True, kind="tree")[1]
+    """Payload features per flow, classified; flows are held out by a hash of their lower end.
+
+    A flow's class is whether one of its events is a signup that its frames carry: it comes from the events."""
+    e = events(spark, d)
+    attack = traffic.endpoints(_attack_events(e)).withColumns(canonical_key()).select(*FLOW_KEY, F.lit("COLD_RESTART").alias("Label")).distinct()
+    data = flows.payload_features(frames(spark, d)).join(attack, FLOW_KEY, "left").withColumn("Label", F.coalesce("Label", F.lit("NORMAL")))
+    held_out = F.substring(F.md5("a_ip"), 1, 1) < "8"
+    part = lambda cond: data.where(cond).select(*PAYLOAD_FEATURES, "Label")
+    report = models.train_and_report(part(~held_out), part(held_out), payload=True, kind="tree")[1]
     return report.select("label", r6("precision"), r6("recall"), r6("f1"), "support")
 
 
+def _attack_events(e):
+    """Signups whose packet has a whole frame: not a SYN, and not cut short unless it has two."""
+    k = F.col("event_id")
+    return e.where((F.col("event_type") == "signup") & (k % 10 != 1) & ((k % 7 == 0) | (k % 13 != 0)))
+
+
 def scored_flows(spark, d):
     """Flow statistics scored by a tree fitted on the flows with an even first packet."""
     f = clean.rename_flow_columns(flows.flow_features(
@@ -939,6 +951,22 @@ def labelled_tables(spark, d):
     return both.groupBy("Label").agg(F.count(F.lit(1)).alias("n"), F.count("length").alias("lengths"))
 
 
+def labelled_dir(spark, d):
+    """A folder of one CSV file per class, of two kinds of columns and an empty one, read with the file's name as label."""
+    path = _shared(spark, "classes")
+    rows = _flow_rows(spark, d)
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, part in (("REPLAY", rows), ("STOP_APP", rows.drop("length")), ("NORMAL", rows.where("duration > 0"))):
+        part.drop("Label").coalesce(1).write.option("header", True).csv(f"{path}-{name}")
+        written = fs.globStatus(base.suffix(f"-{name}/part-*.csv"))[0].getPath()
+        fs.mkdirs(base)
+        fs.rename(written, base.suffix(f"/{name}.csv"))
+    fs.create(base.suffix("/EMPTY.csv")).close()
+    return tables.read_labelled_dir(spark, path).groupBy("Label").agg(
+        F.count(F.lit(1)).alias("n"), F.count("length").alias("lengths"), F.round(F.sum("duration"), 2).alias("duration"))
+
+
 def results_table(spark, d):
     path = _shared(spark, "results")
     sinks.write_results(class_counts(spark, d), path)
@@ -1114,8 +1142,7 @@ def payload_tree(spark, d):
     e = events(spark, d)
     own = e.where(F.pmod(F.xxhash64("user_id"), F.lit(1 << 20)) < _share(e, "user_id"))
     f = batch(traffic.packets(own), 4 * HOUR, chunk_us=DAY)
-    attack = traffic.endpoints(own.where("event_type = 'signup'")).where("event_id % 10 <> 1").withColumns(canonical_key()).select(
-        *FLOW_KEY, "ts_us", (F.col("event_id") % 13 == 0).alias("cut"), (F.col("event_id") % 7 == 0).alias("two")).where("two or not cut")
+    attack = traffic.endpoints(_attack_events(own)).withColumns(canonical_key()).select(*FLOW_KEY, "ts_us")
     seen = f.join(attack, FLOW_KEY, "left").groupBy(*FLOW_KEY, "record", *PAYLOAD_FEATURES).agg(
         F.coalesce(F.bool_or(F.col("ts_us").between(F.col("start_us"), F.col("end_us"))), F.lit(False)).alias("attack"))
     data = seen.withColumn("Label", F.when(F.col("attack"), "COLD_RESTART").otherwise("NORMAL"))
@@ -1202,7 +1229,7 @@ QUERIES = {f.__name__: f for f in (
     standard_scale, metrics_binary, metrics_multiclass, roc_auc, classification_report,
     worst_classes, confusion_matrix, threshold_predict, rank_models, compare_models,
     sweep_features, payload_model, scored_flows, model_bundle, bundle_scores, saved_model,
-    flow_csv, flow_csv_stream, labelled_tables, results_table, hex_payloads, feature_list, packet_records,
+    flow_csv, flow_csv_stream, labelled_tables, labelled_dir, results_table, hex_payloads, feature_list, packet_records,
 )} | {
     "model_logistic": _fit_predict("logistic"),
     "model_tree": _fit_predict("tree"),

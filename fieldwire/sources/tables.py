@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -50,13 +51,13 @@ def read_labelled_dir(
 ) -> DataFrame:
     """One CSV file per class; the label is the file's name. Model column names.
 
-    With ``columns`` all files are one scan. Without, files may differ: each header is read
-    and the tables are united by name; empty files are skipped.
+    With ``columns`` all files are one scan. Without, files may differ: their first lines are read by one job, each
+    header in use is one scan of its files, and the tables are united by name; empty files are skipped.
     """
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
     mark = F.lit(label) if label else stem
 
-    def load(where: str, names: list[str]) -> DataFrame:
+    def load(where: str | list[str], names: list[str]) -> DataFrame:
         raw = spark.read.schema(flow_schema(names)).csv(where, header=True, enforceSchema=True, escape='"')
         return rename_flow_columns(raw.withColumn("Label", mark).select(
             *[c for c in raw.columns if c != "Label"], "Label"))
@@ -64,17 +65,16 @@ def read_labelled_dir(
     if columns:
         out = load(f"{path}/*.csv", columns)
     else:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-        parts = []
-        for row in files.select("path", "length").orderBy("path").toLocalIterator():
-            names = csv_header(spark, row["path"]) if row["length"] else []
-            if names:
-                parts.append(load(row["path"], names))
-            else:
-                log.warning("skip %s (empty)", row["path"])
-        if not parts:
+        lines = spark.read.text(f"{path}/*.csv")
+        # the part of a file from byte 0 on is read by one task, in order
+        heads = lines.where("_metadata.file_block_start = 0").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.first("value").alias("head"))
+        found = heads.where("head <> ''").groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
+        if not found:
             raise ValueError(f"no CSV with rows in {path}")
-        out = union_datasets(*parts)
+        skipped = len(lines.inputFiles()) - sum(len(r["files"]) for r in found)
+        if skipped:
+            log.warning("%d empty files skipped in %s", skipped, path)
+        out = union_datasets(*[load(r["files"], next(csv.reader([r["head"]]))) for r in found])
     return collapse_labels(out) if collapse else out
 
 
