@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mixed, pieces, powers, prefix_hashes, texts, utf8, written
+from .common import mixed, pieces, powers, prefix_hashes, texts, tokens, utf8, written
 
 LENGTH, GRAM = 400, 200
 SPAN = LENGTH - GRAM
@@ -353,19 +353,21 @@ def repeated_spans(rows: DataFrame, most_contexts: int = 20_000) -> DataFrame:
 
 def without_repeats(docs: DataFrame, most_contexts: int = 20_000) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``kept`` (the bytes left, as binary), ``n_bytes``, ``n_removed``, ``n_spans``
-    (maximal removed runs) and ``spans`` (their starts and ends in bytes).
+    (maximal removed runs), ``spans`` (their starts and ends in bytes) and ``n_passages`` (``shared_passages``, 0 where
+    there are none: it tells documents whose passages of over 50 words repeat, be they shorter than LENGTH bytes).
 
     Texts are UTF-8 bytes, a null one is empty; texts under LENGTH bytes stay whole. Repeated rows repeat each
     other's strings, whatever their ids. All is judged on the input, both places of a repeat lose it."""
     # a null id joins as the number 0 with a text hash of its own kind
     void = F.col("doc_id").isNull()
     keyed = texts(docs).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64("text", void).alias("th"), "text", void.alias("void"))
-    spans = repeated_spans(keyed.drop("void"), most_contexts).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    rows = keyed.drop("void")
+    spans = repeated_spans(rows, most_contexts).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, text, found in zip(b.column("doc_id"), b.column("text"), b.column("spans")):
+            for i, text, found, passages in zip(b.column("doc_id"), b.column("text"), b.column("spans"), b.column("n_passages")):
                 raw, joined = text.as_buffer().to_pybytes(), []
                 for s in sorted((s["start"], s["end"]) for s in found.as_py() or ()):
                     if joined and s[0] <= joined[-1][1]:
@@ -374,11 +376,43 @@ def without_repeats(docs: DataFrame, most_contexts: int = 20_000) -> DataFrame:
                         joined.append([*s])
                 ends = [0, *(x for s in joined for x in s), len(raw)]
                 kept = b"".join(raw[s:e] for s, e in zip(ends[::2], ends[1::2]))
-                out.append({"doc_id": i.as_py(), "kept": kept, "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": len(joined), "spans": joined})
+                out.append({"doc_id": i.as_py(), "kept": kept, "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": len(joined), "spans": joined, "n_passages": passages.as_py() or 0})
             yield pa.RecordBatch.from_pylist(out, KEPT)
 
-    return keyed.join(spans, ["doc_id", "th"], "left").select(F.when(~F.col("void"), F.col("doc_id")).alias("doc_id"), "text", "spans").mapInArrow(
-        run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<array<long>>")
+    # both are few beside the texts, which are moved once
+    about = spans.join(shared_passages(rows), ["doc_id", "th"], "full")
+    return keyed.join(about, ["doc_id", "th"], "left").select(F.when(~F.col("void"), F.col("doc_id")).alias("doc_id"), "text", "spans", "n_passages").mapInArrow(
+        run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, n_passages long")
 
 
-KEPT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64())))])
+def shared_passages(rows: DataFrame, words: int = 51, gram: int = 40) -> DataFrame:
+    """``doc_id``, ``th``, ``n_passages``: of documents that share a run of ``gram`` words with another one, how many such
+    runs were looked at. Any run of ``words`` words that two documents share is seen.
+
+    Of the ``gram``-word runs inside each ``words``-word window the one with the least hash is looked at, so equal windows
+    look at the same one. Words are parted by white space, A-Z count as a-z, runs are compared by 64-bit fingerprints."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = utf8(b.column("text"))
+            for i, j in pieces(at, ROUND_BYTES):
+                word, row, _, _ = tokens(data[at[i]:at[j]], at[i:j + 1] - at[i], split_signs=False)
+                n = len(word)
+                if n < words:
+                    continue
+                up, down = powers(n)
+                prefix = np.zeros(n + 1, np.uint64)
+                np.cumsum(word * up[:n], out=prefix[1:])
+                fp = mixed((prefix[gram:] - prefix[:-gram]) * down[:n - gram + 1])
+                least = sliding_least((fp & ~_PLACE) | np.arange(len(fp), dtype=np.uint64), words - gram + 1)[:n - words + 1]
+                seen = np.unique(least[row[:n - words + 1] == row[words - 1:]] & _PLACE).astype(np.int64)
+                own = pa.array(row[seen] + i)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(own), b.column("th").take(own), pa.array(fp[seen].view(np.int64))], ["doc_id", "th", "fp"])
+
+    seen = written(rows.mapInArrow(run, "doc_id long, th long, fp long"), "passages")
+    shared = seen.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("th").alias("c"), F.max("th").alias("d"))
+    shared = written(shared.filter("a <> b or c <> d").select("fp"), "shared-passages")
+    found = written(seen.join(shared, "fp").select("doc_id", "th"), "passages-found")
+    return found.groupBy("doc_id", "th").agg(F.count("*").alias("n_passages"))
+
+
+KEPT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("n_passages", pa.int64())])

@@ -116,3 +116,15 @@ def test_long_row_in_pieces(monkeypatch):
     monkeypatch.setattr(s, "ROUND_BYTES", 1000)
     parts = {(int(x) + o, p + o) for _, at, o, part in s.rounds(data, np.array([0, 9000])) for x, f, t in zip(*s.anchors(part, at)[1:4]) for p in range(f, t + 1)}
     assert parts == {(x, p) for x, f, t in whole for p in range(f, t + 1)}
+
+
+def test_shared_passages_of_words(spark):
+    rng = random.Random(11)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    long, short, upper = fresh(51), fresh(39), fresh(60)
+    table = [(1, fresh(80) + " " + long + " " + fresh(9)), (2, long + "\n" + fresh(70)), (3, fresh(60) + " " + short + " " + fresh(60)),
+             (4, short + " " + fresh(80)), (5, upper), (6, upper.upper()), (7, fresh(200)), (8, fresh(10)), (9, None), (9, None), (10, "")]
+    once = fresh(55)
+    table += [(11, once + " " + once)]  # twice in one document only
+    got = {r.doc_id: r.n_passages for r in s.without_repeats(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()}
+    assert {i for i, n in got.items() if n} == {1, 2, 5, 6} and len(got) == 11
