@@ -101,6 +101,15 @@ def shape(text: str) -> str:
     return re.sub(r"\s+", " ", text)
 
 
+_WORD_BEFORE = re.compile(r"([^\W\d_]{2,12})[\W_]{0,3}$")
+
+
+def word_before(text: str, at: int) -> str:
+    """The word that leads to a span, in lower case."""
+    m = _WORD_BEFORE.search(text, max(0, at - 16), at)
+    return m[1].lower() if m else ""
+
+
 def near(text: str, at: int, step: int) -> str:
     """Sort of the character at a boundary of a span."""
     if not 0 <= at < len(text):
@@ -116,7 +125,11 @@ def span_features(text: str, s: int, e: int) -> list[str]:
     loose = re.sub(r"<\d>", "0", form)
     digits = sum(c.isdigit() for c in span)
     loose = re.sub(r"(?:a|0)(?:[._%+-]*(?:a|0))*", "w", loose) if "@" in span else loose
-    out = ["bias", f"shape {form if '@' not in span else loose}", f"loose {loose}", f"digits {digits if digits < 20 else 20}", f"before {near(text, s - 1, -1)}", f"after {near(text, e, 1)}", f"signs {''.join(sorted(set(re.sub(r'[\w\s]', '', span))))}"]
+    out = ["bias", f"shape {form if '@' not in span else loose}", f"loose {loose}", f"digits {digits if digits < 20 else 20}", f"before {near(text, s - 1, -1)}", f"word {word_before(text, s)}", f"after {near(text, e, 1)}", f"signs {''.join(sorted(set(re.sub(r'[\w\s]', '', span))))}"]
+    if 12 <= digits <= 19 and span.isascii():
+        plain = re.sub(r"[^0-9]", "", span)
+        # what a card number has: a check digit, and an issuer by its first digit and length
+        out += [f"check digit {luhn(plain)}", f"issuer {plain[0]} {len(plain)} {luhn(plain)}"]
     parts = span.split(".")
     if len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts):
         out.append("bytes" if all(len(p) < 4 and int(p) < 256 for p in parts) else "not bytes")
