@@ -1,8 +1,9 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Test items are taken in blocks of bounded size and every n-gram of an item is a seed, so that no other
-document decides which part of a copy an edit may touch. A scan over all documents joins passages to
-items where a seed meets; a passage with several on neighbouring diagonals, or with enough words of the
+Test items are taken in blocks of bounded size. A first scan counts their n-grams in all documents; of those that
+occur at all the rarest of each short stretch of an item are its seeds, several a stretch, so that edits of a copy
+leave some whole. N-grams of short items are pairs of words, all that occur being seeds. A second scan joins
+passages to items where a seed meets; a passage with several on neighbouring diagonals, or with enough words of the
 item to reach the score, is aligned with the whole item, in whole batches of arrays."""
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ from .common import mixed, pieces, texts, tokens, utf8, written
 
 @dataclass(frozen=True)
 class Rules:
-    """``seed_words`` in an n-gram; a passage with ``least_seeds`` is aligned without counting its words
-    first; a match scores 1, another word or a gap -1; an item is found at ``least_share`` of its own score."""
+    """``seed_words`` in an n-gram, two in items under ``short_item`` words; of each ``stretch`` of n-grams of an item the
+    ``seeds`` rarest ones that occur are looked for; a passage with ``least_seeds`` is aligned without counting its
+    words first; a match scores 1, another word or a gap -1; an item is found at ``least_share`` of its own score."""
     seed_words: int = 3
+    short_item: int = 10
+    stretch: int = 4
+    seeds: int = 3
     least_seeds: int = 2
     least_share: float = 0.5
     block_bytes: int = 8_000_000
@@ -49,14 +54,60 @@ def ngrams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return g[inside], inside
 
 
+def all_grams(h: np.ndarray, row: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of both sizes, and where they start."""
+    (g, s), (g2, s2) = ngrams(h, row, rules.seed_words), ngrams(h, row, 2)
+    return np.concatenate((g, g2)), np.concatenate((s, s2))
+
+
 def block_of(ids: list[int], items: list[str], rules: Rules) -> Block:
+    """A block with all n-grams of its items, by item and place."""
     data, at = utf8(pa.array(items, pa.large_string()))
     h, row, _, _ = tokens(data, at, split_signs=True)
     first = np.searchsorted(row, np.arange(len(items) + 1))
-    g, start = ngrams(h, row, rules.seed_words)
+    length = np.diff(first)
+    g, start = all_grams(h, row, rules)
+    pair = np.arange(len(g)) >= len(ngrams(h, row, rules.seed_words)[0])
+    # pairs for short items of seed_words and more; longer n-grams for others
+    short = (length < rules.short_item)[row[start]] if len(g) else pair
+    fit = (pair == short) & ((length >= rules.seed_words)[row[start]] if len(g) else pair)
+    g, start = g[fit], start[fit]
+    order = np.lexsort((start,))
+    g, start = g[order], start[order]
     return Block(np.array(ids, np.int64), h, first, g, row[start], start - first[row[start]])
 
 
+def chosen(block: Block, counts: np.ndarray, rules: Rules) -> Block:
+    """The block with its seeds alone; ``counts`` tells how often each of its n-grams occurs in the documents."""
+    group = block.item.astype(np.int64) * (1 << 32) + block.place // rules.stretch
+    there = np.flatnonzero(counts > 0)
+    order = there[np.lexsort((block.place[there], counts[there], group[there]))]
+    first = np.ones(len(order), bool)
+    first[1:] = group[order][1:] != group[order][:-1]
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    short = np.diff(block.at)[block.item[order]] < rules.short_item
+    keep = np.sort(order[(rank < rules.seeds) | short])
+    return Block(block.ids, block.words, block.at, block.grams[keep], block.item[keep], block.place[keep])
+
+
+def counted(rows: DataFrame, shared, n: int, column: int, rules: Rules) -> np.ndarray:
+    """How often each n-gram of a block occurs in the texts: a number each goes to the driver, bounded by the block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, total = Lookup(shared.value.grams), np.zeros(n, np.int64)
+        for b in batches:
+            data, at = utf8(b.column(column))
+            for i, j in pieces(at):
+                h, row, _, _ = tokens(data[at[i]:at[j]], at[i:j + 1] - at[i], split_signs=True)
+                total += np.bincount(find.find(all_grams(h, row, rules)[0])[1], minlength=n)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "c"])
+
+    found = rows.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
+    out = np.zeros(n, np.int64)
+    out[found["k"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)
+    return out
+
+
 class Lookup:
     """Positions of the sorted keys that equal given hashes, behind a bit table that settles most of them."""
 
@@ -129,7 +180,7 @@ def word_lookup(block: Block) -> Lookup:
 
 def passages(block: Block, find: Lookup, words: Lookup, h, row, rules: Rules):
     """Candidates of a chunk of documents: row, item, first and last word of the passage."""
-    g, start = ngrams(h, row, rules.seed_words)
+    g, start = all_grams(h, row, rules)
     hit, key = find.find(g)
     if not len(hit):
         return hit, hit, hit, hit
@@ -198,15 +249,18 @@ def found_in(block: Block, find: Lookup, words: Lookup, column: pa.Array, rules:
             yield doc[ok] + i, item[ok], score[ok], begin[low[ok]] - base, end[high[ok] - 1] - base
 
 
-def prepared(spark: SparkSession, benchmark: DataFrame, rules: Rules) -> Iterator:
-    """Blocks of test items, each different text of an id on its own, shared with the tasks."""
+def prepared(docs: DataFrame, column: int, benchmark: DataFrame, rules: Rules) -> Iterator:
+    """Blocks of test items with their seeds, each different text of an id on its own, shared with the tasks."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     items = written(items, "items")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // rules.block_bytes))
+    context = docs.sparkSession.sparkContext
     for k in range(blocks):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(block_of([r["item_id"] or 0 for r in some], [r["text"] for r in some], rules))
+        block = block_of([r["item_id"] or 0 for r in some], [r["text"] for r in some], rules)
+        counts = counted(docs, context.broadcast(block), len(block.grams), column, rules)
+        yield context.broadcast(chosen(block, counts, rules))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -216,10 +270,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
     Words are compared without case, signs apart from letters. Items with a null id or fewer words than a
     seed, and null or empty texts, match nothing. Different texts of one id are items of their own, of
     which the one with the best share is reported. Repeated rows count once per document id and item.
-    The driver holds one block of items at a time; documents are scanned once per block.
-    A copy in which edits leave no ``seed_words`` words of the item in a row is not aligned."""
+    The driver holds one block of items at a time; documents are scanned twice per block. A copy in which edits leave
+    no seed of the item whole is not aligned (README has measured shares)."""
     rows, found = texts(docs), None
-    for shared in prepared(docs.sparkSession, benchmark.filter("item_id is not null"), rules):
+    for shared in prepared(rows, rows.columns.index("text"), benchmark.filter("item_id is not null"), rules):
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             find, words = Lookup(block.grams), word_lookup(block)
@@ -244,7 +298,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
     """``docs``, all columns, without the rows in whose text a test item is found; each row is judged
     where it is read, whatever its id, and items count whatever theirs."""
     place = docs.columns.index("text")
-    for shared in prepared(docs.sparkSession, benchmark, rules):
+    source = docs
+    for shared in prepared(source, place, benchmark, rules):
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             find, words = Lookup(block.grams), word_lookup(block)
