@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import texts
+from .common import texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
@@ -125,7 +125,7 @@ def span_features(text: str, s: int, e: int) -> list[str]:
     loose = re.sub(r"<\d>", "0", form)
     digits = sum(c.isdigit() for c in span)
     loose = re.sub(r"(?:a|0)(?:[._%+-]*(?:a|0))*", "w", loose) if "@" in span else loose
-    out = ["bias", f"shape {form if '@' not in span else loose}", f"loose {loose}", f"digits {digits if digits < 20 else 20}", f"before {near(text, s - 1, -1)}", f"word {word_before(text, s)}", f"after {near(text, e, 1)}", f"signs {''.join(sorted(set(re.sub(r'[\w\s]', '', span))))}"]
+    out = ["bias", f"at {'@' in span}", f"shape {form if '@' not in span else loose}", f"loose {loose}", f"digits {digits if digits < 20 else 20}", f"before {near(text, s - 1, -1)}", f"word {word_before(text, s)}", f"after {near(text, e, 1)}", f"signs {''.join(sorted(set(re.sub(r'[\w\s]', '', span))))}"]
     if 12 <= digits <= 19 and span.isascii():
         plain = re.sub(r"[^0-9]", "", span)
         # what a card number has: a check digit, and an issuer by its first digit and length
@@ -242,8 +242,20 @@ def other_forms(kind: str, span: str) -> list[str]:
     return []
 
 
+def plain_numbers(span: str) -> list[str]:
+    """What numbers stand for besides persons, made from the digits of a span: date and time, version, amount, and a
+    run of as many digits without a check digit."""
+    d = re.sub(r"[^0-9]", "", span)
+    if len(d) < 8:
+        return []
+    a, b, c = int(d[:2]), int(d[2:4]), int(d[4:6])
+    run = next((x for x in (d[:-1] + str(k) for k in range(10)) if not luhn(x)), d)
+    return [f"{1980 + a % 60}-{1 + b % 12:02d}-{1 + c % 28:02d} {b % 24:02d}:{c % 60:02d}:{a % 60:02d}", f"v{a}.{b}.{c}{d[6:8]}", f"{a},{d[2:5]}.{d[5:7]}", f"{1 + c % 28:02d}/{1 + b % 12:02d}/{1980 + a % 60}", run]
+
+
 def examples(text: str) -> list[tuple[str, list[Span]]]:
-    """Regions of a text with the spans found there, and copies with each span in another form."""
+    """Regions of a text with the spans found there, and copies with each span in another form or with a plain
+    number, which is no span, in its place."""
     spans, out = base_spans(text), []
     for start, end in regions(text):
         inside = [s for s in spans if start <= s[0] and s[1] <= end]
@@ -252,9 +264,9 @@ def examples(text: str) -> list[tuple[str, list[Span]]]:
         for s, e, k in inside:
             if sum(not (y <= s or x >= e) for x, y, _ in inside) > 1:
                 continue
-            for form in other_forms(k, text[s:e]):
+            for form, kind in [*((f, k) for f in other_forms(k, text[s:e])), *((f, None) for f in plain_numbers(text[s:e]))]:
                 moved = [(a - start + (len(form) - (e - s) if a >= e else 0), b - start + (len(form) - (e - s) if a >= e else 0), c) for a, b, c in inside if (a, b, c) != (s, e, k)]
-                out.append((text[start:s] + form + text[e:end], sorted([*moved, (s - start, s - start + len(form), k)])))
+                out.append((text[start:s] + form + text[e:end], sorted([*moved, *([(s - start, s - start + len(form), k)] if kind else [])])))
     return out
 
 
@@ -303,7 +315,11 @@ def fit(docs: DataFrame, most_regions: int = 1500, most_rows: int = 4000, epochs
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], ["doc_id", "window", "spans"])
 
     rows = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut).mapInArrow(pick, "doc_id long, window string, spans string")
-    rows = rows.groupBy("window", "spans").agg(F.min("doc_id").alias("doc_id")).orderBy((F.col("spans") == ""), F.xxhash64("window"), "window").limit(most_regions).collect()
+    rows = written(rows.select("window", "spans").distinct(), "regions")
+    # regions with spans and without, least by hash
+    parts = [rows.filter(cond).orderBy(F.xxhash64("window"), "window", "spans").limit(n) for cond, n in
+             (("spans <> ''", most_regions - most_regions // 3), ("spans = ''", most_regions // 3))]
+    rows = parts[0].union(parts[1]).collect()
     sample = []
     for r in rows:
         spans = [(int(s), int(e), k) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]
