@@ -19,8 +19,9 @@ class DigestIndex:
 
     Columns: ``digest`` (32 bytes), ``keep_id`` (id of the row that stays), ``n`` (rows of its first
     batch with this text). ``buckets`` counts for a new index; an existing one keeps its own. Within one batch the row with the largest id stays; against
-    earlier batches the earlier row does. An append either commits as a whole or leaves nothing, and a
-    batch ingested twice finds its own rows again, so a failed job may simply be run anew."""
+    earlier batches the earlier row does. Files of an append
+    become visible one by one when its job commits. A batch ingested again finds the rows that are there and adds the
+    others, so a failed job may simply be run anew."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path = spark, path

@@ -24,10 +24,15 @@ def uniform(*parts: Column) -> Column:
 def cumulative(rate: Column) -> Column:
     """P(X <= k) of a Poisson X for k from 0 to where the rest is far below what a draw can resolve."""
     most = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    def log_term(k: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + F.when(i == 0, F.lit(0.0)).otherwise(F.log(rate) - F.log(i.cast("double"))))
-    terms = F.transform(F.sequence(F.lit(0), most), lambda k: F.exp(log_term(k) - rate))
-    sums = F.transform(F.sequence(F.lit(1), most + 1), lambda k: F.aggregate(F.slice(terms, F.lit(1), k), F.lit(0.0), lambda s, x: s + x))
+    # one pass: the logarithm of the term and the sum so far are carried from k to k + 1
+    start = F.struct((-rate).alias("log_term"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("sums"))
+
+    def step(s: Column, k: Column) -> Column:
+        log_term = s["log_term"] + F.log(rate) - F.log(k.cast("double"))
+        total = s["sum"] + F.exp(log_term)
+        return F.struct(log_term.alias("log_term"), total.alias("sum"), F.array_append(s["sums"], total).alias("sums"))
+
+    sums = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["sums"])
     return F.when(rate > 0, sums).otherwise(F.array(F.lit(1.0)))
 
 
