@@ -68,47 +68,28 @@ def suppress_covered(
 
 def label_by_window(
     flows: DataFrame, windows: DataFrame, ts: str = "ts_us", benign: str = "NORMAL",
-    bin_us: int = 3_600_000_000,
+    chunk_us: int = 1_000_000,
 ) -> DataFrame:
-    """Label flows whose start lies in a logged ``[start_us, stop_us]`` run.
+    """Label flows whose start lies in a logged ``[start_us, stop_us]`` run; the others are ``benign``.
 
-    Where runs overlap, the one that started last wins (ties: smaller label). Overlaps
-    are resolved on the small side first: runs are cut at every start and stop, so each
-    flow meets at most one piece, and pieces are equi-joined by time bin. Whether the
-    pieces are broadcast is left to Spark's size check.
+    Where runs overlap, the one that started last wins (ties: smaller label). A run is cut into blocks of time whose
+    lengths are powers of two, at most two a length, and of the runs that share a block the best is kept. What
+    holds from a start or stop on is the best of the blocks around it, one lookup a length. So the work grows with
+    runs times the logarithm of their length, however they overlap, and flows take the latest of these points.
     """
-    lo = F.col("start_us") - F.pmod("start_us", F.lit(bin_us))
-    in_bins = windows.where("stop_us >= start_us").withColumn(
-        "__bin", F.explode(F.sequence(lo, F.col("stop_us"), F.lit(bin_us)))
-    )
-    last = F.col("__bin") + F.lit(bin_us)
-    clipped = in_bins.select(
-        "__bin", "label", "start_us",
-        F.greatest("start_us", "__bin").alias("__a"),
-        F.least(F.col("stop_us") + 1, last).alias("__b"),
-    )
-    edges = clipped.select("__bin", F.explode(F.array("__a", "__b")).alias("__a")).distinct()
-    pieces = edges.withColumn(
-        "__b", F.lead("__a").over(Window.partitionBy("__bin").orderBy("__a"))
-    ).where("__b IS NOT NULL")
-    c = clipped.select(
-        F.col("__bin").alias("__cb"), "label", "start_us", F.col("__a").alias("__ca"),
-        F.col("__b").alias("__cbb"),
-    )
-    best = (
-        pieces.join(c, (F.col("__bin") == F.col("__cb")) & (F.col("__ca") <= F.col("__a"))
-                    & (F.col("__cbb") >= F.col("__b")))
-        .groupBy("__bin", "__a", "__b")
-        .agg(F.min_by("label", F.struct(-F.col("start_us"), "label")).alias("__label"))
-        .withColumnRenamed("__bin", "__pbin")
-    )
-    rows = flows.withColumn("__bin", F.col(ts) - F.pmod(F.col(ts), F.lit(bin_us)))
-    return rows.join(
-        best, (F.col("__bin") == F.col("__pbin")) & (F.col(ts) >= F.col("__a"))
-        & (F.col(ts) < F.col("__b")), "left",
-    ).withColumn("label", F.coalesce("__label", F.lit(benign))).drop(
-        "__bin", "__pbin", "__a", "__b", "__label"
-    )
+    run = windows.where("stop_us >= start_us").select("label", F.col("start_us").alias("a"), (F.col("stop_us") + 1).alias("b"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(62))).alias("level")
+    # of the blocks of one length inside the run, the first where its number is odd, the last where it is even
+    inside = run.select("label", "a", "b", levels).select(
+        "label", "a", "level", F.expr("-shiftright(-a, level)").alias("first"), F.expr("shiftright(b, level)").alias("end")).where("first < end")
+    cut = F.filter(F.array(F.when(F.expr("first & 1") == 1, F.col("first")), F.when(F.expr("end & 1") == 1, F.col("end") - 1)), lambda x: x.isNotNull())
+    blocks = inside.select("label", "a", "level", F.explode(cut).alias("block"))
+    best = blocks.groupBy("level", "block").agg(F.min(F.struct((-F.col("a")).alias("late"), "label")).alias("best"))
+    points = run.select(F.explode(F.array("a", "b")).alias("at")).distinct()
+    around = points.select("at", levels).withColumn("block", F.expr("shiftright(at, level)")).join(best, ["level", "block"], "left")
+    holds = around.groupBy("at").agg(F.coalesce(F.min("best")["label"], F.lit(benign)).alias("value"))
+    out = asof(flows.drop("label"), holds, [], ts, "at", F.col("value"), "label", chunk_us)
+    return out.withColumn("label", F.coalesce("label", F.lit(benign)))
 
 
 def requests(frames: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def test_overlapping_attack_runs(spark):
         want[i] = min(hit)[1] if hit else "NORMAL"
     out = joins.label_by_window(
         spark.createDataFrame(flows, "id LONG, ts_us LONG"),
-        spark.createDataFrame(runs, "label STRING, start_us LONG, stop_us LONG"), bin_us=64)
+        spark.createDataFrame(runs, "label STRING, start_us LONG, stop_us LONG"), chunk_us=64)
     assert {r["id"]: r["label"] for r in out.select("id", F.col("label")).collect()} == want
 
 
@@ -122,8 +122,8 @@ def test_comparisons_score_every_row_that_is_not_fitted(spark, monkeypatch):
             return spark.range(0).selectExpr(*[f"{c}" for c in columns])
         return run
 
-    monkeypatch.setattr(queries.models, "compare_models", record("compare", ["'' AS model", "1.0D AS accuracy", "1.0D AS f1"]))
-    monkeypatch.setattr(queries.models, "sweep_features", record("sweep", ["'' AS mode", "1 AS features", "1.0D AS accuracy"]))
+    monkeypatch.setattr(queries.models, "compare_models", record("compare", ["'' AS model", "1L AS rows", "1.0D AS accuracy", "1.0D AS f1"]))
+    monkeypatch.setattr(queries.models, "sweep_features", record("sweep", ["'' AS mode", "1L AS rows", "1 AS features", "1.0D AS accuracy"]))
     queries.compare_models(spark, folder)
     queries.sweep_features(spark, folder)
     for fitted, scored, both, whole in seen.values():
