@@ -393,13 +393,13 @@ def value_cell(value: Column, cells: int = 4096) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(cells))
 
 
-def even_cells(values: DataFrame, key: str, value: str, parts: int = 128, fine: int = 32) -> DataFrame:
+def even_cells(values: DataFrame, key: str, value: str, parts: int = 32, fine: int = 128) -> DataFrame:
     """``values`` with ``__cell``: cells of each key that keep the order of its values and hold like numbers of them.
 
     Cut at quantiles of a bounded sketch, and between two of them evenly. Only the size of cells depends on the cuts.
     There are few keys: their cuts go to every task."""
     v = F.col(value)
-    cuts = values.groupBy(key).agg(F.percentile_approx(v, [k / parts for k in range(1, parts)], 10_000).alias("__cuts"))
+    cuts = values.groupBy(key).agg(F.percentile_approx(v, [k / parts for k in range(1, parts)], 1_000).alias("__cuts"))
     part = F.size(F.filter("__cuts", lambda c: c < v))
     low, high = F.get("__cuts", part - 1), F.get("__cuts", part)
     share = F.when((low > float("-inf")) & (high < float("inf")) & (low < high), (v - low) / (high - low))

@@ -156,3 +156,14 @@ def test_exact_quantiles(spark, n):
     for p, q in zip(probs, got["e"]):
         low, high = e[int(p * (n - 1))], e[min(int(p * (n - 1)) + 1, n - 1)]
         assert q == low if low == high else low <= q <= high
+
+
+def test_values_of_a_narrow_range_are_spread_over_cells(spark):
+    """A day of microseconds, and values that lie in one spot but for a few."""
+    day = spark.range(20_000).selectExpr("0 AS pos", "cast(1700000000000000 + id * 4320000 as double) AS v")
+    spot = spark.range(20_000).selectExpr("1 AS pos", "CASE WHEN id < 5 THEN pow(10, 3 * id) * IF(id = 4, double('inf'), 1) ELSE 1 + id * 1e-9 END AS v")
+    celled = o.even_cells(day.union(spot), "pos", "v")
+    assert celled.count() == 40_000
+    assert celled.groupBy("pos", "__cell").count().agg(F.max("count")).first()[0] < 2000
+    rows = sorted((r["pos"], r["v"], r["__cell"]) for r in celled.collect())
+    assert all(a[2] <= b[2] for a, b in zip(rows, rows[1:]) if a[0] == b[0])
