@@ -163,7 +163,8 @@ def replayed_frames(
     """
     content = ["type", "point_id", "value"]
     pos = F.struct("at_us", "session", "seq")
-    first = frames.groupBy(*content, "session").agg(F.min(pos).alias("first"))
+    celled = with_cells(frames, ["session"], cell("at_us", chunk_us))
+    first = celled.groupBy(*content, "session").agg(F.min(pos).alias("first"))
     two = Window.partitionBy(*content).orderBy("first")
     early = (
         first.withColumn("__rank", F.row_number().over(two)).where("__rank <= 2")
@@ -173,11 +174,8 @@ def replayed_frames(
         )
         .withColumnsRenamed({c: f"__k_{c}" for c in content})
     )
-    prev = running(
-        frames, ["session"], ["at_us", "seq"], cell("at_us", chunk_us),
-        last={"prev_seq": F.col("seq")},
-    )
-    joined = prev.join(early, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in content])
+    prev = running(celled, ["session"], ["at_us", "seq"], last={"prev_seq": F.col("seq")})
+    joined = prev.drop("__k").join(early, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in content])
     repeated = (F.col("session") != F.col("__owner")) | F.coalesce(
         F.col("__second") < pos, F.lit(False)
     )

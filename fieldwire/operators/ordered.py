@@ -39,12 +39,17 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
 
 
 def with_cells(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
-    """Add ``__k``, the (key, cell) of each row as one non-null struct.
+    """``df`` parted by ``__k``, the (key, cell) of each row as one non-null struct.
 
     Windows, the carry join and further :func:`running` passes all partition by this very
-    column, so a chain of passes shuffles the rows once.
+    column, so a chain of passes reads its source and shuffles the rows once. The rows travel
+    packed: the passes read different columns, and pruning would give each its own shuffle.
+    All columns of ``df`` are shuffled, so drop beforehand what is not needed.
     """
-    return df.withColumn("__k", F.struct(*keys, chunk.alias("__cell")))
+    packed = df.select(
+        F.struct(*keys, chunk.alias("__cell")).alias("__k"), F.array(F.struct(*df.columns)).alias("__rows"))
+    row = F.element_at("__rows", 1)
+    return packed.repartition("__k").select(*[row.getField(c).alias(c) for c in df.columns], "__k")
 
 
 def running(
@@ -269,7 +274,7 @@ def cooldown(
     width = max(chunk_us, 16 * cooldown_us)
     rest = [c for c in df.columns if c not in keys and c != ts]
     ranked = F.struct(*order, *[c for c in rest if c not in order])
-    celled = with_cells(df.where(F.col(ts).isNotNull()), keys, cell(ts, width)).repartition("__k")
+    celled = with_cells(df.where(F.col(ts).isNotNull()), keys, cell(ts, width))
     fields = len(keys) + 1
     of_k = celled.schema["__k"]
 

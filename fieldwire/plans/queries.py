@@ -169,8 +169,9 @@ def flow_features(spark, d):
 
 
 def inter_arrival(spark, d):
-    return flows.inter_arrival(traffic.endpoints(events(spark, d)), DAY).select(
-        "event_id", "flow_iat_us", "dir_iat_us")
+    slim = traffic.endpoints(events(spark, d)).select(
+        "event_id", "pkt_no", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "proto")
+    return flows.inter_arrival(slim, DAY).select("event_id", "flow_iat_us", "dir_iat_us")
 
 
 def verdict_summary(spark, d):

@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 import wire
 from fieldwire.constants import PAYLOAD_FEATURES
-from fieldwire.operators import clean, flows, models
-from fieldwire.plans import captures
+from fieldwire.operators import clean, detect, flows, models
+from fieldwire.plans import captures, sessions, traffic
 from fieldwire.sources.pcap import read_pcap
 
 A, B = ("10.0.0.1", 40000), ("10.0.0.2", 20000)
@@ -59,26 +59,25 @@ def test_score_captures(spark, folder):
     assert scored.where("predicted_label = 'COLD_RESTART'").count() == 1
 
 
-def test_a_chain_of_passes_shuffles_rows_once(spark, folder):
-    """Without broadcast, windows and carry joins of both passes share one exchange."""
-    p = read_pcap(spark, folder)
+def test_a_chain_of_passes_reads_once(spark, tmp_path):
+    """The whole plan, without broadcast: one scan and one exchange of rows, which all passes share."""
+    traffic.packets(traffic.load_events(spark, "/root/testdata/sf0.001")).drop("file").write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p")).withColumn("file", F.lit("x"))
+    frames = p.select(F.col("src_ip").alias("session"), F.col("pkt_no").alias("seq"), F.col("ts_us").alias("at_us"),
+                      F.col("event_type").alias("type"), F.col("user_id").alias("point_id"), "value")
+    chains = {
+        "sessionize": lambda: flows.sessionize(p.drop("payload"), 15 * S), "flow_features": lambda: flows.flow_features(p),
+        "payload_sessions": lambda: sessions.payload_sessions(p), "replayed_frames": lambda: detect.replayed_frames(frames),
+    }
     old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.adaptive.enabled", "false")
-        plan = flows.sessionize(p, 15 * S)._jdf.queryExecution().executedPlan().toString()
+        for name, made in chains.items():
+            plan = made()._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan") == 1, name
+            of_rows = [x for x in plan.splitlines() if "REPARTITION_BY_COL" in x]
+            assert sum("ReusedExchange" not in x for x in of_rows) == 1 < len(of_rows), name
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
-    depth = lambda line: len(line) - len(line.lstrip(" :|+-"))
-    lines = plan.splitlines()
-    # walk down the left spine: the first child of every operator
-    spine, level = [], -1
-    for line in lines:
-        if depth(line) > level:
-            spine.append(line)
-            level = depth(line)
-        else:
-            break
-    assert sum("SortMergeJoin" in x for x in spine) == 2
-    assert sum("Exchange hashpartitioning" in x for x in spine) == 1
