@@ -701,6 +701,12 @@ SQL = {
     "hex_payloads": """SELECT event_id || '-' || event_type AS text, CAST(length(event_id || '-' || event_type) AS BIGINT) AS size
       FROM events WHERE event_id % 10 <> 0""",
     "feature_list": CL + "SELECT row_number() OVER (ORDER BY Label) - 1 AS position, Label AS name FROM (SELECT DISTINCT Label FROM c)",
+    "capture_files": sql("""SELECT ts_us, src_ip, CAST(src_port AS BIGINT) AS src_port, dst_ip, CAST(dst_port AS BIGINT) AS dst_port,
+      CAST(flags AS BIGINT) AS tcp_flags, CAST(win AS BIGINT) AS win, CAST(40 AS BIGINT) AS hdr_len,
+      CAST(pkt_no % 7 AS BIGINT) AS payload_len, repeat('AB', CAST(pkt_no % 7 AS INTEGER)) AS payload FROM pk
+      WHERE NOT (pkt_no % 23 = 0 AND pkt_no % 6 IN (1, 2, 5))"""),
+    "capture_records": sql("""SELECT CAST(CASE pkt_no % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 12 WHEN 4 THEN 101 ELSE 113 END AS BIGINT)
+      AS link, count(*) AS records, CAST(0 AS BIGINT) AS cut_bytes FROM pk GROUP BY 1"""),
     "packet_records": sql("""SELECT pkt_no, src_ip, CAST(src_port AS BIGINT) AS src_port, dst_ip, CAST(dst_port AS BIGINT) AS dst_port,
       CAST(flags AS BIGINT) AS tcp_flags, CAST(win AS BIGINT) AS win, CAST(40 AS BIGINT) AS hdr_len,
       CAST(pkt_no % 7 AS BIGINT) AS payload_len, repeat('AB', CAST(pkt_no % 7 AS INTEGER)) AS payload FROM pk

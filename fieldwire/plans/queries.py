@@ -15,7 +15,7 @@ from ..functions.net import FLOW_KEY, canonical_key, routable, touches_port
 from ..operators import clean, detect, evaluate, flows, joins, models, ordered, select, sets
 from ..operators.knn import knn, knn_classify
 from ..session import checkpoint_folder, cut_lineage
-from ..sources import sinks, tables
+from ..sources import pcap, sinks, tables
 from ..sources.tables import json_number, parse_alert_lines, parse_control_frames
 from . import traffic
 
@@ -993,11 +993,8 @@ def feature_list(spark, d):
     return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "position LONG, name STRING")
 
 
-def packet_records(spark, d):
-    """Capture records of every link type built from events, decoded to packets; other
-    protocols are dropped, link padding is cut off."""
-    from ..sources.pcap import decode_packets
-
+def _capture_records(spark, d):
+    """Capture records of every link type built from events."""
     k = F.col("event_id")
     octet = lambda c: F.concat(*[traffic._hex2(F.split(c, r"\.")[i].cast("int")) for i in range(4)])
     two = lambda v: F.lpad(F.hex(v), 4, "0")
@@ -1012,13 +1009,43 @@ def packet_records(spark, d):
     ip = F.concat(F.lit("4500"), two(40 + size), F.lit("000000004006" + "0000"), octet(F.col("src_ip")), octet(F.col("dst_ip")))
     tcp = F.concat(two(F.col("src_port")), two(F.col("dst_port")), F.lit("00" * 8 + "50"), traffic._hex2(F.col("flags")), two(F.col("window")), F.lit("00000000"))
     data = F.unhex(F.concat(link, ip, tcp, F.repeat(F.lit("AB"), size), F.lit("000000")))
-    raw = e.select(F.lit("built").alias("file"), F.col("event_id").alias("pkt_no"), "ts_us",
-                   F.get(F.array(*map(F.lit, kinds)), kind).alias("link_type"), data.alias("data"))
-    out = decode_packets(cut_lineage(raw)).select("pkt_no", "src_ip", "src_port", "dst_ip", "dst_port", "tcp_flags", "win", "hdr_len",
-                                     "payload_len", F.hex("payload").alias("payload"))
+    return cut_lineage(e.select(
+        F.lit("built").alias("file"), F.col("event_id").alias("pkt_no"), "ts_us",
+        F.get(F.array(*map(F.lit, kinds)), kind).alias("link_type"), data.alias("data")))
+
+
+def packet_records(spark, d):
+    """Capture records of every link type built from events, decoded to packets; other
+    protocols are dropped, link padding is cut off."""
+    out = pcap.decode_packets(_capture_records(spark, d)).select(
+        "pkt_no", "src_ip", "src_port", "dst_ip", "dst_port", "tcp_flags", "win", "hdr_len", "payload_len",
+        F.hex("payload").alias("payload"))
+    return longs(out, "src_port", "dst_port", "tcp_flags", "win", "hdr_len", "payload_len")
+
+
+def _captures(spark, d):
+    """The records in capture files, a set of files per link type."""
+    path, raw = _shared(spark, "captures"), _capture_records(spark, d)
+    for link in (pcap.LINK_NULL, pcap.LINK_ETHERNET, pcap.LINK_RAW_A, pcap.LINK_RAW_B, pcap.LINK_COOKED):
+        rows = raw.where(F.col("link_type") == link)
+        sinks.write_pcap(rows.repartitionByRange("pkt_no").sortWithinPartitions("pkt_no"), path, link, f"link{link}")
+    return path
+
+
+def capture_files(spark, d):
+    """Packets read back from capture files, which are cut into ranges of a megabyte."""
+    out = pcap.read_pcap(spark, _captures(spark, d), split_bytes=1 << 20).select(
+        "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "tcp_flags", "win", "hdr_len", "payload_len",
+        F.hex("payload").alias("payload"))
     return longs(out, "src_port", "dst_port", "tcp_flags", "win", "hdr_len", "payload_len")
 
 
+def capture_records(spark, d):
+    """Records per link type, from the report on the files of a folder."""
+    report = pcap.capture_report(pcap.capture_index(spark, _captures(spark, d), 1 << 20))
+    return longs(report.groupBy("link").agg(F.sum("records").alias("records"), F.sum("cut_bytes").alias("cut_bytes")), "link")
+
+
 # ---- streams --------------------------------------------------------------------
 
 def streamed_table(spark, path):
@@ -1231,6 +1258,7 @@ QUERIES = {f.__name__: f for f in (
     worst_classes, confusion_matrix, threshold_predict, rank_models, compare_models,
     sweep_features, payload_model, scored_flows, model_bundle, bundle_scores, saved_model,
     flow_csv, flow_csv_stream, labelled_tables, labelled_dir, results_table, hex_payloads, feature_list, packet_records,
+    capture_files, capture_records,
 )} | {
     "model_logistic": _fit_predict("logistic"),
     "model_tree": _fit_predict("tree"),

@@ -51,6 +51,50 @@ def test_pcap_odd_files(spark, tmp_path):
     assert {r.Label for r in pcap.read_labelled_pcaps(spark, str(tmp_path), "ONE").collect()} == {"ONE"}
 
 
+def test_ranges_are_one_walk(spark, tmp_path):
+    """Rows do not depend on the ranges: captures inside payloads, records over several ranges, both byte orders."""
+    inner = wire.pcap([(7 + i, wire.tcp(*B, *A, b"q" * 30)) for i in range(12)])
+    many = [(i, wire.tcp(*A, *B, bytes([i % 256]) * (i % 50))) for i in range(200)]
+    nested = [(i, wire.tcp(*A, *B, inner if i % 2 else b"")) for i in range(20)]
+    long = [(1, wire.tcp(*A, *B, b"\0" * 9000)), *many[:5], (2, wire.tcp(*A, *B, inner[24:]))]
+    want, lengths = {}, {}
+    for name, rows, order in (("many", many, "<"), ("nested", nested, ">"), ("in it", long, "<"), ("none", [], "<")):
+        data = wire.pcap(rows, order=order)
+        write(tmp_path / f"{name}.pcap", data + (b"\1" * 21 if name == "many" else b""))
+        want[name], lengths[name] = rows, len(data)
+    write(tmp_path / "other.pcap", b"\x0a\x0d\x0d\x0a" * 300)
+    for size in (700, 1 << 20):
+        index = pcap.capture_index(spark, str(tmp_path), size)
+        got = {}
+        for r in pcap.read_records(index).orderBy("file", "pkt_no").collect():
+            got.setdefault(r.file.rpartition("/")[2][:-5], []).append((r.pkt_no, r.ts_us, bytes(r.data)))
+        assert got == {n: [(i, *r) for i, r in enumerate(rows)] for n, rows in want.items() if rows}
+        report = {r.file.rpartition("/")[2][:-5]: (r.is_capture, r.records, r.cut_bytes) for r in pcap.capture_report(index).collect()}
+        assert report == {"many": (True, 200, 21), "nested": (True, 20, 0), "in it": (True, 7, 0), "none": (True, 0, 0),
+                          "other": (False, 0, 0)}
+    starts = [r for r in pcap.capture_index(spark, str(tmp_path / "many.pcap"), 700).collect() if r.no]
+    assert len(starts) > 20 and all(r.n for r in starts[:-1])
+
+
+def test_guesses_hold(tmp_path):
+    """Plain captures are not walked anew: the guess is the start."""
+    data = wire.pcap([(i, wire.tcp(*A, *B, bytes([i % 256]) * (i % 50))) for i in range(300)])
+    path = write(tmp_path / "x.pcap", data)
+    with pcap.open_file(path) as f:
+        ends = [24, *(end for end, _, _ in pcap.records(f, "<", 24, len(data), len(data)))]
+        for start in range(100, len(data) - 100, 997):
+            assert pcap.likely_start(f, "<", 65535, start, len(data), len(data)) == next(e for e in ends if e >= start)
+
+
+def test_written_captures(spark, tmp_path):
+    rows = [(1_700_000_000_000_000 + i, wire.tcp(*A, *B, b"z" * i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "ts_us LONG, data BINARY").repartition(3, "ts_us")
+    sinks.write_pcap(df, str(tmp_path / "out"), 1)
+    back = pcap.read_records(pcap.capture_index(spark, str(tmp_path / "out"), 512)).collect()
+    assert sorted((r.ts_us, bytes(r.data)) for r in back) == rows
+    assert {r.file.rpartition("/")[2][:5] for r in back} == {"part-"}
+
+
 def test_flow_csv_and_labelled_dir(spark, tmp_path):
     write(tmp_path / "c" / "NORMAL.csv", "src_ip,src_port,flow_duration\n1.1.1.1,5,2.5\n1.1.1.2,6,bad\n")
     write(tmp_path / "c" / "COLD_RESTART.csv", "src_ip,src_port,idle_max\n1.1.1.3,7,9\n")
