@@ -1,9 +1,10 @@
 """Keyed state of the live detectors.
 
-Rows of a key wait, packed as Arrow batches, until the watermark has passed their time, and are then taken in
-the order of their times by array operations. What a detector carries from there on is a bounded value: a last
-firing, the stamps of one window, the counters of one flow, or the alerts of one time-to-live. A row that comes
-when the watermark has already passed its time is handed on as it is, marked ``late``, and changes nothing.
+Keys are dealt to buckets by hash, and a bucket is one group of Spark's, so that calls and state accesses are paid
+per bucket, not per key. Rows wait, packed as Arrow batches, until the watermark has passed their time, and are then
+taken key by key in the order of their times by array operations. What a detector carries from there on is a bounded
+value a key: a last firing, the stamps of one window, the counters of one flow, or the alerts of one time-to-live. A
+row that comes when the watermark has already passed its time is handed on as it is, marked ``late``, and changes nothing.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..constants import ATTACK_CLASSES, FC_FEATURES, LINK_STATUS_CTRL
 
 
+#: Column of the bucket that a key is dealt to.
+BUCKET = "__bucket"
+
+
 def packed(rows: pd.DataFrame) -> bytes:
     table = pa.Table.from_pandas(rows, preserve_index=False)
     sink = pa.BufferOutputStream()
@@ -36,28 +41,27 @@ def due_ms(ts_us: int) -> int:
 
 
 class Ordered(StatefulProcessor):
-    """Takes a key's rows in order; ``step`` says what comes of them.
+    """Takes the rows of a bucket's keys in order; ``step`` says what comes of them.
 
-    ``columns`` are those of the results, of which a late row fills what it has. ``carry`` is the type of the value
-    that ``step`` carries on."""
+    ``columns`` are those of the results, of which a late row fills what it has."""
 
-    carry = ""
+    def __init__(self, keys: list[str], columns: list[str], order: list[str]):
+        self.keys, self.columns, self.order = keys, columns, order
 
-    def __init__(self, columns: list[str], order: list[str]):
-        self.columns, self.order = columns, order
+    def step(self, rows: pd.DataFrame | None, held: pd.DataFrame | None, now_us: int) -> tuple[pd.DataFrame | None, pd.DataFrame | None, int | None]:
+        """From the next ``rows`` (maybe none), the table held and the watermark: results, the table to hold, and the
+        watermark at which to be asked again without new rows.
 
-    def step(self, key, rows: pd.DataFrame, held: tuple | None, now_us: int) -> tuple[pd.DataFrame | None, tuple | None, int | None]:
-        """From the next ``rows`` in order (maybe none), the value held and the watermark: results, the value to hold,
-        and the watermark at which to be asked again without new rows."""
+        Both tables have the key columns and ``__k``, a number for each key; rows lie in order by ``__k`` and the order."""
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "rows BINARY")
-        self.value = handle.getValueState("value", self.carry)
+        self.value = handle.getValueState("value", "held BINARY")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
+        batch = pd.concat(list(rows)).drop(columns=BUCKET, errors="ignore")
         late = batch["ts_us"].to_numpy() < timerValues.getCurrentWatermarkInMs() * 1000
         fresh = batch[~late]
         if len(fresh):
@@ -69,19 +73,26 @@ class Ordered(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now_us = timerValues.getCurrentWatermarkInMs() * 1000
         parts = [unpacked(x[0]) for x in self.waiting.get()] if self.waiting.exists() else []
-        rows = pd.concat(parts) if parts else None
-        held = self.value.get() if self.value.exists() else None
+        rows = pd.concat(parts, ignore_index=True) if parts else None
+        held = unpacked(self.value.get()[0]) if self.value.exists() else None
         if rows is not None:
             ready = rows["ts_us"].to_numpy() < now_us
-            rest, rows = rows[~ready], rows[ready].sort_values(self.order, kind="stable")
-            if len(rest):
-                self.waiting.put([(packed(rest),)])
-                self.handle.registerTimer(due_ms(rest["ts_us"].min()))
-            else:
+            rest, rows = rows[~ready], rows[ready]
+            if not len(rest):
                 self.waiting.clear()
-        out, held, ask = self.step(key, rows, held, now_us)
-        if held is not None:
-            self.value.update(held)
+            else:
+                if len(rows):
+                    self.waiting.put([(packed(rest),)])
+                self.handle.registerTimer(due_ms(rest["ts_us"].min()))
+            rows = rows if len(rows) else None
+        if rows is None and held is None:
+            return
+        self._number(rows, held)
+        if rows is not None:
+            rows = rows.sort_values(["__k", *self.order], kind="stable", ignore_index=True)
+        out, held, ask = self.step(rows, held, now_us)
+        if held is not None and len(held):
+            self.value.update((packed(held.drop(columns="__k")),))
         elif self.value.exists():
             self.value.clear()
         if ask is not None:
@@ -89,6 +100,13 @@ class Ordered(StatefulProcessor):
         if out is not None and len(out):
             yield self._shaped(out, False)
 
+    def _number(self, *tables: pd.DataFrame | None) -> None:
+        """Adds ``__k``; null keys are keys."""
+        there = [t for t in tables if t is not None]
+        number = pd.concat([t[self.keys] for t in there], ignore_index=True).groupby(self.keys, dropna=False, sort=False).ngroup().to_numpy()
+        for t in there:
+            t["__k"], number = number[:len(t)], number[len(t):]
+
     def _shaped(self, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
         void = {c: None for c in self.columns if c not in rows.columns}
         return rows.assign(**void)[self.columns].assign(late=late)
@@ -97,185 +115,250 @@ class Ordered(StatefulProcessor):
         pass
 
 
-def _stamps(rows: pd.DataFrame | None) -> np.ndarray:
-    return np.zeros(0, np.int64) if rows is None else rows["ts_us"].to_numpy(np.int64)
+def _stamps(rows: pd.DataFrame) -> np.ndarray:
+    return rows["ts_us"].to_numpy(np.int64)
+
+
+def _firings(number: np.ndarray, stamps: np.ndarray, gap_us: int, last: dict[int, int]) -> list[int]:
+    """Rows that pass, each at least ``gap_us`` after the last that passed of its key; ``last`` is kept up to date."""
+    keep = []
+    cuts = np.flatnonzero(np.diff(number, prepend=-1, append=-1)).tolist() if len(number) else []
+    for s, e in zip(cuts, cuts[1:]):
+        k, mine, at = int(number[s]), stamps[s:e], 0
+        before = last.get(k)
+        while True:
+            if before is not None:
+                at = max(at, int(mine.searchsorted(before + gap_us)))
+            if at >= e - s:
+                break
+            keep.append(s + at)
+            before = int(mine[at])
+            at += 1
+        last[k] = before
+    return keep
+
+
+def _keys_of(keys: list[str], *tables: pd.DataFrame | None) -> pd.DataFrame:
+    """One row a key, by its number."""
+    return pd.concat([t[["__k", *keys]] for t in tables if t is not None], ignore_index=True).drop_duplicates("__k").set_index("__k")
+
+
+def _held(named: pd.DataFrame, numbers: list[int], **columns) -> pd.DataFrame:
+    return named.loc[numbers].reset_index().assign(**columns)
 
 
 class Cooldown(Ordered):
     """Passes a row when the key's last passed row is at least ``cooldown_us`` old."""
 
-    carry = "last LONG"
-
-    def __init__(self, columns: list[str], order: list[str], cooldown_us: int):
-        super().__init__(columns, order)
+    def __init__(self, keys: list[str], columns: list[str], order: list[str], cooldown_us: int):
+        super().__init__(keys, columns, order)
         self.cooldown_us = cooldown_us
 
-    def step(self, key, rows, held, now_us):
-        last = held[0] if held else None
-        stamps, keep, at = _stamps(rows), [], 0
-        while at < len(stamps):
-            if last is not None:
-                at = max(at, int(np.searchsorted(stamps, last + self.cooldown_us)))
-                if at >= len(stamps):
-                    break
-            keep.append(at)
-            last = int(stamps[at])
-            at += 1
-        out = rows.iloc[keep] if keep else None
-        if last is None or last + self.cooldown_us <= now_us:
+    def step(self, rows, held, now_us):
+        last = dict(zip(held["__k"].tolist(), held["last"].tolist())) if held is not None else {}
+        out = None if rows is None else rows.iloc[_firings(rows["__k"].to_numpy(), _stamps(rows), self.cooldown_us, last)]
+        last = {k: t for k, t in last.items() if t + self.cooldown_us > now_us}
+        if not last:
             return out, None, None
-        return out, (last,), due_ms(last + self.cooldown_us)
+        keep = _held(_keys_of(self.keys, rows, held), list(last), last=list(last.values()))
+        return out, keep, due_ms(max(last.values()) + self.cooldown_us)
 
 
 class ScanBurst(Ordered):
     """Passes a row when its key saw ``threshold`` rows in the window, then rests a window."""
 
-    carry = "stamps ARRAY<LONG>, last LONG"
-
-    def __init__(self, columns: list[str], order: list[str], threshold: int, window_us: int):
-        super().__init__(columns, order)
+    def __init__(self, keys: list[str], columns: list[str], order: list[str], threshold: int, window_us: int):
+        super().__init__(keys, columns, order)
         self.threshold, self.window_us = threshold, window_us
 
-    def step(self, key, rows, held, now_us):
-        old, last = held or ([], None)
-        stamps = _stamps(rows)
-        merged = np.concatenate((np.asarray(old, np.int64), stamps))
-        # rows of the window up to and including each row
-        upto = len(old) + np.arange(1, len(stamps) + 1)
-        dense = np.flatnonzero(upto - np.searchsorted(merged, stamps - self.window_us) >= self.threshold)
-        keep, at = [], 0
-        while at < len(dense):
-            if last is not None:
-                at = max(at, int(np.searchsorted(stamps[dense], last + self.window_us)))
-                if at >= len(dense):
-                    break
-            keep.append(int(dense[at]))
-            last = int(stamps[dense[at]])
-            at += 1
-        out = rows.iloc[keep] if keep else None
-        if last is not None and last + self.window_us <= now_us:
-            last = None
-        recent = merged[merged >= now_us - self.window_us]
-        newest = max([*recent[-1:].tolist(), *([] if last is None else [last])], default=None)
-        if newest is None:
+    def step(self, rows, held, now_us):
+        # held: one row a stamp of the window and one, with ``fired``, a last firing
+        last, parts = {}, []
+        if held is not None:
+            fired = held["fired"].to_numpy(bool)
+            last = dict(zip(held["__k"][fired].tolist(), held["ts_us"][fired].tolist()))
+            parts.append(held.loc[~fired, ["__k", "ts_us"]].assign(__at=-1))
+        if rows is not None:
+            parts.append(rows[["__k", "ts_us"]].assign(__at=np.arange(len(rows))))
+        merged = pd.concat(parts, ignore_index=True).sort_values(["__k", "ts_us", "__at"], kind="stable")
+        number, stamps, at = merged["__k"].to_numpy(), _stamps(merged), merged["__at"].to_numpy()
+        # keys and times as one number in order, times by rank
+        times = np.unique(stamps)
+        upto = np.arange(1, len(stamps) + 1)
+        place = number * (len(times) + 1) + np.searchsorted(times, stamps)
+        opened = np.searchsorted(place, number * (len(times) + 1) + np.searchsorted(times, stamps - self.window_us))
+        out = None
+        if rows is not None:
+            dense = np.sort(at[(at >= 0) & (upto - opened >= self.threshold)])
+            kept = _firings(rows["__k"].to_numpy()[dense], _stamps(rows)[dense], self.window_us, last)
+            out = rows.iloc[dense[kept]]
+        last = {k: t for k, t in last.items() if t + self.window_us > now_us}
+        recent = stamps >= now_us - self.window_us
+        numbers = [*number[recent].tolist(), *last]
+        if not numbers:
             return out, None, None
-        return out, (recent.tolist(), last), due_ms(newest + self.window_us)
+        at_us = [*stamps[recent].tolist(), *last.values()]
+        keep = _held(_keys_of(self.keys, rows, held), numbers, ts_us=at_us, fired=[False] * int(recent.sum()) + [True] * len(last))
+        return out, keep, due_ms(max(at_us) + self.window_us)
 
 
 class FlowSession(Ordered):
     """Counts the frames of a flow and emits the features when the flow is idle or ends."""
 
-    carry = ("start LONG, seen LONG, total LONG, fwd LONG, attack LONG, link LONG, users LONG, user_sum LONG, user_max LONG, user_min LONG, "
-             "codes ARRAY<LONG>, times ARRAY<LONG>, firsts ARRAY<LONG>")
+    SUMS = ["total", "fwd", "attack", "link", "users", "user_sum"]
 
     def __init__(self, keys: list[str], features: list[str], idle_us: int):
-        super().__init__([*keys, "start_us", "end_us", *features], ["ts_us", "pkt_no", "frame_no"])
-        self.keys, self.features, self.idle_us = keys, features, idle_us
-
-    def step(self, key, rows, held, now_us):
-        flow, done = held, []
-        if rows is not None and len(rows):
-            ends = rows["ends"].to_numpy(bool)
-            before = np.cumsum(ends) - ends  # endings ahead of each row
-            framed = rows["ctrl"].notna().to_numpy()
-            at = np.flatnonzero(framed)
-            f, stamps, ended = rows.iloc[at], _stamps(rows)[at], before[at]
-            if len(at):
-                new = np.ones(len(at), bool)
-                new[1:] = (np.diff(stamps) > self.idle_us) | (np.diff(ended) > 0)
-                new[0] = flow is None or ended[0] > 0 or stamps[0] - flow[1] > self.idle_us
-                if new[0] and flow is not None:
-                    done.append(flow)
-                starts = np.flatnonzero(new) if new[0] else np.concatenate(([0], np.flatnonzero(new)))
-                for k, s in enumerate(starts):
-                    e = starts[k + 1] if k + 1 < len(starts) else len(at)
-                    flow = self._counted(f.iloc[s:e], None if new[s] else flow)
-                    if k + 1 < len(starts):
-                        done.append(flow)
-                if ends[at[-1]:].any():  # its last frame, or a row after it, ends the flow
-                    done.append(flow)
-                    flow = None
-            elif ends.any() and flow is not None:
-                done.append(flow)
-                flow = None
-        if flow is not None and flow[1] + self.idle_us < now_us:
-            done.append(flow)
-            flow = None
-        out = pd.DataFrame([self._row(key, x) for x in done]) if done else None
-        return out, flow, None if flow is None else due_ms(flow[1] + self.idle_us)
+        super().__init__(keys, [*keys, "start_us", "end_us", *features], ["ts_us", "pkt_no", "frame_no"])
+        self.features, self.idle_us = features, idle_us
+
+    def step(self, rows, held, now_us):
+        flows, codes = self._opened(held), self._codes(held)
+        if rows is not None:
+            flows, codes = self._counted(rows, flows, codes)
+        done = flows["done"].to_numpy(bool) | (flows["seen"].to_numpy(np.int64) + self.idle_us < now_us)
+        named = _keys_of(self.keys, rows, held)
+        out = self._rows(named, flows[done], codes) if done.any() else None
+        flows = flows[~done].drop(columns="done")
+        if not len(flows):
+            return out, None, None
+        per = codes[codes["rec"].isin(flows.index)].groupby("rec").agg(list)
+        per = per.reindex(flows.index)
+        lists = {c: [x if isinstance(x, list) else [] for x in per[c]] for c in ("fc", "n", "first")}
+        keep = named.loc[flows["__k"]].reset_index().assign(**{c: flows[c].to_numpy() for c in flows.columns if c != "__k"}, **lists)
+        return out, keep, due_ms(int(flows["seen"].min()) + self.idle_us)
+
+    def _opened(self, held: pd.DataFrame | None) -> pd.DataFrame:
+        names = ["__k", "start", "seen", *self.SUMS, "user_max", "user_min"]
+        flows = pd.DataFrame({c: np.zeros(0, np.int64) for c in names}) if held is None else held[names].reset_index(drop=True)
+        return flows.assign(done=False)
 
     @staticmethod
-    def _counted(f: pd.DataFrame, held: tuple | None) -> tuple:
-        """Counters of the frames, on top of those held."""
-        stamps = f["ts_us"].to_numpy(np.int64)
-        start, _, total, fwd, attack, link, users, user_sum, user_max, user_min, codes, times, firsts = held or (int(stamps[0]), 0, 0, 0, 0, 0, 0, 0, 0, 0, [], [], [])
-        seen = {c: (n, p) for c, n, p in zip(codes, times, firsts)}
-        fc = f["fc"].to_numpy(float)
-        known = np.flatnonzero(~np.isnan(fc))
-        code, first, n = np.unique(fc[known].astype(np.int64), return_index=True, return_counts=True)
-        for c, p, m in zip(code.tolist(), known[first].tolist(), n.tolist()):
-            before = seen.get(c)
-            seen[c] = (before[0] + m, before[1]) if before else (m, total + p + 1)
-        size = np.nan_to_num(f["user_data_len"].to_numpy(float)).astype(np.int64)
-        size = size[size > 0]
-        if len(size):
-            user_min = min(user_min, int(size.min())) if users else int(size.min())
-            user_max = max(user_max, int(size.max()))
-        return (start, int(stamps[-1]), total + len(f), fwd + int(f["is_fwd"].sum()), attack + int(np.isin(fc[known].astype(np.int64), list(ATTACK_CLASSES)).sum()),
-                link + int((f["ctrl"].to_numpy() == LINK_STATUS_CTRL).sum()), users + len(size), user_sum + int(size.sum()), user_max, user_min,
-                list(seen), [x[0] for x in seen.values()], [x[1] for x in seen.values()])
-
-    def _row(self, key, flow: tuple) -> dict:
-        start, seen, total, fwd, attack, link, users, user_sum, user_max, user_min, codes, times, firsts = flow
-        count = dict(zip(codes, times))
+    def _codes(held: pd.DataFrame | None) -> pd.DataFrame:
+        """(rec, fc, n, first): how often each code came in a flow and as which of its frames first."""
+        if held is None:
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("rec", "fc", "n", "first")})
+        rec = np.repeat(np.arange(len(held)), [len(x) for x in held["fc"]])
+        return pd.DataFrame({"rec": rec, **{c: np.concatenate([np.asarray(x, np.int64) for x in held[c]]) for c in ("fc", "n", "first")}})
+
+    def _counted(self, rows: pd.DataFrame, flows: pd.DataFrame, codes: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """Flows held and those of the rows, the codes of all; a flow that goes on has its counters added up."""
+        number, ends = rows["__k"].to_numpy(np.int64), rows["ends"].to_numpy(bool)
+        upto = np.cumsum(ends)
+        before = upto - ends  # endings ahead of each row
+        size = int(max(number.max(), flows["__k"].max() if len(flows) else 0)) + 1
+        opened, closed = np.zeros(size, np.int64), np.zeros(size, np.int64)  # endings before and after a key's rows
+        head = np.flatnonzero(np.diff(number, prepend=-1))
+        opened[number[head]], closed[number[head]] = before[head], upto[np.append(head[1:], len(number)) - 1]
+        held_at = np.full(size, -1)
+        held_at[flows["__k"].to_numpy()] = np.arange(len(flows))
+        ended = np.zeros(size, bool)
+        ended[number[head]] = closed[number[head]] > opened[number[head]]
+        done = ended[flows["__k"].to_numpy()] if len(flows) else np.zeros(0, bool)  # unless it goes on
+        at = np.flatnonzero(rows["ctrl"].notna().to_numpy())
+        if not len(at):
+            return flows.assign(done=done), codes
+        f, k, stamps, ahead = rows.iloc[at], number[at], _stamps(rows)[at], before[at]
+        first = np.diff(k, prepend=-1) != 0
+        new = first | (np.diff(stamps, prepend=0) > self.idle_us) | (np.diff(ahead, prepend=0) > 0)
+        starts = np.flatnonzero(new)
+        mine = k[starts]
+        old = np.where(first[starts], held_at[mine], -1)
+        seen = flows["seen"].to_numpy(np.int64)
+        goes_on = old >= 0
+        goes_on[goes_on] = (ahead[starts] == opened[mine])[goes_on] & (stamps[starts][goes_on] - seen[old[goes_on]] <= self.idle_us)
+        done[old[(old >= 0) & ~goes_on]] = True
+        stops = np.append(starts[1:], len(at))
+        is_last = np.append(mine[1:] != mine[:-1], True)
+        fc, udata = f["fc"].to_numpy(float), np.nan_to_num(f["user_data_len"].to_numpy(float)).astype(np.int64)
+        known = ~np.isnan(fc)
+        code = np.where(known, fc, -1).astype(np.int64)
+        add = lambda x: np.add.reduceat(x.astype(np.int64), starts)
+        made = pd.DataFrame({
+            "__k": mine, "start": stamps[starts], "seen": stamps[stops - 1], "total": stops - starts, "fwd": add(f["is_fwd"].to_numpy(bool)),
+            "attack": add(np.isin(code, list(ATTACK_CLASSES))), "link": add(f["ctrl"].to_numpy() == LINK_STATUS_CTRL),
+            "users": add(udata > 0), "user_sum": add(np.maximum(udata, 0)), "user_max": np.maximum.reduceat(np.maximum(udata, 0), starts),
+            "user_min": np.minimum.reduceat(np.where(udata > 0, udata, _NO_MIN), starts),
+            "done": ~is_last | (closed[mine] > before[at[stops - 1]])})
+        rec = np.repeat(np.arange(len(starts)), stops - starts)
+        nth = np.arange(len(at)) - starts[rec] + 1
+        # a held flow that goes on is the start of the made one
+        on, was = np.flatnonzero(goes_on), old[goes_on]
+        for c in self.SUMS:
+            made[c] = made[c].to_numpy() + _spread(flows[c].to_numpy(np.int64), was, on, len(made))
+        nth = nth + _spread(flows["total"].to_numpy(np.int64), was, on, len(made))[rec]
+        user_min = flows["user_min"].to_numpy(np.int64)
+        made["user_max"] = np.maximum(made["user_max"], _spread(flows["user_max"].to_numpy(np.int64), was, on, len(made)))
+        least = _spread(np.where(user_min > 0, user_min, _NO_MIN), was, on, len(made), _NO_MIN)
+        made["user_min"] = np.minimum(made["user_min"], least)
+        made["user_min"] = made["user_min"].where(made["users"] > 0, 0)
+        made.loc[on, "start"] = flows["start"].to_numpy()[was]
+        place = np.arange(len(flows)) + len(made)  # records held come after those made
+        place[was] = on
+        found = pd.DataFrame({"rec": rec[known], "fc": code[known], "n": 1, "first": nth[known]})
+        codes = pd.concat([codes.assign(rec=place[codes["rec"].to_numpy(np.int64)]), found]).groupby(["rec", "fc"], as_index=False).agg(n=("n", "sum"), first=("first", "min"))
+        flows = flows.assign(done=done).set_axis(place)
+        return pd.concat([made, flows.drop(index=on)]), codes
+
+    def _rows(self, named: pd.DataFrame, flows: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
+        codes = codes[codes["rec"].isin(flows.index)]
+        per = codes.groupby("rec").size().reindex(flows.index, fill_value=0)
+        top = codes.sort_values(["rec", "n", "first"], ascending=[True, False, True]).drop_duplicates("rec").set_index("rec")["fc"]
+        total, users = flows["total"], flows["users"]
         values = {
-            "total_frames": total, "fwd_frames": fwd, "bwd_frames": total - fwd, "response_ratio": (total - fwd) / total,
-            "attack_fc_count": attack, "attack_fc_ratio": attack / total, "link_status_count": link, "link_status_ratio": link / total,
-            "unique_fcs": len(codes), "most_common_req_fc": max(zip(times, [-x for x in firsts], codes), default=(0, 0, -1))[2],
-            **{name: count.get(c, 0) for name, c in FC_FEATURES.items()},
-            "mean_udata_len": user_sum / users if users else 0.0, "max_udata_len": user_max, "min_udata_len": user_min,
+            "total_frames": total, "fwd_frames": flows["fwd"], "bwd_frames": total - flows["fwd"], "response_ratio": (total - flows["fwd"]) / total,
+            "attack_fc_count": flows["attack"], "attack_fc_ratio": flows["attack"] / total, "link_status_count": flows["link"],
+            "link_status_ratio": flows["link"] / total, "unique_fcs": per, "most_common_req_fc": top.reindex(flows.index, fill_value=-1),
+            **{name: codes[codes["fc"] == c].set_index("rec")["n"].reindex(flows.index, fill_value=0) for name, c in FC_FEATURES.items()},
+            "mean_udata_len": (flows["user_sum"] / users.where(users > 0, 1)), "max_udata_len": flows["user_max"], "min_udata_len": flows["user_min"],
         }
-        return {**dict(zip(self.keys, key)), "start_us": start, "end_us": seen, **{c: values[c] for c in self.features}}
+        out = named.loc[flows["__k"]].reset_index(drop=True)
+        return out.assign(start_us=flows["start"].to_numpy(), end_us=flows["seen"].to_numpy(), **{c: values[c].to_numpy() for c in self.features})
+
+
+_NO_MIN = np.iinfo(np.int64).max
+
+
+def _spread(values: np.ndarray, take: np.ndarray, at: np.ndarray, n: int, void: int = 0) -> np.ndarray:
+    """``values[take]`` at the places ``at`` of ``n``, ``void`` elsewhere."""
+    out = np.full(n, void, np.int64)
+    out[at] = values[take]
+    return out
 
 
 class Suppress(Ordered):
     """Looks for the latest alert that covers a verdict: on its own 4-tuple, else on the reversed one."""
 
-    carry = "alerts BINARY"
-
     def __init__(self, keys: list[str], ttl_us: int):
-        super().__init__([*keys, "body", "sig_id", "sig_name", "covered"], ["ts_us"])
-        self.keys, self.ttl_us = keys, ttl_us
+        super().__init__(keys, [*keys, "body", "sig_id", "sig_name", "covered"], ["ts_us"])
+        self.ttl_us = ttl_us
 
-    def step(self, key, rows, held, now_us):
-        alerts = [unpacked(held[0])] if held else []
-        out = None
-        if rows is not None and len(rows):
+    def step(self, rows, held, now_us):
+        known, out = held, None
+        if rows is not None:
             is_alert = rows["is_alert"].to_numpy(bool)
-            alerts.append(rows.loc[is_alert, ["ts_us", "is_ab", "sig_id", "sig_name"]])
+            known = pd.concat([*([] if held is None else [held]), rows.loc[is_alert, ["__k", *self.keys, "ts_us", "is_ab", "sig_id", "sig_name"]]], ignore_index=True)
             out = rows[~is_alert]
-        known = pd.concat(alerts).sort_values(["ts_us", "sig_id", "sig_name"], kind="stable") if alerts else None
+        known = known.sort_values(["__k", "is_ab", "ts_us", "sig_id", "sig_name"], kind="stable", ignore_index=True)
         if out is not None and len(out):
-            out = self._covered(key, out, known)
-        recent = known[known["ts_us"] >= now_us - self.ttl_us] if known is not None else ()
+            out = self._covered(out, known)
+        recent = known[known["ts_us"] >= now_us - self.ttl_us]
         if not len(recent):
             return out, None, None
-        return out, (packed(recent),), due_ms(recent["ts_us"].max() + self.ttl_us)
-
-    def _covered(self, key, verdicts: pd.DataFrame, alerts: pd.DataFrame) -> pd.DataFrame:
-        stamps, own = _stamps(verdicts), verdicts["is_ab"].to_numpy(bool)
-        hit = np.full(len(verdicts), -1)
-        place, side, at = np.arange(len(alerts)), alerts["is_ab"].to_numpy(bool), _stamps(alerts)
-        for same in (True, False):
-            for ab in (True, False):
-                open_ = np.flatnonzero((hit < 0) & ((own == ab) == same))
-                mine = place[side == ab]
-                if len(open_) and len(mine):
-                    last = np.searchsorted(at[mine], stamps[open_], "right") - 1
-                    found = mine[np.maximum(last, 0)]
-                    good = (last >= 0) & (at[found] >= stamps[open_] - self.ttl_us)
-                    hit[open_[good]] = found[good]
+        return out, recent, due_ms(recent["ts_us"].max() + self.ttl_us)
+
+    def _covered(self, verdicts: pd.DataFrame, alerts: pd.DataFrame) -> pd.DataFrame:
+        stamps, hit = _stamps(verdicts), np.full(len(verdicts), -1)
+        if len(alerts):
+            at, times = _stamps(alerts), np.unique(_stamps(alerts))
+            side = alerts["__k"].to_numpy(np.int64) * 2 + alerts["is_ab"].to_numpy(bool)
+            place = side * (len(times) + 1) + np.searchsorted(times, at)
+            for other in (False, True):
+                want = verdicts["__k"].to_numpy(np.int64) * 2 + (verdicts["is_ab"].to_numpy(bool) ^ other)
+                last = np.searchsorted(place, want * (len(times) + 1) + np.searchsorted(times, stamps, "right")) - 1
+                found = np.maximum(last, 0)
+                good = (hit < 0) & (last >= 0) & (side[found] == want) & (at[found] >= stamps - self.ttl_us)
+                hit[good] = found[good]
         ids = alerts["sig_id"].astype("Int64").take(np.maximum(hit, 0)) if len(alerts) else pd.Series([pd.NA] * len(hit), dtype="Int64")
         names = alerts["sig_name"].take(np.maximum(hit, 0)) if len(alerts) else pd.Series([None] * len(hit), dtype=object)
         miss = hit < 0
-        return verdicts[["body"]].assign(**dict(zip(self.keys, key)), sig_id=ids.mask(miss).array, sig_name=names.mask(miss, None).array, covered=~miss)
+        return verdicts[[*self.keys, "body"]].assign(sig_id=ids.mask(miss).array, sig_name=names.mask(miss, None).array, covered=~miss)

@@ -158,3 +158,14 @@ def test_scoring_stream_equals_batch(spark, tmp_path):
     kind = clean.verdict_kind(F.col("predicted_label"), F.lit(False))
     live.write_verdicts(out.select(kind.alias("k")), str(tmp_path / "ko"), str(tmp_path / "ks")).awaitTermination()
     assert [r[0] for r in spark.read.parquet(str(tmp_path / "ko")).orderBy("k").collect()] == ["ALERT-AI", "ok"]
+
+
+def test_keys_that_share_a_bucket_do_not_mix(feed, tmp_path, monkeypatch):
+    """All keys in one group, over several batches: flows go on, windows and silences are each key's own."""
+    monkeypatch.setattr(live, "BUCKETS", 1)
+    df, stream = feed
+    got, late = run(lambda end: live.live_flow_features(end(stream), 5 * S, delay="5 seconds"), tmp_path)
+    assert rows(got, *RECORD) == rows(payload_sessions(df, 5 * S), *RECORD) and not late.count()
+    cols = ["src_ip", "ts_us", "pkt_no", "frame_no"]
+    got, late = run(lambda end: live.live_command_injection(end(stream)), tmp_path)
+    assert rows(got, *cols, "fc") == rows(detect.command_injection_alerts(flows.frames_of(df, 20000)), *cols, "fc")
