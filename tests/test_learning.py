@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldwire.operators import evaluate, joins, knn, select
+from fieldwire.operators import evaluate, joins, knn, models, select
 from fieldwire.operators.models import sweep_features
 
 
@@ -136,3 +136,46 @@ def test_selection_statistics_of_the_whole(spark):
     train, test = rows.where("id < 100"), rows.where("id >= 100")
     kept = lambda **opt: sweep_features(train, test, ["a", "late"], modes=["variance"], kind="tree", **opt).first()["features"]
     assert kept() == 1 and kept(whole=rows) == 2
+
+
+def three_classes(spark, parts=1):
+    return spark.range(0, 900, 1, parts).selectExpr(
+        "array('A', 'B', 'C')[id % 3] AS Label", "cast(id % 3 + (id * 7919 % 997) / 600 as double) AS a",
+        "cast(id * 31 % 101 as double) AS b", "cast(id % 2 * 5 + id % 7 as double) AS c")
+
+
+@pytest.mark.parametrize("kind,opt", [("forest", {"trees": 12, "depth": 9}), ("boost", {"trees": 5, "depth": 4}),
+                                      ("mlp", {"hidden": (7, 5), "max_iter": 20}), ("svm", {"rff": 16, "max_iter": 10})])
+def test_array_scores_are_those_of_sparks_models(spark, monkeypatch, kind, opt):
+    df = three_classes(spark)
+    df = df if kind in ("forest", "mlp") else df.withColumn("Label", F.when(df.Label == "B", "ATTACK").otherwise("NORMAL"))
+    model = models.fit_model(df, ["a", "b", "c"], kind=kind, **opt)
+    both = []
+    for way in (models.scorer, lambda *_: None):
+        monkeypatch.setattr(models, "scorer", way)
+        out = model.predict(df, keep_code=True)
+        assert ("ArrowEvalPython" in out._jdf.queryExecution().toString()) == (not both or kind == "svm")
+        both.append((out.columns, out.orderBy("a", "b", "c").collect()))
+    assert both[0][0] == both[1][0]
+    for x, y in zip(both[0][1], both[1][1]):
+        assert (x.predicted_label, x.code) == (y.predicted_label, y.code)
+        assert x.conf == y.conf is None or x.conf == pytest.approx(y.conf, abs=1e-9)
+        if kind != "svm":
+            assert list(x.probabilities) == pytest.approx(list(y.probabilities), abs=1e-9)
+
+
+def test_tasks_of_a_fit_follow_its_rows(spark, monkeypatch):
+    """A large table leaves few rows in many partitions, and a fit has hundreds of passes."""
+    seen, plain = [], models.classifier
+
+    def classifier(*args, **opt):
+        est = plain(*args, **opt)
+        fit = est.fit
+        monkeypatch.setattr(est, "fit", lambda df: (seen.append(df.rdd.getNumPartitions()), fit(df))[1])
+        return est
+
+    monkeypatch.setattr(models, "classifier", classifier)
+    models.fit_model(three_classes(spark, 40), ["a", "b", "c"], kind="tree")
+    monkeypatch.setattr(models, "FIT_TASK_ROWS", 100)
+    models.fit_model(three_classes(spark, 40), ["a", "b", "c"], kind="tree")
+    assert seen == [1, 9]
