@@ -179,3 +179,29 @@ def test_tasks_of_a_fit_follow_its_rows(spark, monkeypatch):
     monkeypatch.setattr(models, "FIT_TASK_ROWS", 100)
     models.fit_model(three_classes(spark, 40), ["a", "b", "c"], kind="tree")
     assert seen == [1, 9]
+
+
+@pytest.mark.parametrize("block_rows", [4096, 64])
+def test_neighbours_of_equal_and_huge_vectors(spark, block_rows):
+    rng = random.Random(5)
+    train = [(i, [float(rng.randrange(3)) for _ in range(3)] if i % 4 else [1e200, 0.0, float(i)]) for i in range(200)]
+    test = [(1000 + i, [float(rng.randrange(3)) + 1e-9, 0.0, 1.0]) for i in range(20)] + [(2000, [1e200, 0.0, 3.0])]
+    schema = "vec_id LONG, embedding ARRAY<DOUBLE>"
+    with np.errstate(over="ignore"):
+        rows = knn.knn(spark.createDataFrame(train, schema), spark.createDataFrame(test, schema), 5, block_rows=block_rows).collect()
+        got = {}
+        for r in sorted(rows, key=lambda r: r["rank"]):
+            got.setdefault(r["vec_id"], []).append(r["neighbour"])
+        assert got == brute(train, test, 5)
+
+
+def test_matrix_products_name_the_neighbours(monkeypatch):
+    """Distances by difference are computed for few pairs, and what is found is what all differences give."""
+    rng = np.random.default_rng(3)
+    have, tests = rng.normal(size=(500, 64)) + 1e4, rng.normal(size=(40, 64)) + 1e4
+    have[400:] = have[0]
+    tests[0] = have[0]
+    d = knn._distances(tests, have)
+    want = np.argsort(d, axis=1, kind="stable")[:, :5]
+    who, pick, dist = knn._nearest(tests, have, 5)
+    assert (pick.reshape(40, 5) == want).all() and (dist.reshape(40, 5) == np.take_along_axis(d, want, axis=1)).all()
