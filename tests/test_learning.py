@@ -205,3 +205,12 @@ def test_matrix_products_name_the_neighbours(monkeypatch):
     want = np.argsort(d, axis=1, kind="stable")[:, :5]
     who, pick, dist = knn._nearest(tests, have, 5)
     assert (pick.reshape(40, 5) == want).all() and (dist.reshape(40, 5) == np.take_along_axis(d, want, axis=1)).all()
+
+
+def test_scored_flows_are_made_once(spark, monkeypatch):
+    from fieldwire.plans import queries
+
+    seen, plain = [], queries.models.fit_model
+    monkeypatch.setattr(queries.models, "fit_model", lambda train, *a, **o: (seen.append(train), plain(train, *a, **o))[1])
+    out = queries.scored_flows(spark, "/root/testdata/sf0.001")
+    assert all("events.parquet" not in df._jdf.queryExecution().toString() for df in (*seen, out)) and seen
