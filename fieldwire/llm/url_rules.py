@@ -20,7 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class Mining:
     """Least share of labelled URLs a token set occurs in, least confidence, most tokens of a rule, most tokens of
-    one URL that take part in mining, and how many rules one pass over the pages holds in a task."""
+    one URL that FP-growth takes (sets with the others are grown by level), and how many rules one pass over the pages
+    holds in a task."""
     support: float = 0.005
     confidence: float = 0.8
     most_tokens: int = 3
@@ -83,6 +84,63 @@ def by_host(rules: list[tuple[str, str]]) -> dict[str, list[tuple[str, str]]]:
     return out
 
 
+def _sets_of(tokens: list[str], grown_from: frozenset, known: list[set], size: int) -> list[tuple]:
+    """Sets of ``size`` of the tokens with one of ``grown_from``, whose smaller sets of that kind are all ``known``, by size."""
+    have = sorted(set(tokens))
+    sets = {(t,) for t in have if t in grown_from}
+    for k in range(1, size):
+        kept = {s for s in sets if s in known[k - 1]}
+        wider = {tuple(sorted((*s, t))) for s in kept for t in have if t not in s}
+        sets = {s for s in wider if all(less in kept for i in range(k + 1) if not grown_from.isdisjoint(less := s[:i] + s[i + 1:]))}
+    return sorted(sets)
+
+
+def _with_grown(sets: DataFrame, labelled: DataFrame, shared, total: int, p: Mining) -> DataFrame:
+    """``sets`` of FP-growth with the exact counts of those that hold a token it did not take from every URL.
+
+    Where no URL has more than ``most_mined`` frequent tokens, they are ``sets`` themselves. Otherwise sets without
+    such a token are right, and those with one are counted over all labelled URLs, size by size, from the frequent ones
+    of the size before: the work is polynomial in the tokens of a URL, and none is left out."""
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, seen = shared.value, set()
+        for b in batches:
+            for tokens in b.column("tokens").to_pylist():
+                seen.update(sorted((t for t in tokens if t in count), key=lambda t: (count[t], t))[p.most_mined:])
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["t"])
+
+    cut = frozenset(r["t"] for r in labelled.select("tokens").mapInArrow(left_out, "t string").distinct().collect())
+    if not cut:
+        return sets
+    spark, known = labelled.sparkSession, []
+    out = sets.filter(~F.arrays_overlap("items", F.array(*[F.lit(t) for t in sorted(cut)])))
+    for size in range(1, p.most_tokens + 1):
+        smaller = spark.sparkContext.broadcast(known)
+
+        def counted(batches: Iterator[pa.RecordBatch], size=size, smaller=smaller) -> Iterator[pa.RecordBatch]:
+            def flushed(found):
+                return pa.RecordBatch.from_arrays([pa.array([list(k[0]) for k in found], pa.list_(pa.string())), pa.array([k[1] for k in found], pa.string()),
+                                                   pa.array(list(found.values()), pa.int64())], ["tokens", "verdict", "n"])
+
+            count, found = shared.value, {}
+            for b in batches:
+                for tokens, verdict in zip(b.column("tokens").to_pylist(), b.column("verdict").to_pylist()):
+                    for s in _sets_of([t for t in tokens if t in count], cut, smaller.value, size):
+                        found[s, verdict] = found.get((s, verdict), 0) + 1
+                    if len(found) > 100_000:
+                        yield flushed(found)
+                        found = {}
+            yield flushed(found)
+
+        n = labelled.select("tokens", "verdict").mapInArrow(counted, "tokens array<string>, verdict string, n long")
+        n = written(n.groupBy("tokens", "verdict").agg(F.sum("n").alias("freq")), "grown")
+        alone = n.groupBy("tokens").agg(F.sum("freq").alias("freq")).filter(F.col("freq") >= p.support * total)
+        known.append({tuple(r["tokens"]) for r in alone.select("tokens").collect()})
+        joint = n.filter(F.col("freq") >= p.support * total)
+        out = out.unionByName(alone.select(F.col("tokens").alias("items"), "freq")).unionByName(
+            joint.select(F.array_sort(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict")))).alias("items"), "freq"))
+    return written(out, "itemsets-whole")
+
+
 def mine(labelled: DataFrame, p: Mining = Mining()) -> DataFrame:
     """Rules ``tokens``, ``verdict``, ``confidence``, ``support`` (rows) from ``tokens``, ``verdict`` of labelled URLs.
 
@@ -105,13 +163,14 @@ def mine(labelled: DataFrame, p: Mining = Mining()) -> DataFrame:
             out = []
             for tokens, verdict in zip(b.column("tokens").to_pylist(), b.column("verdict").to_pylist()):
                 kept = [t for t in tokens if t in count]
-                # mining is exponential in the tokens of a URL: of more than ``most_mined`` the rarest take part
+                # FP-growth is exponential in the tokens of a URL: of more than ``most_mined`` it takes the rarest
                 out.append([*sorted(kept, key=lambda t: (count[t], t))[:p.most_mined], f"verdict:{verdict}"])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["items"])
 
     rows = labelled.select("tokens", "verdict").mapInArrow(items, "items array<string>")
     sets = FPGrowth(itemsCol="items", minSupport=p.support).fit(rows).freqItemsets
     sets = written(sets.filter(F.size("items") <= p.most_tokens + 1).select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    sets = _with_grown(sets, labelled, shared, total, p)
     named = F.filter("items", lambda x: x.startswith("verdict:"))
     tokens = F.filter("items", lambda x: ~x.startswith("verdict:"))
     joint = sets.filter(F.size(named) == 1).select(tokens.alias("tokens"), F.substring(named[0], len("verdict:") + 1, 10_000).alias("verdict"), F.col("freq").alias("support"))

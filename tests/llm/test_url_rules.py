@@ -91,3 +91,20 @@ def test_urls_without_a_given_rule_get_the_surest_mined_one(spark):
     for page_id, tokens, rule, verdict in decided:
         best = max(((rank, v) for rank, v, need in rules if need <= set(tokens)), default=(None, "allow"))
         assert got[page_id] == (verdict if rule else best[1])
+
+
+def test_sets_with_tokens_that_fp_growth_does_not_take(spark):
+    """URLs of up to 24 frequent tokens: what decides lies among the most common ones."""
+    import random
+    rng = random.Random(9)
+    rows = []
+    for _ in range(150):
+        tokens = [f"t{i:02}" for i in range(24) if rng.random() < 0.25 + 0.03 * i]
+        rows.append((tokens, "block" if {"t21", "t23"} <= set(tokens) else rng.choice(("allow", "allow", "allow", "block"))))
+    rows += [([], "allow"), (["t23", "t23"], "allow")]
+    p = u.Mining(support=0.08, confidence=0.75, most_mined=5)
+    assert sum(len(set(t)) > p.most_mined for t, _ in rows) > 100
+    df = spark.createDataFrame([(sorted(set(t)), v) for t, v in rows], "tokens array<string>, verdict string")
+    got = {(tuple(r.tokens), r.verdict) for r in u.mine(df, p).collect()}
+    want = brute_rules(rows, p)
+    assert got == want and any("t23" in c for c, _ in want)
