@@ -214,3 +214,13 @@ def test_scored_flows_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(queries.models, "fit_model", lambda train, *a, **o: (seen.append(train), plain(train, *a, **o))[1])
     out = queries.scored_flows(spark, "/root/testdata/sf0.001")
     assert all("events.parquet" not in df._jdf.queryExecution().toString() for df in (*seen, out)) and seen
+
+
+def test_modes_share_statistics_of_the_whole(wide, monkeypatch):
+    df, names = wide
+    calls, known = [], {}
+    for name in ("varying_columns", "correlated_columns"):
+        monkeypatch.setattr(select, name, lambda *a, name=name, plain=getattr(select, name): (calls.append(name), plain(*a))[1])
+    kept = [select.select_features(df, names, mode, trees=3, known=known) for mode in ("variance", "smart-1", "smart-99")]
+    assert sorted(calls) == ["correlated_columns", "varying_columns"]
+    assert kept == [select.select_features(df, names, mode, trees=3) for mode in ("variance", "smart-1", "smart-99")]
