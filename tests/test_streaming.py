@@ -2,6 +2,7 @@
 
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from fieldwire.operators import clean, detect, flows, models
 from fieldwire.operators.joins import suppress_covered
 from fieldwire.plans.sessions import payload_sessions
 from fieldwire.schemas import PACKETS
-from fieldwire.streaming import queries as live
+from fieldwire.streaming import queries as live, state
 
 S = 1_000_000
 T0 = 1_700_000_000 * S
@@ -169,3 +170,19 @@ def test_keys_that_share_a_bucket_do_not_mix(feed, tmp_path, monkeypatch):
     cols = ["src_ip", "ts_us", "pkt_no", "frame_no"]
     got, late = run(lambda end: live.live_command_injection(end(stream)), tmp_path)
     assert rows(got, *cols, "fc") == rows(detect.command_injection_alerts(flows.frames_of(df, 20000)), *cols, "fc")
+
+
+def test_rows_reach_their_bucket_packed(feed):
+    """A bucket's rows come as one row a task, in their order; the detectors' plans pack before the exchange."""
+    n = 1000
+    rows = pa.RecordBatch.from_pydict({"ts_us": [T0 + (i * 7) % n for i in range(n)], "fc": [i if i % 3 else None for i in range(n)],
+                                       state.BUCKET: pa.array([i % 5 for i in range(n)], pa.int32())})
+    out = list(state.pack_buckets(iter([rows.slice(0, 300), rows.slice(300)])))
+    got = pa.Table.from_batches(out).to_pylist()
+    assert [r[state.BUCKET] for r in got] == [0, 1, 2, 3, 4]
+    for r in got:
+        mine = rows.to_pandas().iloc[r[state.BUCKET]::5].drop(columns=state.BUCKET)
+        assert state.unpacked(r["rows"]).equals(mine.reset_index(drop=True)) and r["first_us"] == mine["ts_us"].min()
+    for made in (live.live_flow_features(feed[1]), live.live_scan_burst(feed[1])):
+        plan = made._jdf.queryExecution().analyzed().toString()
+        assert plan.index("TransformWithState") < plan.index("MapInArrow")
