@@ -186,3 +186,11 @@ def test_rows_reach_their_bucket_packed(feed):
     for made in (live.live_flow_features(feed[1]), live.live_scan_burst(feed[1])):
         plan = made._jdf.queryExecution().analyzed().toString()
         assert plan.index("TransformWithState") < plan.index("MapInArrow")
+
+
+def test_parts_are_written_by_all_tasks(spark, monkeypatch):
+    from fieldwire.plans import queries
+
+    monkeypatch.setattr(live, "run_to_end", lambda build, base: base)
+    files = spark.read.parquet(f"{queries._live(spark, '/root/testdata/sf0.001', None, 3)}/in")
+    assert len(files.inputFiles()) == 3 * spark.sparkContext.defaultParallelism and files.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
