@@ -224,3 +224,29 @@ def test_modes_share_statistics_of_the_whole(wide, monkeypatch):
     kept = [select.select_features(df, names, mode, trees=3, known=known) for mode in ("variance", "smart-1", "smart-99")]
     assert sorted(calls) == ["correlated_columns", "varying_columns"]
     assert kept == [select.select_features(df, names, mode, trees=3) for mode in ("variance", "smart-1", "smart-99")]
+
+
+def test_payload_tree_is_fitted_on_all_records(spark, monkeypatch, tmp_path):
+    """However few rows other models are fitted on; a record's class comes from the events in it."""
+    from fieldwire.plans import queries
+    from fieldwire.plans.sessions import payload_sessions
+
+    kinds = "array('view', 'purchase', 'click', 'signup', 'error', 'view')"
+    spark.range(600).selectExpr(
+        "id AS event_id", "timestamp_micros(1704067200000000 + id * 7200000000) AS ts", "id * id % 40 AS user_id",
+        f"IF(id % 97 = 96, NULL, {kinds}[cast(id * 7 % 11 % 6 as int)]) AS event_type", "1.5D AS value", "'{}' AS props",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(queries, "FIT_ROWS", 30)
+    seen, plain = [], queries.models.fit_model
+    monkeypatch.setattr(queries.models, "fit_model", lambda train, *a, **o: (seen.append(train.collect()), plain(train, *a, **o))[1])
+    queries.payload_tree(spark, str(tmp_path))
+    all_records = payload_sessions(queries.packets(spark, str(tmp_path)), 4 * queries.HOUR, chunk_us=queries.DAY).count()
+    assert len(seen[0]) == all_records > 200
+    assert all((r.Label == "COLD_RESTART") == (r.attack_fc_count > 0) for r in seen[0])
+    assert {r.Label for r in seen[0]} == {"COLD_RESTART", "NORMAL"}
+
+
+def test_a_tree_of_all_cuts_sees_every_row(spark):
+    rows = spark.range(0, 30_000, 1, 2).selectExpr("id", "IF(id = 17003, 'ATTACK', 'NORMAL') AS Label", "cast(id = 17003 as double) AS x", "cast(id % 7 as double) AS y")
+    model = models.fit_model(rows, ["x", "y"], kind="tree", all_cuts=True)
+    assert [r.id for r in model.predict(rows).where("predicted_label = 'ATTACK'").collect()] == [17003]
