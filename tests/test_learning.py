@@ -250,3 +250,31 @@ def test_a_tree_of_all_cuts_sees_every_row(spark):
     rows = spark.range(0, 30_000, 1, 2).selectExpr("id", "IF(id = 17003, 'ATTACK', 'NORMAL') AS Label", "cast(id = 17003 as double) AS x", "cast(id % 7 as double) AS y")
     model = models.fit_model(rows, ["x", "y"], kind="tree", all_cuts=True)
     assert [r.id for r in model.predict(rows).where("predicted_label = 'ATTACK'").collect()] == [17003]
+
+
+@pytest.mark.parametrize("kind,opt", [("tree", {"depth": 5}), ("forest", {"trees": 5, "depth": 4}), ("logistic", {"max_iter": 20})])
+def test_confusions_are_those_of_predictions(spark, kind, opt):
+    df = three_classes(spark)
+    found = [models.fit_model(df, names, kind=kind, **opt) for names in (["a", "b", "c"], ["c", "a"], ["b"])]
+    odd = df.selectExpr("IF(b = 7, NULL, IF(b = 9, 'NEW', Label)) AS Label", "CASE WHEN c = 3 THEN NULL WHEN c = 4 THEN double('nan') ELSE a END AS a",
+                        "IF(b = 50, 'x', concat(' ', b)) AS b", "IF(b = 20, double('inf'), c) AS c")
+    for model, counts in zip(found, models.confusions(found, odd)):
+        want = evaluate.confusion_counts(model.predict(odd), "Label", "predicted_label")
+        assert counts.columns == want.columns
+        assert sorted(map(str, counts.collect())) == sorted(map(str, want.collect()))
+    assert all(c.count() == 0 for c in models.confusions(found[:2], df.limit(0)))
+
+
+def test_a_sweep_reads_the_rows_to_score_once(spark):
+    n = spark.sparkContext.accumulator(0)
+    rows = spark.range(400).selectExpr("cast(id % 2 as string) AS Label", "cast(id % 2 as double) AS a", "cast(id % 5 as double) AS b", "id")
+
+    def passing(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    test = rows.where("id >= 100")
+    out = sweep_features(rows.where("id < 100"), test.mapInArrow(passing, test.schema), ["a", "b"], modes=["all", "variance", "top-1"], kind="tree")
+    assert [(r["mode"], r["rows"], r["accuracy"]) for r in out.collect()] == [("all", 300, 1.0), ("variance", 300, 1.0), ("top-1", 300, 1.0)]
+    assert n.value == 300
