@@ -278,3 +278,44 @@ def test_a_sweep_reads_the_rows_to_score_once(spark):
     out = sweep_features(rows.where("id < 100"), test.mapInArrow(passing, test.schema), ["a", "b"], modes=["all", "variance", "top-1"], kind="tree")
     assert [(r["mode"], r["rows"], r["accuracy"]) for r in out.collect()] == [("all", 300, 1.0), ("variance", 300, 1.0), ("top-1", 300, 1.0)]
     assert n.value == 300
+
+
+def test_cells_find_the_neighbours():
+    rng = np.random.default_rng(8)
+    for have, tests in ((rng.normal(size=(700, 3)), rng.normal(size=(900, 3)) * 2), (rng.integers(0, 4, (600, 2)) * 1.0, rng.integers(0, 5, (300, 2)) * 1.0),
+                        (np.ones((50, 2)), np.zeros((9, 2))), (rng.normal(size=(3, 2)), rng.normal(size=(5, 2)))):
+        for x, y in zip(knn.Cells(have, 5).nearest(tests), knn._nearest(tests, have, 5)):
+            assert (x == y).all()
+
+
+def test_neighbours_vote_where_a_row_is(spark):
+    rng = random.Random(4)
+    point = lambda: [float(rng.randrange(4)), float(rng.randrange(4))]
+    train = spark.createDataFrame([(i, rng.choice(["a", "b", None, "c"]), point()) for i in range(90)], "vec_id LONG, label STRING, embedding ARRAY<DOUBLE>")
+    test = spark.createDataFrame([(i // 2, point()) for i in range(0, 120, 2)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    want = {r.vec_id: r.prediction for r in knn.knn_classify(train, test, 5).collect()}
+    for rows in (4096, 32):
+        out = knn.knn_predict(train, test, 5, block_rows=rows)
+        assert {r.vec_id: r.prediction for r in out.collect()} == want and len(want) == 60
+        assert ("Join" in out._jdf.queryExecution().toString()) == (rows == 32)
+
+
+def test_models_are_compared_on_rows_read_once(spark):
+    n = spark.sparkContext.accumulator(0)
+    rows = three_classes(spark).where("Label <> 'C'").selectExpr("IF(Label = 'A', 'ATTACK', 'NORMAL') AS Label", "a", "b", "c", "monotonically_increasing_id() AS id")
+    train, test = rows.where("id % 3 = 0").localCheckpoint(), rows.where("id % 3 > 0").localCheckpoint()
+
+    def passing(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    kinds = {"t": ("tree", {"depth": 2}), "l": ("logistic", {"max_iter": 5}), "s": ("svm", {"rff": 8, "max_iter": 5})}
+    found = {r["model"]: r for r in models.compare_models(
+        train, test.mapInArrow(passing, test.schema), ["b", "c"], models=kinds, row_id="id").collect()}
+    assert [*found] == ["t", "l", "s", "KNN (k=5)"] and {r["rows"] for r in found.values()} == {test.count()} == {n.value}
+    for name, (kind, opt) in kinds.items():
+        out = models.fit_model(train, ["b", "c"], kind=kind, codes={"NORMAL": 0, "ATTACK": 1}, **opt).predict(test, keep_code=True)
+        assert found[name]["accuracy"] == evaluate.metrics(evaluate.confusion_counts(out, "Label", "predicted_label"), "binary", "ATTACK").first()["accuracy"]
+        want = evaluate.roc_auc(out.selectExpr("int(Label = 'ATTACK') AS y_true", "probabilities[1] AS score")).first()[0] if kind != "svm" else None
+        assert found[name]["roc_auc"] == want
